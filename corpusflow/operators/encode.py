@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusflow.functions.arrays import pad_to
 from corpusflow.functions.tokens import words
+from corpusflow.operators.lookup import lookup_join
 from corpusflow.operators.vocab import CONTINUATION, SPECIAL_TOKENS
 
 # Longer words become the unknown token; model inputs are cut to this many tokens.
@@ -91,41 +92,35 @@ def _arrow_encoder(ids, unknown: str, max_chars: int):
 def encode_words_by_join(distinct_words: DataFrame, vocab: DataFrame, unknown: str = UNKNOWN) -> DataFrame:
     """``(word, ids)`` for a table of distinct words, with the vocabulary as a joined table.
 
-    Every substring of a word (at most 100 characters) is looked up in the vocabulary; of those
-    found, the longest at each start is kept, and the greedy path is read off in one fold.
+    Every substring of a word (at most 100 characters) is looked up in the vocabulary; the matches
+    of a word are walked from its start, longest first.
     """
+    context = distinct_words.sparkSession.sparkContext
     size = F.length("word")
-    short = distinct_words.where(size <= MAX_WORD_CHARS)
+    # words are few bytes each but unfold into many substrings: spread them over all cores first
+    short = distinct_words.where(size <= MAX_WORD_CHARS).repartition(context.defaultParallelism, "word")
     spans = short.select("word", F.explode(F.sequence(F.lit(1), size)).alias("start")).select(
         "word", "start", F.explode(F.sequence(F.lit(1), F.length("word") - F.col("start") + 1)).alias("len")
     )
     part = F.substr(F.col("word"), F.col("start"), F.col("len"))
     spans = spans.withColumn("token", F.when(F.col("start") > 1, F.concat(F.lit(CONTINUATION), part)).otherwise(part))
-    longest = (
-        spans.join(vocab.select("token", "token_id"), "token")
-        .groupBy("word", "start")
-        .agg(F.max_by("token_id", "len").alias("token_id"), F.max("len").alias("len"))
-    )
-    # at most one entry per character of the word
-    paths = longest.groupBy("word").agg(
-        F.sort_array(F.collect_list(F.struct("start", "len", "token_id"))).alias("steps")
-    )
-    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("ids"))
-    walked = F.aggregate(
+    matches = lookup_join(spans, vocab.select("token", "token_id"), "token", "inner", BROADCAST_TOKENS)
+    # at most 100 * 101 / 2 entries per word; sorted by start, then longest first
+    step = F.struct("start", (-F.col("len")).alias("shorter"), "token_id")
+    paths = matches.groupBy("word").agg(F.sort_array(F.collect_list(step)).alias("steps"))
+    begin = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("ids"))
+    walk = F.aggregate(
         "steps",
-        start,
+        begin,
         lambda acc, s: F.when(
             s["start"] == acc["at"],
-            F.struct((acc["at"] + s["len"]).alias("at"), F.concat(acc["ids"], F.array(s["token_id"])).alias("ids")),
+            F.struct((acc["at"] - s["shorter"]).alias("at"), F.concat(acc["ids"], F.array(s["token_id"])).alias("ids")),
         ).otherwise(acc),
+        lambda acc: F.when(acc["at"] == F.length("word") + 1, acc["ids"]),
     )
-    reached = paths.select("word", walked.alias("walk")).where(F.col("walk.at") == F.length("word") + 1)
-    unknown_id = vocab.where(F.col("token") == unknown).select(F.col("token_id").alias("_unknown")).limit(1)
-    return (
-        distinct_words.join(reached.select("word", F.col("walk.ids").alias("ids")), "word", "left")
-        .join(F.broadcast(unknown_id))  # a single row
-        .select("word", F.coalesce("ids", F.array("_unknown")).alias("ids"))
-    )
+    unknown_id = vocab.where(F.col("token") == unknown).select("token_id").first()["token_id"]
+    found = distinct_words.join(paths.select("word", walk.alias("ids")), "word", "left")
+    return found.select("word", F.coalesce("ids", F.array(F.lit(unknown_id))).alias("ids"))
 
 
 def _encode_by_join(df: DataFrame, vocab: DataFrame, column: str, out: str, id_col: str) -> DataFrame:

@@ -110,11 +110,13 @@ def choose_merges(ranked: Sequence, complete: bool, known: set[str], room: int,
     the first one sharing a piece with an earlier choice would be merged one after the other
     anyway, and taking them together gives the result of single steps.  ``complete`` says that
     ``ranked`` holds every pair.  With ``exact=False`` sharing pairs are skipped instead of ending
-    the round: fewer rounds, a slightly different order of merges.
+    the round, down to half the best count: fewer rounds, a somewhat different order of merges.
     """
     chosen, used = [], set()
     floor = None if complete else ranked[-1]["n"]
     for row in ranked:
+        if not exact and 2 * row["n"] < ranked[0]["n"]:
+            break
         piece = _merged(row["a"], row["b"])
         if used & {row["a"], row["b"]}:
             if exact:
@@ -153,7 +155,8 @@ def train_wordpiece(
     the driver.  Lineage is cut with a reliable checkpoint every ``cut_every`` rounds.
     """
     spark = counts.sparkSession
-    split = cut_lineage(_split_words(counts))
+    # every round works through all pieces of all words: keep every core busy, however few the bytes
+    split = cut_lineage(_split_words(counts).repartition(spark.sparkContext.defaultParallelism))
     characters = split.select(F.explode(F.array_distinct(_pieces())).alias("c")).distinct()
     # one row per character in use
     seen = {row["c"] for row in characters.collect()}

@@ -55,6 +55,18 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def read_corpus(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
+    """A Parquet corpus for text work.
+
+    A file with one row group is one task.  Where the scan yields fewer tasks than there are cores,
+    the rows are spread by id; a large table has splits enough and is left as it is.  Filters and
+    column pruning still reach the scan.
+    """
+    rows = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores, id_col) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def read_split(spark: SparkSession, path: str, split: str, variant: str | None = None) -> DataFrame:
     """One named split (and variant).  Only its folder is listed and read."""
     rows = read_table(spark, path).where(F.col("split") == split)
