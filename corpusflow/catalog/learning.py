@@ -12,7 +12,7 @@ from corpusflow.operators import corpus as co, dedup, features as fe, metrics as
 from corpusflow.operators.sampling import SEED, stratified_split
 from corpusflow.operators.vocab import top_terms as most_frequent
 from corpusflow.plans import classify, explore, multitask
-from corpusflow.session import scratch_path
+from corpusflow.session import materialise, scratch_path
 from corpusflow.sources import stores
 
 STOP_WORDS = ["the", "and", "of", "in", "to", "is", "for", "der", "die", "und", "la", "le", "de", "el", "en"]
@@ -135,7 +135,7 @@ def cluster_layout(spark, sf):
 def cluster_source_counts(spark, sf):
     rows = corpus(spark, sf)
     model = fe.fit_tfidf(rows, N_TERMS, stop_words=STOP_WORDS)
-    vectors = fe.add_tfidf(rows.select("doc_id", "source", "text"), model).select("doc_id", "source", "features").persist()
+    vectors = fe.store_vectors(fe.add_tfidf(rows.select("doc_id", "source", "text"), model).drop("text"))
     return pr.cluster_source_counts(explore.cluster_vectors(vectors))
 
 
@@ -144,14 +144,14 @@ def pca_wide_tfidf(spark, sf):
     """Two components of a wide TF-IDF matrix, without a covariance matrix."""
     rows = table(spark, sf, "documents")
     model = fe.fit_tfidf(rows, 5_000, stop_words=STOP_WORDS)
-    vectors = model.transform(rows).select("doc_id", "features").persist()
+    vectors = fe.store_vectors(model.transform(rows).select("doc_id", "features")).persist()
     placed = fe.principal_components(vectors, fe.vocabulary_size(model))
     return placed.select("doc_id", *round6("x", "y"))
 
 
 def _language_corpus(spark, sf):
-    """Distinct texts with their language, the target the classifiers learn."""
-    return dedup.drop_duplicate_texts(table(spark, sf, "documents").select("doc_id", "text", "lang"))
+    """Distinct texts with their language, the target the classifiers learn; stored, as training reads it often."""
+    return materialise(dedup.drop_duplicate_texts(table(spark, sf, "documents").select("doc_id", "text", "lang")))
 
 
 @query("lr_report")
@@ -171,9 +171,8 @@ def model_reload(spark, sf):
     """Features and classifier fitted, saved, loaded, and applied to another table."""
     rows = _language_corpus(spark, sf).withColumn("label_id", (F.col("lang") != "en").cast("int"))
     features = fe.fit_tfidf(rows, N_TERMS, stop_words=STOP_WORDS)
-    vectors = features.transform(rows).select("label_id", "features").persist()
+    vectors = fe.store_vectors(features.transform(rows).select("label_id", "features"))
     model = mo.fit_classifier(vectors, "lr", max_iter=10)
-    vectors.unpersist()
     path = scratch_path(spark, "model")
     stores.save_model(fe.PipelineModel([features, model]), path)
     loaded = stores.load_model(spark, path)
@@ -205,7 +204,7 @@ def examples(spark, sf):
         parts.append(ta.to_examples(rows, key, is_pair, is_regression))
     ax = pairs.where("split = 'test'").drop("label")
     parts.append(ta.to_examples(ax, "ax", True))
-    return co.concat_sources(parts)
+    return materialise(co.concat_sources(parts), "examples", ("task",))
 
 
 _SMALL = multitask.TrainConfig(epochs=2, iterations_per_epoch=3, max_terms=100, stop_words=tuple(STOP_WORDS))
@@ -213,14 +212,14 @@ _SMALL = multitask.TrainConfig(epochs=2, iterations_per_epoch=3, max_terms=100,
 
 @query("task_results")
 def task_results(spark, sf):
-    results, _ = multitask.train_all_tasks(examples(spark, sf).persist(), scratch_path(spark, "models"), _SMALL)
+    results, _ = multitask.train_all_tasks(examples(spark, sf), scratch_path(spark, "models"), _SMALL)
     return results
 
 
 @query("task_submissions")
 def task_submissions(spark, sf):
     """Every task trained and its test rows scored; the diagnostic set uses the model of another task."""
-    rows = examples(spark, sf).persist()
+    rows = examples(spark, sf)
     path = scratch_path(spark, "models")
     multitask.train_all_tasks(rows, path, multitask.TrainConfig(1, 3, 100, 3, tuple(STOP_WORDS)))
     scored = multitask.predict_all_tasks(rows, path)
@@ -230,7 +229,7 @@ def task_submissions(spark, sf):
 @query("borrowed_model_scores")
 def borrowed_model_scores(spark, sf):
     """The diagnostic pairs scored by the model of the inference task."""
-    rows = examples(spark, sf).where("task in ('mnli', 'ax')").persist()
+    rows = examples(spark, sf).where("task in ('mnli', 'ax')")
     path = scratch_path(spark, "models")
     mnli = tuple(task for task in ta.TASKS if task[0] == "mnli")
     multitask.train_all_tasks(rows, path, multitask.TrainConfig(1, 3, 100, 1, tuple(STOP_WORDS)), mnli)

@@ -20,10 +20,12 @@ from pyspark.ml.feature import (
 from pyspark.ml.functions import array_to_vector, predict_batch_udf
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from corpusflow.functions.tokens import TERM, terms
 from corpusflow.operators.lookup import lookup_join
 from corpusflow.operators.vocab import top_terms
+from corpusflow.session import materialise
 
 MAX_TERMS = 10_000
 # widest input for which the d x d covariance of pyspark.ml's PCA is acceptable on the driver
@@ -98,6 +100,15 @@ def tfidf_rows(
     return weighted.join(norm, id_col).select(id_col, "term", (F.col("_w") / F.col("_norm")).alias("weight"))
 
 
+def store_vectors(df: DataFrame, name: str = "vectors") -> DataFrame:
+    """Write feature rows once, in evenly sized files, and continue from them.
+
+    Training reads them once per fit and caches its own blocks.  The rebalance hint lets AQE size
+    the files from the actual bytes: one for a small table, many for a large one.
+    """
+    return materialise(df.hint("rebalance"), name)
+
+
 def embedding_column(df: DataFrame, column: str = "embedding", out: str = "features") -> DataFrame:
     """Use a stored ``ARRAY<FLOAT>`` column as features."""
     return df.withColumn(out, array_to_vector(F.col(column).cast("array<double>")))
@@ -118,7 +129,7 @@ def embed_with(
     batch_size: int = 64,
 ) -> DataFrame:
     """Embed texts with the caller's model; ``make_predict`` runs once per Python worker."""
-    model = predict_batch_udf(make_predict, return_type="array<float>", batch_size=batch_size)
+    model = predict_batch_udf(make_predict, return_type=ArrayType(FloatType()), batch_size=batch_size)
     return df.withColumn(out, model(column))
 
 

@@ -52,25 +52,38 @@ def confusion_matrix(
 
 
 def class_table(
-    df: DataFrame, keys: Sequence[str] = (), label: str = "label", prediction: str = "prediction"
+    df: DataFrame,
+    keys: Sequence[str] = (),
+    label: str = "label",
+    prediction: str = "prediction",
+    loss: str | None = None,
 ) -> DataFrame:
-    """Per class: true positives, support (rows with that label), predicted (rows given that class)."""
-    counts = confusion_counts(df, keys, label, prediction)
+    """Per class: true positives, support (rows with that label), predicted (rows given that class).
+
+    A row loss is summed per label in the same pass.
+    """
+    counts = df.groupBy(*keys, F.col(label).alias("label"), F.col(prediction).alias("prediction")).agg(
+        F.count(F.lit(1)).alias("n_rows"), (F.sum(loss) if loss else F.lit(0.0)).alias("_loss")
+    )
+    none = F.lit(0).cast("bigint")
     hit = F.when(F.col("label") == F.col("prediction"), F.col("n_rows")).otherwise(F.lit(0))
     as_label = F.struct(
-        F.col("label").alias("cls"), hit.alias("tp"), F.col("n_rows").alias("sup"), F.lit(0).cast("bigint").alias("got")
+        F.col("label").alias("cls"), hit.alias("tp"), F.col("n_rows").alias("sup"), none.alias("got"),
+        F.col("_loss").alias("los"),
     )
     as_prediction = F.struct(
-        F.col("prediction").alias("cls"),
-        F.lit(0).cast("bigint").alias("tp"),
-        F.lit(0).cast("bigint").alias("sup"),
-        F.col("n_rows").alias("got"),
+        F.col("prediction").alias("cls"), none.alias("tp"), none.alias("sup"), F.col("n_rows").alias("got"),
+        F.lit(0.0).alias("los"),
     )
-    return (
+    table = (
         counts.select(*keys, F.inline(F.array(as_label, as_prediction)))
         .groupBy(*keys, F.col("cls").alias("class"))
-        .agg(F.sum("tp").alias("tp"), F.sum("sup").alias("support"), F.sum("got").alias("predicted"))
+        .agg(
+            F.sum("tp").alias("tp"), F.sum("sup").alias("support"), F.sum("got").alias("predicted"),
+            F.sum("los").alias("loss_sum"),
+        )
     )
+    return table if loss else table.drop("loss_sum")
 
 
 def class_report(
@@ -91,10 +104,14 @@ def _with_scores(table: DataFrame) -> DataFrame:
 
 
 def classification_summary(
-    df: DataFrame, keys: Sequence[str] = (), label: str = "label", prediction: str = "prediction"
+    df: DataFrame,
+    keys: Sequence[str] = (),
+    label: str = "label",
+    prediction: str = "prediction",
+    loss: str | None = None,
 ) -> DataFrame:
-    """Accuracy, weighted and macro precision / recall / F1, and Matthews correlation."""
-    scored = _with_scores(class_table(df, keys, label, prediction))
+    """Accuracy, weighted and macro precision / recall / F1, Matthews correlation; with ``loss`` its row mean."""
+    scored = _with_scores(class_table(df, keys, label, prediction, loss))
     support, predicted = F.col("support").cast("double"), F.col("predicted").cast("double")
 
     def weighted(name: str) -> Column:
@@ -109,6 +126,7 @@ def classification_summary(
         *[weighted(name) for name in ("precision", "recall", "f1")],
         *[F.avg(name).alias(f"{name}_macro") for name in ("precision", "recall", "f1")],
         _ratio(hits * rows - cross, spread).alias("mcc"),
+        *([_ratio(F.sum("loss_sum"), rows).alias("loss")] if loss else []),
     )
 
 
@@ -132,12 +150,14 @@ def mean_squared_error(
     return df.groupBy(*keys).agg(F.avg(row_squared_error(prediction, label)).alias("mse"))
 
 
-def pearson(df: DataFrame, keys: Sequence[str] = (), x: str = "prediction", y: str = "label") -> DataFrame:
-    """Pearson correlation; NULL when either side is constant."""
+def pearson(
+    df: DataFrame, keys: Sequence[str] = (), x: str = "prediction", y: str = "label", more: Sequence[Column] = ()
+) -> DataFrame:
+    """Pearson correlation, NULL when either side is constant; ``more`` aggregates share the pass."""
     a, b = F.col(x).cast("double"), F.col(y).cast("double")
     both = df.where(a.isNotNull() & b.isNotNull())
     return both.groupBy(*keys).agg(
-        F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)).alias("pearson")
+        F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)).alias("pearson"), *more
     )
 
 
@@ -198,9 +218,11 @@ def spearman(df: DataFrame, keys: Sequence[str] = (), x: str = "prediction", y:
     return ranked.groupBy(*keys).agg(F.try_divide(covariance, spread).alias("spearman"))
 
 
-def correlation_summary(df: DataFrame, keys: Sequence[str] = (), x: str = "prediction", y: str = "label") -> DataFrame:
+def correlation_summary(
+    df: DataFrame, keys: Sequence[str] = (), x: str = "prediction", y: str = "label", more: Sequence[Column] = ()
+) -> DataFrame:
     """Pearson, Spearman and their mean."""
-    both = pearson(df, keys, x, y)
+    both = pearson(df, keys, x, y, more)
     ranks = spearman(df, keys, x, y)
     if keys:
         both = both.join(ranks, list(keys))

@@ -10,6 +10,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from corpusflow.functions.arrays import argmax, clip_and_round
 
@@ -76,7 +77,7 @@ def score_with(
     batch to a numpy batch; Spark does the batching.
     """
     model = predict_batch_udf(
-        make_predict, return_type="array<float>", batch_size=batch_size, input_tensor_shapes=input_shapes
+        make_predict, return_type=ArrayType(FloatType()), batch_size=batch_size, input_tensor_shapes=input_shapes
     )
     return df.withColumn(out, model(*columns))
 

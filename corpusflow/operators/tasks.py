@@ -97,31 +97,36 @@ def with_task(df: DataFrame, dim: DataFrame, *columns: str) -> DataFrame:
     return df.join(F.broadcast(dim.select("task", *columns)), "task")
 
 
+def evaluate_classes(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Long metric table of classification rows ``(keys, logits, label)``; one pass over them."""
+    classed = rows.select(
+        *keys,
+        F.col("label").cast("int").alias("label"),
+        argmax("logits").alias("prediction"),
+        row_cross_entropy("logits", "label").alias("_row_loss"),
+    )
+    summary = classification_summary(classed, keys, loss="_row_loss").select(
+        *keys, "accuracy", F.col("f1_weighted").alias("f1"), F.col("mcc").alias("matthews_correlation"), "loss"
+    )
+    return summary.unpivot(list(keys), ["accuracy", "f1", "matthews_correlation", "loss"], "metric", "value")
+
+
+def evaluate_scores(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Long metric table of regression rows ``(keys, logits, label)``."""
+    scored = rows.select(*keys, "label", F.get("logits", F.lit(0)).cast("double").alias("prediction"))
+    loss = F.avg(row_squared_error("prediction", "label")).alias("loss")
+    summary = correlation_summary(scored, keys, more=[loss])
+    return summary.unpivot(list(keys), ["pearson", "spearman", "pearson_spearman", "loss"], "metric", "value")
+
+
 def evaluate_predictions(predictions: DataFrame, dim: DataFrame, keys: Sequence[str] = ("task", "variant")) -> DataFrame:
     """Long metric table ``(keys, metric, value)`` for all tasks at once.
 
-    ``predictions`` holds ``logits`` (one score for regression) and ``label``.  Classification
-    metrics come from one count per (label, class); losses are row means.
+    ``predictions`` holds ``logits`` (one score for regression) and ``label``; losses are row means.
     """
-    keys = list(keys)
     rows = with_task(predictions.select(*keys, "logits", "label"), dim, "is_regression")
-    classed = rows.where(~F.col("is_regression")).select(
-        *keys, F.col("label").cast("int").alias("label"), argmax("logits").alias("prediction")
-    )
-    scored = rows.where("is_regression").select(*keys, "label", F.get("logits", F.lit(0)).cast("double").alias("prediction"))
-    summary = classification_summary(classed, keys).select(
-        *keys, "accuracy", F.col("f1_weighted").alias("f1"), F.col("mcc").alias("matthews_correlation")
-    )
-    loss = F.when(F.col("is_regression"), row_squared_error(F.get("logits", F.lit(0)), "label")).otherwise(
-        row_cross_entropy("logits", "label")
-    )
-    losses = rows.groupBy(*keys).agg(F.avg(loss).alias("loss"))
-    return (
-        summary.unpivot(keys, ["accuracy", "f1", "matthews_correlation"], "metric", "value")
-        .union(
-            correlation_summary(scored, keys).unpivot(keys, ["pearson", "spearman", "pearson_spearman"], "metric", "value")
-        )
-        .union(losses.unpivot(keys, ["loss"], "metric", "value"))
+    return evaluate_classes(rows.where(~F.col("is_regression")), keys).union(
+        evaluate_scores(rows.where("is_regression"), keys)
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from corpusflow.operators.features import MAX_TERMS, fit_tfidf, principal_components, vocabulary_size
+from corpusflow.operators.features import MAX_TERMS, fit_tfidf, store_vectors, principal_components, vocabulary_size
 from corpusflow.operators.models import fit_kmeans, predict
 
 
@@ -14,7 +14,7 @@ def cluster_layout(
 ) -> DataFrame:
     """``(doc_id, source, cluster, x, y)`` for every row.  Sample the result for display."""
     features = fit_tfidf(df, max_terms, stop_words=stop_words)
-    vectors = features.transform(df).select("doc_id", source, "features").persist()
+    vectors = store_vectors(features.transform(df).select("doc_id", source, "features")).persist()
     clusters = predict(vectors, fit_kmeans(vectors, k, seed))
     placed = principal_components(clusters, vocabulary_size(features), keep=("doc_id", source, "cluster"))
     # `vectors` stays persisted: the returned table still reads it

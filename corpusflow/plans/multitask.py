@@ -11,10 +11,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusflow.operators.corpus import concat_sources
-from corpusflow.operators.features import fit_tfidf
+from corpusflow.operators.features import fit_tfidf, store_vectors
 from corpusflow.operators.history import run_results
 from corpusflow.operators.models import fit_classifier, fit_regressor
-from corpusflow.operators.tasks import OUTPUTS, TASKS, evaluate_predictions, task_dim
+from corpusflow.operators.tasks import OUTPUTS, TASKS, evaluate_classes, evaluate_scores
 from corpusflow.sources.stores import load_model, save_model
 
 HISTORY_SCHEMA = "task string, epoch int, train_loss double, val_loss double, metric_name string, val_metric double"
@@ -68,31 +68,29 @@ def train_task(examples: DataFrame, task: tuple, model_path: str, config: TrainC
     train = rows.where(F.col("split") == "train")
     features = _featurise(train, is_pair, config)
     vectors = features.transform(rows.where(F.col("split").isin("train", "validation")))
-    vectors = vectors.select("task", "split", "variant", "label", "features").persist()
+    vectors = store_vectors(vectors.select("task", "split", "variant", "label", "features"))
     run = TaskRun()
-    try:
-        fitting = vectors.where(F.col("split") == "train")
-        for epoch in range(1, config.epochs + 1):
-            steps = epoch * config.iterations_per_epoch
-            fit = fit_regressor if is_regression else fit_classifier
-            args = {} if is_regression else {"kind": "lr"}
-            model = fit(fitting, label="label", max_iter=steps, **args)
-            scored = add_logits(vectors, model, is_regression).select("task", "split", "variant", "logits", "label")
-            # a handful of numbers per split and variant
-            rows_out = evaluate_predictions(scored, task_dim(examples.sparkSession), ("task", "split", "variant")).collect()
-            values = {(r["split"], r["variant"], r["metric"]): r["value"] for r in rows_out}
-            seen = sorted({r["variant"] for r in rows_out if r["split"] == "validation"})
-            if not seen:
-                raise ValueError(f"no validation rows for {key}")
-            first = seen[0]  # "matched" where there are variants
-            run.history.append(
-                (key, epoch, values.get(("train", "", "loss")), values[("validation", first, "loss")], metric,
-                 values[("validation", first, metric)])
-            )
-        run.variants = {v: values.get(("validation", v, "accuracy")) for v in seen if v}
-        save_model(PipelineModel([features, model]), f"{model_path}/{key}")
-    finally:
-        vectors.unpersist()
+    fitting = vectors.where(F.col("split") == "train")
+    for epoch in range(1, config.epochs + 1):
+        steps = epoch * config.iterations_per_epoch
+        fit = fit_regressor if is_regression else fit_classifier
+        args = {} if is_regression else {"kind": "lr"}
+        model = fit(fitting, label="label", max_iter=steps, **args)
+        scored = add_logits(vectors, model, is_regression).select("task", "split", "variant", "logits", "label")
+        # a handful of numbers per split and variant
+        evaluate = evaluate_scores if is_regression else evaluate_classes
+        rows_out = evaluate(scored, ("split", "variant")).collect()
+        values = {(r["split"], r["variant"], r["metric"]): r["value"] for r in rows_out}
+        seen = sorted({r["variant"] for r in rows_out if r["split"] == "validation"})
+        if not seen:
+            raise ValueError(f"no validation rows for {key}")
+        first = seen[0]  # "matched" where there are variants
+        run.history.append(
+            (key, epoch, values.get(("train", "", "loss")), values[("validation", first, "loss")], metric,
+             values[("validation", first, metric)])
+        )
+    run.variants = {v: values.get(("validation", v, "accuracy")) for v in seen if v}
+    save_model(PipelineModel([features, model]), f"{model_path}/{key}")
     return run
 
 

@@ -67,3 +67,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and continue from there."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialise(df: DataFrame, name: str = "table", partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Write ``df`` as Parquet below the shared folder and continue from the table.
+
+    For results that several later steps read: each of them prunes columns and partitions, and none
+    repeats the work before.
+    """
+    path = scratch_path(df.sparkSession, name)
+    if partition_by:
+        df.hint("rebalance", *partition_by).write.partitionBy(*partition_by).parquet(path)
+    else:
+        df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
