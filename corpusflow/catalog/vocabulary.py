@@ -8,7 +8,7 @@ from corpusflow.catalog.base import query, table
 from corpusflow.catalog.evaluation import _TURNS, turns
 from corpusflow.functions import arrays as ar, tokens as tk
 from corpusflow.operators import encode as en, vocab as vo
-from corpusflow.session import cut_lineage, scratch_path
+from corpusflow.session import materialise, scratch_path
 from corpusflow.sources import stores
 
 N_WORDS = 400
@@ -62,8 +62,8 @@ def _join_sql(ids: str) -> str:
 
 def vocabulary(spark, sf):
     """Characters and the most frequent words of the documents."""
-    counts = vo.word_counts(table(spark, sf, "documents"))
-    return cut_lineage(vo.word_vocabulary(counts, N_WORDS))
+    counts = materialise(vo.word_counts(table(spark, sf, "documents")), "counts")
+    return materialise(vo.word_vocabulary(counts, N_WORDS), "vocabulary")
 
 
 def joined(column: str):
@@ -117,8 +117,9 @@ _DOC_TEXTS = "texts AS (SELECT doc_id AS id, text FROM documents)"
 )
 def encode_words(spark, sf):
     """Distinct words against the vocabulary as a joined table."""
-    counts = vo.word_counts(table(spark, sf, "documents"))
-    return en.encode_words_by_join(counts.select("word"), vocabulary(spark, sf)).select("word", joined("ids").alias("ids"))
+    counts = materialise(vo.word_counts(table(spark, sf, "documents")), "counts")
+    vocab = materialise(vo.word_vocabulary(counts, N_WORDS), "vocabulary")
+    return en.encode_words_by_join(counts.select("word"), vocab).select("word", joined("ids").alias("ids"))
 
 
 @query(

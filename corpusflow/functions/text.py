@@ -9,12 +9,6 @@ WHITESPACE = (
     r"\x09-\x0d\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
-# The same class without the plain space.
-_NOT_PLAIN_SPACE = WHITESPACE.replace(r"\x1c-\x20", r"\x1c-\x1f")
-
-# Runs that collapsing changes: two or more whitespace characters, or one that is not U+0020.
-# A single plain space already is its own replacement, so it is left alone (far fewer matches).
-_COLLAPSIBLE = f"[{WHITESPACE}]{{2,}}|[{_NOT_PLAIN_SPACE}]"
 _EDGES = rf"\A[{WHITESPACE}]+|[{WHITESPACE}]+\z"
 
 NBSP_ENTITY = "&nbsp;"
@@ -30,7 +24,7 @@ def null_to_empty(column: Column | str) -> Column:
 
 def collapse_whitespace(column: Column | str) -> Column:
     """Every run of Unicode whitespace becomes one space."""
-    return F.regexp_replace(_col(column), _COLLAPSIBLE, " ")
+    return F.regexp_replace(_col(column), f"[{WHITESPACE}]+", " ")
 
 
 def strip(column: Column | str) -> Column:

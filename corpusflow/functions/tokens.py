@@ -21,10 +21,19 @@ def _compatibility_pattern() -> str:
     """Regex for characters that NFKC might touch.
 
     Below U+0300 there are no combining marks, so a character changes the result only if its own
-    NFKC form differs; those are listed one by one.  Everything from U+0300 on may matter.
+    NFKC form differs; those are listed as ranges.  Everything from U+0300 on may matter.  The
+    intersection rejects ASCII before the list is looked at.
     """
-    changing = [c for c in range(0x300) if unicodedata.normalize("NFKC", chr(c)) != chr(c)]
-    return "[" + "".join(f"\\x{{{c:x}}}" for c in changing) + r"\x{300}-\x{10ffff}]"
+    changing = [c for c in range(0x300) if unicodedata.normalize("NFKC", chr(c)) != chr(c)] + [0x300]
+    ranges: list[list[int]] = []
+    for c in changing:
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    ranges[-1][1] = 0x10FFFF
+    listed = "".join(f"\\x{{{low:x}}}-\\x{{{high:x}}}" for low, high in ranges)
+    return rf"[\x{{{changing[0]:x}}}-\x{{10ffff}}&&[{listed}]]"
 
 
 NFKC_CANDIDATE = _compatibility_pattern()

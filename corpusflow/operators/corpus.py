@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusflow.functions import text as tx
 
@@ -13,13 +13,23 @@ MIN_LENGTH = 750
 MAX_LENGTH = 5000
 
 
+def compute_once(df: DataFrame, column: str, value: Column) -> DataFrame:
+    """``withColumn`` for an expensive expression that later steps use several times.
+
+    The optimizer repeats a projected expression wherever it is used (a filter on the length of a
+    cleaned text would clean it again, even below the scan's repartitioning).  The output of a
+    generator is a plain column, so the expression runs once per row.
+    """
+    return df.withColumn(column, F.explode(F.array(value)))
+
+
 def clean_column(df: DataFrame, column: str = "text") -> DataFrame:
-    return df.withColumn(column, tx.clean_text(column))
+    return compute_once(df, column, tx.clean_text(column))
 
 
 def cut_dateline(df: DataFrame, column: str = "text", max_prefix_chars: int | None = None) -> DataFrame:
     """Prefix cut, then cleaning: the order used for wire reports."""
-    return df.withColumn(column, tx.clean_text(tx.delete_prefix(column, max_prefix_chars)))
+    return compute_once(df, column, tx.clean_text(tx.delete_prefix(column, max_prefix_chars)))
 
 
 def keep_language(df: DataFrame, language: str = "en", column: str = "lang", body: str | None = None) -> DataFrame:
@@ -59,8 +69,7 @@ def count_empty_texts(df: DataFrame, column: str = "text") -> DataFrame:
 
 def corpus_lines(df: DataFrame, column: str = "value") -> DataFrame:
     """Stripped lines of a line corpus without blanks and ``=`` headings."""
-    line = tx.strip(column)
-    kept = df.withColumn("text", line).where((F.col("text") != "") & ~F.startswith("text", F.lit("=")))
+    kept = compute_once(df, "text", tx.strip(column)).where((F.col("text") != "") & ~F.startswith("text", F.lit("=")))
     return kept if column == "text" else kept.drop(column)
 
 

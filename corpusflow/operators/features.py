@@ -19,11 +19,11 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import array_to_vector, predict_batch_udf
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from corpusflow.functions.tokens import TERM, terms
-from corpusflow.operators.lookup import lookup_join
+from corpusflow.operators.lookup import BROADCAST_ROWS
 from corpusflow.operators.vocab import top_terms
 from corpusflow.session import materialise
 
@@ -93,11 +93,13 @@ def tfidf_rows(
     )
     n_docs = df.count()
     idf = F.ln(F.lit(1.0 + n_docs) / (F.col("df") + 1.0)) + 1.0
-    weighted = lookup_join(tf, vocab.select("term", idf.alias("_idf")), "term", "inner", max(max_terms, 1)).select(
-        id_col, "term", (F.col("tf") * F.col("_idf")).alias("_w")
-    )
-    norm = weighted.groupBy(id_col).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-    return weighted.join(norm, id_col).select(id_col, "term", (F.col("_w") / F.col("_norm")).alias("weight"))
+    weights = vocab.select("term", idf.alias("_idf"))
+    if max_terms <= BROADCAST_ROWS:
+        weights = F.broadcast(weights)
+    weighted = tf.join(weights, "term").select(id_col, "term", (F.col("tf") * F.col("_idf")).alias("_w"))
+    # one document's terms, at most max_terms rows
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))
+    return weighted.select(id_col, "term", (F.col("_w") / norm).alias("weight"))
 
 
 def store_vectors(df: DataFrame, name: str = "vectors") -> DataFrame:

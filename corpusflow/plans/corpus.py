@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from corpusflow.functions.text import clean_text
 from corpusflow.operators import corpus as co
 from corpusflow.operators.dedup import drop_duplicate_texts
 from corpusflow.operators.labels import add_label_id, label_dim
@@ -15,7 +14,8 @@ def prepare_neural_news(df: DataFrame, language: str = "en") -> DataFrame:
     """Rows with a body in one language as ``(doc_id, label, text)``; label 0 is real, 1 neural."""
     kept = co.keep_language(df, language, "language", body="body")
     named = add_label_id(kept, label_dim(df.sparkSession), "neural_news", "label", "_id")
-    return named.select("doc_id", F.col("_id").alias("label"), clean_text("body").alias("text"))
+    rows = named.select("doc_id", F.col("_id").alias("label"), F.col("body").alias("text"))
+    return co.clean_column(rows)
 
 
 def prepare_corpus(
