@@ -230,8 +230,8 @@ _TASK_SQL = "list_value(" + ", ".join(f"'{t}'" for t in _TASK_LIST) + ")"
 _METRIC_SQL = "CASE task " + " ".join(f"WHEN '{t[0]}' THEN '{t[2]}'" for t in ta.TASKS) + " END"
 _HISTORY = f"""history AS (
       SELECT task, epoch, {_METRIC_SQL} AS metric_name, 'run/' || task || '/' || epoch AS model_path,
-        round(avg(n_chars % 211) / 100.0, 4) AS train_loss, round(avg(n_chars % 97) / 100.0, 4) AS val_loss,
-        round(avg(n_chars % 101) / 100.0, 4) AS val_metric
+        avg(n_chars % 211) / 100.0 AS train_loss, avg(n_chars % 97) / 100.0 AS val_loss,
+        avg(n_chars % 101) / 100.0 AS val_metric
       FROM (SELECT {_TASK_SQL}[doc_id % 9 + 1] AS task, (doc_id // 9 % 3 + 1)::INTEGER AS epoch, n_chars FROM documents)
       GROUP BY task, epoch),
     finals AS (
@@ -248,7 +248,7 @@ def history(spark, sf):
     rows = table(spark, sf, "documents").select(task.alias("task"), epoch.alias("epoch"), "n_chars")
     per_epoch = rows.groupBy("task", "epoch").agg(
         *[
-            F.round(F.avg(n % m) / 100.0, 4).alias(name)
+            (F.avg(n % m) / 100.0).alias(name)
             for name, m in (("train_loss", 211), ("val_loss", 97), ("val_metric", 101))
         ]
     )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -50,10 +52,17 @@ def nfkc(column: Column | str) -> Column:
     return F.coalesce(_nfkc(F.when(text.rlike(NFKC_CANDIDATE), text)), text)
 
 
-def words(column: Column | str, normalise: bool = True) -> Column:
-    """Array of words and punctuation runs, in order."""
+def words(column: Column | str, normalise: bool = True, special_tokens: Sequence[str] = ()) -> Column:
+    """Array of words and punctuation runs, in order.
+
+    ``special_tokens`` that the text spells out are kept in one piece.
+    """
     text = nfkc(column) if normalise else _col(column)
-    return F.regexp_extract_all(text, F.lit(WORD_OR_PUNCTUATION), F.lit(0))
+    pattern = WORD_OR_PUNCTUATION
+    if special_tokens:
+        spelled = "|".join(re.escape(token) for token in special_tokens)
+        pattern = rf"(?U){spelled}|\w+|(?:(?!{spelled})[^\w\s])+"
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
 def terms(column: Column | str, stop_words: list[str] | None = None) -> Column:

@@ -128,7 +128,7 @@ def _encode_by_join(df: DataFrame, vocab: DataFrame, column: str, out: str, id_c
 
     Tokens meet the encoded words in a shuffle join; AQE splits the partitions of frequent words.
     """
-    listed = df.select(id_col, F.posexplode(words(column)).alias("_at", "word"))
+    listed = df.select(id_col, F.posexplode(words(column, special_tokens=SPECIAL_TOKENS)).alias("_at", "word"))
     coded = encode_words_by_join(listed.select("word").distinct(), vocab)
     parts = listed.join(coded, "word").groupBy(id_col).agg(
         F.sort_array(F.collect_list(F.struct("_at", "ids"))).alias("_parts")
@@ -159,7 +159,8 @@ def encode(
     ids = df.sparkSession.sparkContext.broadcast({token: i for i, token in enumerate(tokens)})
     to_ids = _arrow_encoder(ids, unknown, MAX_WORD_CHARS)
     for source, out in columns:
-        df = df.withColumn(out, to_ids(F.coalesce(words(source), F.array().cast("array<string>"))))
+        found = words(source, special_tokens=SPECIAL_TOKENS)
+        df = df.withColumn(out, to_ids(F.coalesce(found, F.array().cast("array<string>"))))
     return df
 
 
