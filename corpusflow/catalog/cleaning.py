@@ -35,7 +35,7 @@ def corpus_summary(spark, sf):
 
 @query(
     "clean_text",
-    f"""SELECT doc_id, md5(c) AS digest, length(c) AS length
+    f"""SELECT doc_id, md5(c) AS digest, length(c)::INTEGER AS length
     FROM (SELECT doc_id, {clean_sql(_MESSY)} AS c FROM documents)""",
 )
 def clean_text(spark, sf):
@@ -96,7 +96,7 @@ def language_filter(spark, sf):
 
 @query(
     "class_subset",
-    f"WITH {CORPUS} SELECT doc_id, length(text) AS length FROM corpus WHERE source = 'fake'",
+    f"WITH {CORPUS} SELECT doc_id, length(text)::INTEGER AS length FROM corpus WHERE source = 'fake'",
 )
 def class_subset(spark, sf):
     return co.add_length(co.keep_class(corpus(spark, sf), "fake")).select("doc_id", "length")
@@ -108,12 +108,12 @@ def tag_source(spark, sf):
     return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("length").alias("total"))
 
 
-@query("text_length", "SELECT doc_id, length(text) AS length FROM documents")
+@query("text_length", "SELECT doc_id, length(text)::INTEGER AS length FROM documents")
 def text_length(spark, sf):
     return co.add_length(table(spark, sf, "documents")).select("doc_id", "length")
 
 
-@query("length_filter", "SELECT doc_id, length(text) AS length FROM documents WHERE length(text) BETWEEN 750 AND 5000")
+@query("length_filter", "SELECT doc_id, length(text)::INTEGER AS length FROM documents WHERE length(text) BETWEEN 750 AND 5000")
 def length_filter(spark, sf):
     return co.keep_lengths(co.add_length(table(spark, sf, "documents"))).select("doc_id", "length")
 
@@ -174,7 +174,7 @@ def optional_source(spark, sf):
 
 @query(
     "named_split",
-    """SELECT conv_id, turn, length(text) AS length FROM conversations WHERE role = 'assistant' AND turn % 4 = 1""",
+    """SELECT conv_id, turn, length(text)::INTEGER AS length FROM conversations WHERE role = 'assistant' AND turn % 4 = 1""",
 )
 def named_split(spark, sf):
     """Written with split and variant folders; one of them is read back."""
@@ -256,14 +256,14 @@ def alphabetical_labels(spark, sf):
 
 @query(
     "dedup_per_class",
-    f"WITH {CORPUS} SELECT source, min(doc_id) AS doc_id, length(text) AS length FROM corpus GROUP BY source, text",
+    f"WITH {CORPUS} SELECT source, min(doc_id) AS doc_id, length(text)::INTEGER AS length FROM corpus GROUP BY source, text",
 )
 def dedup_per_class(spark, sf):
     rows = dedup.drop_duplicate_texts(corpus(spark, sf), ("source",))
     return rows.select("source", "doc_id", F.length("text").alias("length"))
 
 
-@query("dedup_global", "SELECT min(doc_id) AS doc_id, length(text) AS length FROM documents GROUP BY text")
+@query("dedup_global", "SELECT min(doc_id) AS doc_id, length(text)::INTEGER AS length FROM documents GROUP BY text")
 def dedup_global(spark, sf):
     rows = dedup.drop_duplicate_texts(corpus(spark, sf))
     return rows.select("doc_id", F.length("text").alias("length"))
@@ -293,7 +293,7 @@ def union_sources(spark, sf):
 
 @query(
     "union_distinct",
-    """SELECT min(doc_id) AS doc_id, length(text) AS length FROM (
+    """SELECT min(doc_id) AS doc_id, length(text)::INTEGER AS length FROM (
       SELECT doc_id, text FROM documents UNION ALL SELECT -1 - item_id, text FROM benchmark
       UNION ALL SELECT 1000000000000 + conv_id * 1000 + turn, text FROM conversations) GROUP BY text""",
 )
@@ -337,7 +337,7 @@ _PREPARED = f"""{CORPUS}, news AS (
 @query(
     "prepare_corpus",
     f"""WITH {_PREPARED}
-    SELECT source, min(doc_id) AS doc_id, length(text) AS length, md5(text) AS digest FROM everything
+    SELECT source, min(doc_id) AS doc_id, length(text)::INTEGER AS length, md5(text) AS digest FROM everything
     WHERE length(text) BETWEEN 750 AND 5000 GROUP BY source, text""",
 )
 def prepare_corpus_query(spark, sf):
@@ -350,7 +350,7 @@ def prepare_corpus_query(spark, sf):
 @query(
     "prepare_corpus_global",
     f"""WITH {_PREPARED}
-    SELECT arg_min(source, doc_id) AS source, min(doc_id) AS doc_id, length(text) AS length FROM everything GROUP BY text""",
+    SELECT arg_min(source, doc_id) AS source, min(doc_id) AS doc_id, length(text)::INTEGER AS length FROM everything GROUP BY text""",
 )
 def prepare_corpus_global(spark, sf):
     base = corpus(spark, sf).select("doc_id", "text", "source")

@@ -30,7 +30,7 @@ def shuffle_key(spark, sf):
     return sa.with_shuffle_key(_slim(spark, sf)).select("doc_id", "shuffle_key")
 
 
-@query("shuffled", "SELECT doc_id, length(text) AS length FROM documents ORDER BY md5('42:' || doc_id), doc_id")
+@query("shuffled", "SELECT doc_id, length(text)::INTEGER AS length FROM documents ORDER BY md5('42:' || doc_id), doc_id")
 def shuffled(spark, sf):
     return sa.shuffled(_slim(spark, sf)).select("doc_id", F.length("text").alias("length"))
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from corpusflow.catalog.base import query, table
 from corpusflow.catalog.evaluation import _TURNS, turns
 from corpusflow.functions import arrays as ar, tokens as tk
-from corpusflow.operators import encode as en, vocab as vo
+from corpusflow.operators import encode as en, models as mo, vocab as vo
 from corpusflow.session import materialise, scratch_path
 from corpusflow.sources import stores
 
@@ -87,7 +88,7 @@ def nfkc(spark, sf):
 
 @query(
     "split_words",
-    f"""SELECT doc_id, len(f) AS n_words, md5(array_to_string(f, ' ')) AS digest
+    f"""SELECT doc_id, len(f)::INTEGER AS n_words, md5(array_to_string(f, ' ')) AS digest
     FROM (SELECT doc_id, regexp_extract_all(text, '{_WORDS}') AS f FROM documents)""",
 )
 def split_words(spark, sf):
@@ -125,7 +126,7 @@ def encode_words(spark, sf):
 @query(
     "encode_single",
     f"""WITH RECURSIVE {_VOCAB}, {_DOC_TEXTS}, {_pieces_sql('texts')}
-    SELECT id AS doc_id, len(found) AS n_tokens, md5({_join_sql('found')}) AS all_tokens,
+    SELECT id AS doc_id, len(found)::INTEGER AS n_tokens, md5({_join_sql('found')}) AS all_tokens,
       {_join_sql("list_resize([1] || found[1:126] || [2], 128, 0)")} AS input_ids FROM ids""",
 )
 def encode_single(spark, sf):
@@ -170,6 +171,30 @@ def pad_mask(spark, sf):
     return rows.select("item_id", F.size(F.filter(mask, lambda m: m)).cast("bigint").alias("n_padding"))
 
 
+def _make_token_sums():
+    """A stand-in for a sequence model: the sum of the ids and the number of real tokens."""
+
+    def run(ids):
+        return np.stack([ids.sum(axis=1), (ids != 0).sum(axis=1)], axis=1)
+
+    return run
+
+
+@query(
+    "dynamic_padding_scores",
+    f"""WITH RECURSIVE {_VOCAB}, texts AS (SELECT item_id AS id, text FROM benchmark), {_pieces_sql('texts')}
+    SELECT id AS item_id, (list_sum(found[1:126]) + 3)::BIGINT AS id_sum, (len(found[1:126]) + 2)::BIGINT AS n_real FROM ids""",
+)
+def dynamic_padding_scores(spark, sf):
+    """Unpadded inputs, padded batch by batch inside the scorer."""
+    items = table(spark, sf, "benchmark")
+    rows = en.model_input(en.encode(items, vocabulary(spark, sf), id_col="item_id"), "tokens", pad=False)
+    scored = mo.score_tokens(rows, _make_token_sums)
+    return scored.select(
+        "item_id", *[F.get("logits", F.lit(i)).cast("bigint").alias(n) for i, n in enumerate(("id_sum", "n_real"))]
+    )
+
+
 @query(
     "decode",
     f"""WITH RECURSIVE {_VOCAB}, {_DOC_TEXTS}, {_pieces_sql('texts')},

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corpusflow.operators.lookup import lookup_join
+from corpusflow.operators.lookup import is_small, lookup_join
+
+MAX_LABELS = 10_000
 
 # Label -> id per scheme.
 SCHEMES = {
@@ -28,10 +30,11 @@ def label_dim(spark: SparkSession) -> DataFrame:
 def alphabetical_scheme(df: DataFrame, column: str, scheme: str = "alphabetical") -> DataFrame:
     """Distinct labels numbered from 0 in sorted order, as a label dimension.
 
-    The id is the number of smaller labels.  Distinct labels are few; they are gathered into one
-    sorted array per row of a one-row aggregate, never the data itself.
+    The distinct labels, checked to be few, are gathered into one sorted array.
     """
     labels = df.select(F.col(column).alias("label")).where("label is not null").distinct()
+    if not is_small(labels, MAX_LABELS):
+        raise ValueError(f"{column} has more than {MAX_LABELS} labels")
     ordered = labels.agg(F.sort_array(F.collect_list("label")).alias("_all"))
     return ordered.select(F.lit(scheme).alias("scheme"), F.posexplode("_all").alias("label_id", "label")).select(
         "scheme", "label", "label_id"

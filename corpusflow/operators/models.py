@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.clustering import KMeans
@@ -82,6 +84,37 @@ def score_with(
     return df.withColumn(out, model(*columns))
 
 
+def score_tokens(
+    df: DataFrame,
+    make_predict: Callable,
+    column: str = "input_ids",
+    out: str = "logits",
+    batch_size: int = 16,
+    pad_id: int = 0,
+) -> DataFrame:
+    """Logits from the caller's model for unpadded token arrays.
+
+    Each batch is padded to its own longest row, so short texts do not pay for long ones.  The
+    predict function gets a ``(rows, width)`` integer matrix.
+    """
+
+    @F.pandas_udf(ArrayType(FloatType()))
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        predict_batch = make_predict()
+        for part in parts:
+            rows = part.to_numpy()
+            scores: list = []
+            for start in range(0, len(rows), batch_size):
+                batch = rows[start : start + batch_size]
+                padded = np.full((len(batch), max(1, *map(len, batch))), pad_id, dtype=np.int64)
+                for i, ids in enumerate(batch):
+                    padded[i, : len(ids)] = ids
+                scores.extend(np.asarray(predict_batch(padded), dtype=np.float32))
+            yield pd.Series(scores, dtype=object)
+
+    return df.withColumn(out, run(column))
+
+
 def finish_predictions(df: DataFrame, logits: str = "logits", out: str = "prediction") -> DataFrame:
     """Class index for classification rows, clipped and rounded score for regression rows.
 

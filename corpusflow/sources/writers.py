@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 CSV_OPTIONS = {
     "header": True,
@@ -43,15 +43,13 @@ def write_lines(df: DataFrame, path: str, column: str = "text") -> None:
     df.select(column).write.mode("errorifexists").text(path)
 
 
-def write_submissions(df: DataFrame, path: str, one_file_each: bool = True) -> None:
+def write_submissions(df: DataFrame, path: str) -> None:
     """Tab-separated ``index, prediction`` files, one folder per ``output_name``, in index order.
 
-    Prediction rows are two numbers, so one file per output stays small even for large test sets;
-    with ``one_file_each=False`` the files follow the input partitions instead.
+    Rows are range-partitioned by output and index: a small test set becomes one file, a large one
+    several files that follow each other, never one task.
     """
-    rows = df.select("output_name", "index", "prediction")
-    if one_file_each:
-        rows = rows.repartition("output_name")
+    rows = df.select("output_name", "index", "prediction").repartitionByRange("output_name", "index")
     rows.sortWithinPartitions("output_name", "index").write.mode("errorifexists").partitionBy("output_name").option(
         "sep", "\t"
     ).option("header", True).csv(path)
@@ -59,9 +57,3 @@ def write_submissions(df: DataFrame, path: str, one_file_each: bool = True) -> N
 
 def write_results(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").json(path)
-
-
-def text_prediction(column: str = "prediction"):
-    """How a prediction is printed: classes as integers, scores with one decimal."""
-    value = F.col(column)
-    return F.when(F.col("is_regression"), F.format_number(value, "0.0")).otherwise(value.cast("bigint").cast("string"))
