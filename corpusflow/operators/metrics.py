@@ -207,6 +207,8 @@ def spearman(df: DataFrame, keys: Sequence[str] = (), x: str = "prediction", y:
     rank_x = average_ranks(pairs, "_x", keys).select(*keys, F.col("value").alias("_x"), F.col("rank").alias("_rx"))
     rank_y = average_ranks(pairs, "_y", keys).select(*keys, F.col("value").alias("_y"), F.col("rank").alias("_ry"))
     joint = pairs.groupBy(*keys, "_x", "_y").agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    # a side with few distinct values is broadcast by AQE; a hot value of a long rank table is split by
+    # its skew join
     ranked = joint.join(rank_x, [*keys, "_x"]).join(rank_y, [*keys, "_y"])
     n, rx, ry = F.col("_n"), F.col("_rx"), F.col("_ry")
     rows = F.sum(n)

@@ -17,7 +17,8 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "128m",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Text rows are wide: bound an Arrow batch by rows so that one batch stays in tens of MB.
+    # Text rows are wide: bound an Arrow batch by bytes, and by rows for the arrays made from it.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
