@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusflow.llm.common import table
+from corpusflow.llm.common import blocks_for, table
 from corpusflow.llm.line_dedup import dedup_lines
+from corpusflow.llm.packing import pack_documents
+from corpusflow.llm.pieces import decode_column, encode_column, load_model
+from corpusflow.llm.token_files import manifest, scan_token_files, write_token_files
+from corpusflow.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -23,6 +27,51 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def piece_model() -> bytes:
+    """The public 32k piece model."""
+    import public_tokenizers
+
+    return load_model(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op1_packed_rows")
+def op1_packed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into rows of 2,048 ids; the matrices as digests."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = pack_documents(docs, piece_model(), shards=blocks_for(docs, "text", 8_000_000))
+    return rows.select(
+        "shard", "bin", "n_tokens", "cu_seqlens", "doc_ids", "offsets",
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("positions", 256).alias("positions_sha256"),
+    )
+
+
+@query("op4_piece_ids")
+def op4_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document with begin and end id, and the text they decode to, as digests."""
+    model = piece_model()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = docs.select("doc_id", encode_column(F.col("text"), model, begin=True, end=True).alias("ids"))
+    decoded = encoded.select("doc_id", "ids", decode_column(F.col("ids"), model).alias("decoded"))
+    return decoded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+@query("op10_token_counts")
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document, counted from flat token files of the whole table."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    parts = blocks_for(docs, "text", 32_000_000, least=16)
+    path = scratch_path(spark, "tokens")
+    write_token_files(docs, path, piece_model(), parts)
+    counts = scan_token_files(spark, path)
+    placed = counts.withColumn("part", F.regexp_extract("path", "part=([0-9]+)", 1).cast("int"))
+    return placed.join(manifest(docs, parts), ["part", "doc"]).select(F.col("id").alias("doc_id"), "n_tokens")
+
+
 LINES_SQL = """
 WITH lines AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM {docs} WHERE text IS NOT NULL),
 starts AS (SELECT doc_id, ls, unnest(range(len(ls) - 2)) AS pos FROM lines WHERE len(ls) >= 3),
