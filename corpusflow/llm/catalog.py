@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusflow.llm.common import blocks_for, table
+from corpusflow.llm.decontaminate import TEMPLATE_STEPS, contaminated
 from corpusflow.llm.line_dedup import dedup_lines
 from corpusflow.llm.packing import pack_documents
-from corpusflow.llm.pieces import decode_column, encode_column, load_model
+from corpusflow.llm.pieces import decode_ids, encode_texts, load_model
+from corpusflow.llm.sentence_dedup import dedup_sentences
 from corpusflow.llm.token_files import manifest, scan_token_files, write_token_files
 from corpusflow.session import scratch_path
 
@@ -50,9 +52,8 @@ def op4_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document with begin and end id, and the text they decode to, as digests."""
     model = piece_model()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = docs.select("doc_id", encode_column(F.col("text"), model, begin=True, end=True).alias("ids"))
-    decoded = encoded.select("doc_id", "ids", decode_column(F.col("ids"), model).alias("decoded"))
-    return decoded.select(
+    encoded = encode_texts(docs, model, begin=True, end=True).drop("text")
+    return decode_ids(encoded, model).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
@@ -93,3 +94,81 @@ FROM {docs} d LEFT JOIN kept k USING (doc_id)"""
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the three-line passages that occurred before."""
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+SENTENCES_SQL = """
+WITH cut AS (
+  SELECT doc_id, regexp_replace(regexp_replace(text, '([.!?][ \\t]{1,8})', '\\1' || chr(1), 'g'), '(\\n+)', '\\1' || chr(1), 'g') AS t
+  FROM documents WHERE text IS NOT NULL),
+sentences AS (SELECT doc_id, list_filter(string_split(t, chr(1)), lambda x: x <> '') AS ss FROM cut),
+starts AS (SELECT doc_id, ss, unnest(range(len(ss) - 1)) AS pos FROM sentences WHERE len(ss) >= 2),
+runs AS (
+  SELECT doc_id, pos, trim(ss[pos + 1], ' ' || chr(9) || chr(10) || chr(13)) AS a, trim(ss[pos + 2], ' ' || chr(9) || chr(10) || chr(13)) AS b
+  FROM starts),
+counted AS (
+  SELECT doc_id, pos, a || chr(31) || b AS run FROM runs
+  WHERE length(a) - length(replace(a, ' ', '')) + length(b) - length(replace(b, ' ', '')) + 2 >= 16),
+ranked AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY run ORDER BY doc_id NULLS FIRST, pos) AS k FROM counted),
+covered AS (SELECT DISTINCT doc_id, unnest([pos, pos + 1]) AS pos FROM ranked WHERE k > 1),
+numbered AS (SELECT doc_id, unnest(ss) AS s, unnest(range(len(ss))) AS pos FROM sentences),
+kept AS (
+  SELECT doc_id, string_agg(s, '' ORDER BY pos) AS text, count(*) AS n
+  FROM numbered ANTI JOIN covered USING (doc_id, pos) GROUP BY doc_id),
+sizes AS (SELECT doc_id, len(ss) AS n FROM sentences)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
+       CAST(CASE WHEN d.text IS NULL THEN 0 ELSE z.n - coalesce(k.n, 0) END AS INTEGER) AS sentences_removed
+FROM documents d LEFT JOIN kept k USING (doc_id) LEFT JOIN sizes z USING (doc_id)"""
+
+
+@query("op9_sentence_spans", SENTENCES_SQL)
+def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages of several sentences that occurred before."""
+    return dedup_sentences(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _template_sql(text: str) -> str:
+    out = f"translate({text}, '<>', '  ')"
+    for pattern, to in TEMPLATE_STEPS:
+        out = "regexp_replace({}, '{}', '{}', 'g')".format(out, pattern.replace("'", "''"), to)
+    return f"string_split_regex(trim(lower({out})), ' +')"
+
+
+TEMPLATES_CTE = f"""
+items AS (SELECT DISTINCT item_id, text, {_template_sql("text")} AS tokens FROM benchmark WHERE text IS NOT NULL),
+docs AS (SELECT DISTINCT doc_id, text, {_template_sql("text")} AS tokens FROM DOCS_TABLE WHERE text IS NOT NULL),
+item_windows AS (
+  SELECT item_id, q, tokens[q + 1 : q + 8] AS w
+  FROM (SELECT item_id, tokens, unnest(range(len(tokens) - 7)) AS q FROM items WHERE len(tokens) >= 8)
+  WHERE len(list_filter(tokens[q + 1 : q + 8], lambda t: substr(t, 1, 1) <> '<')) >= 4),
+doc_windows AS (
+  SELECT doc_id, pos, tokens[pos + 1 : pos + 8] AS w
+  FROM (SELECT doc_id, tokens, unnest(range(len(tokens) - 7)) AS pos FROM docs WHERE len(tokens) >= 8)),
+item_keys AS (
+  SELECT item_id, q, w, array_to_string(list_transform(w, lambda t: CASE WHEN substr(t, 1, 1) = '<' THEN substr(t, 1, 2) ELSE t END), ' ') AS k
+  FROM item_windows),
+doc_keys AS (
+  SELECT doc_id, pos, w, array_to_string(list_transform(w, lambda t: CASE WHEN substr(t, 1, 1) = '<' THEN substr(t, 1, 2) ELSE t END), ' ') AS k
+  FROM doc_windows),
+hits AS (SELECT d.doc_id, i.item_id, i.q, d.w AS found, i.w AS asked FROM doc_keys d JOIN item_keys i USING (k)),
+sizes AS (SELECT item_id, count(*) AS asked FROM item_keys GROUP BY item_id),
+pairs AS (
+  SELECT doc_id, item_id, count(DISTINCT q) AS windows, count(DISTINCT q) / any_value(z.asked) AS coverage
+  FROM hits JOIN sizes z USING (item_id) GROUP BY doc_id, item_id HAVING count(DISTINCT q) >= 0.5 * any_value(z.asked)),
+slot_pairs AS (
+  SELECT DISTINCT doc_id, item_id, asked, found
+  FROM (SELECT doc_id, item_id, unnest(asked) AS asked, unnest(found) AS found FROM hits) WHERE substr(asked, 1, 1) = '<'),
+slots AS (
+  SELECT doc_id, item_id, count(DISTINCT asked) AS slots, count(*) AS n, count(*) FILTER (WHERE asked <> found) AS changed
+  FROM slot_pairs GROUP BY doc_id, item_id),
+found AS (
+  SELECT p.doc_id, p.item_id, p.windows, p.coverage, CAST(coalesce(s.slots, 0) AS INTEGER) AS slots,
+         CAST(coalesce(s.changed, 0) AS INTEGER) AS changed_slots
+  FROM pairs p LEFT JOIN slots s USING (doc_id, item_id) WHERE coalesce(s.slots, 0) >= 0.8 * coalesce(s.n, 0))"""
+
+
+@query("op3_benchmark_templates", f"WITH {TEMPLATES_CTE} SELECT * FROM found".replace("DOCS_TABLE", "documents"))
+def op3_benchmark_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, word for word or with other names and numbers."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return found.withColumnsRenamed({"id": "doc_id", "item": "item_id"})

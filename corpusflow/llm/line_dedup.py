@@ -9,49 +9,17 @@ covered, and covered lines go.  Everything is DataFrame functions.
 * A document whose lines are all covered keeps its row, with an empty text.
 * Repeated rows (same id, same text) are one occurrence: they keep or lose the same lines.
   Rows that share an id but not the text are ordered by a digest of the text.
-* A null id counts as the smallest.  Extra columns pass through, whatever their names.
+* A null id counts as the smallest.  Extra columns pass through, whatever their names; one named like
+  the count is replaced.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
-
-from corpusflow.llm.common import packed, row_key, skew_join, unpacked
-from corpusflow.session import materialise
-
-
-def line_windows(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, key, pos, window): the digest of each run of ``width`` lines that are not all blank."""
-    lines = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"), F.split(text_col, "\n", -1).alias("lines"))
-
-    def window(i):
-        run = [F.get(F.col("lines"), i + j) for j in range(width)]
-        blank = F.lit(True)
-        for line in run:
-            blank = blank & (F.trim(line) == "")
-        return F.when(~blank, F.struct(i.alias("pos"), F.unhex(F.md5(F.concat_ws("\n", *run))).alias("window")))
-
-    starts = F.sequence(F.lit(0), F.size("lines") - width)
-    runs = F.when(F.size("lines") >= width, F.transform(starts, window))
-    return lines.select("id", "key", F.explode(runs).alias("w")).where("w IS NOT NULL").select("id", "key", "w.pos", "w.window")
-
-
-def later_windows(windows: DataFrame) -> DataFrame:
-    """(key, starts): sorted start lines of the windows of a row that occurred before."""
-    place = F.struct("id", "key", "pos")
-    firsts = windows.groupBy("window").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = skew_join(windows, firsts, ["window"], "n").where(~F.struct("id", "key", "pos").eqNullSafe(F.col("first")))
-    return later.groupBy("key").agg(F.array_sort(F.collect_set("pos")).alias("starts"))
+from functools import reduce
 
+from pyspark.sql import DataFrame, functions as F
 
-def uncovered(lines, starts, width: int):
-    """The lines outside all windows: start positions are merged into runs, the gaps between runs kept."""
-    n = F.size(starts)
-    heads = F.filter(starts, lambda x, i: (i == 0) | (x - F.get(starts, i - 1) > width))
-    tails = F.filter(starts, lambda x, i: (i == n - 1) | (F.get(starts, i + 1) - x > width))
-    begin = F.concat(F.array(F.lit(0)), F.transform(tails, lambda x: x + width))
-    end = F.concat(heads, F.array(F.size(lines)))
-    return F.flatten(F.zip_with(begin, end, lambda a, b: F.slice(lines, a + 1, b - a)))
+from corpusflow.llm.spans import cut_repeats
 
 
 def dedup_lines(
@@ -61,12 +29,9 @@ def dedup_lines(
 
     ``count_col=None`` returns the columns of ``docs`` alone.
     """
-    windows = materialise(line_windows(docs.where(F.col(text_col).isNotNull()), id_col, text_col, width), "windows")
-    rows = packed(docs, key=row_key(id_col, text_col)).join(later_windows(windows), "key", "left")
-    text = F.col("row").getField(text_col)
-    split = rows.withColumn("lines", F.when(F.col("starts").isNotNull(), F.split(text, "\n", -1)))
-    kept = split.withColumn("kept", F.when(F.col("starts").isNotNull(), uncovered(F.col("lines"), F.col("starts"), width)))
-    changed = {text_col: F.when(F.col("starts").isNull(), text).otherwise(F.array_join("kept", "\n"))}
-    if count_col:
-        changed[count_col] = F.coalesce(F.size("lines") - F.size("kept"), F.lit(0))
-    return unpacked(kept, docs.columns, **changed)
+    return cut_repeats(
+        docs, id_col, text_col, width, count_col=count_col, glue="\n",
+        cut=lambda text: F.split(text, "\n", -1),
+        digest=lambda run: F.concat_ws("\n", *run),
+        counts=lambda run: reduce(lambda a, b: a | b, [F.trim(line) != "" for line in run]),
+    )

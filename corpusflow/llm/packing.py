@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from corpusflow.llm.common import row_key
-from corpusflow.llm.pieces import encode_column
+from corpusflow.llm.pieces import encode_texts
 
 PACKED = (
     "shard int, bin int, n_tokens int, ids binary, positions binary, cu_seqlens array<int>,"
@@ -113,8 +113,9 @@ def pack_documents(
     key = row_key(id_col, text_col)
     rows = docs.select(
         F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard"), F.col(id_col).cast("bigint").alias("id"), key.alias("key"),
-        encode_column(F.col(text_col), model, width, end=end).alias("ids"),
+        F.col(text_col).alias("text"),
     )
+    rows = encode_texts(rows, model, width=width, end=end).drop("text")
     return rows.groupBy("shard").applyInPandas(_pack_shard(row_length, width, pad_id), PACKED)
 
 

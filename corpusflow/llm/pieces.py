@@ -2,7 +2,7 @@
 
 In a model whose pieces never run from text into a whitespace marker, a text can be cut before each
 run of markers, and every chunk (markers, then one word) is segmented on its own.  A task keeps a table
-from distinct chunk to ids: a batch's new chunks are segmented once, together; the texts are then
+from distinct chunk to ids: a text's new chunks are segmented once, together; the texts are then
 joined from the table by position.  The table holds at most ``TABLE_CHUNKS`` chunks; a full one is
 started anew, which costs time and changes no result.
 
@@ -16,14 +16,19 @@ started anew, which costs time and changes no result.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import DataFrame
+from pyspark.sql.types import BinaryType, DataType, StringType, StructField, StructType
+
+if TYPE_CHECKING:
+    import pyarrow as pa
 
 MARK = "▁"
-TABLE_CHUNKS = 200_000
+TABLE_CHUNKS = 100_000
+SLICE_ROWS = 100
 
 
 def load_model(path: str) -> bytes:
@@ -72,28 +77,43 @@ class ChunkTable:
             yield b"".join(map(self.known.__getitem__, chunks))
 
 
-def encode_column(text: Column, model: bytes, width: int = 4, begin: bool = False, end: bool = False) -> Column:
-    """The ids of each text as binary."""
+def _with_column(df: DataFrame, name: str, kind: DataType, source: str, start: Callable[[], Callable[[list], Iterable]]) -> DataFrame:
+    """``df`` with a column made from ``source`` in slices of SLICE_ROWS rows, which bounds a task's memory."""
+    kept = [c for c in df.columns if c != name]
+    schema = StructType([*[df.schema[c] for c in kept], StructField(name, kind)])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        make, arrow_kind = start(), pa.binary() if isinstance(kind, BinaryType) else pa.string()
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                new = pa.array(make(part.column(source).to_pylist()), arrow_kind)
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], new], [*kept, name])
+
+    return df.mapInArrow(add, schema)
 
-    @F.pandas_udf("binary")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+
+def encode_texts(
+    docs: DataFrame, model: bytes, text_col: str = "text", ids_col: str = "ids", width: int = 4, begin: bool = False, end: bool = False
+) -> DataFrame:
+    """``docs`` with the ids of each text as binary."""
+
+    def start():
         table = ChunkTable(model, width)
         first = np.asarray([table.sp.bos_id()], table.kind).tobytes() if begin else b""
         last = np.asarray([table.sp.eos_id()], table.kind).tobytes() if end else b""
-        for batch in batches:
-            yield pd.Series([first + ids + last for ids in table.encode(batch.tolist())], dtype=object)
+        return lambda texts: [first + ids + last for ids in table.encode([t or "" for t in texts])]
 
-    return encode(F.coalesce(text, F.lit("")))
+    return _with_column(docs, ids_col, BinaryType(), text_col, start)
 
 
-def decode_column(ids: Column, model: bytes, width: int = 4) -> Column:
-    """The text of each row's ids, as the library decodes them; null ids give null."""
+def decode_ids(rows: DataFrame, model: bytes, ids_col: str = "ids", text_col: str = "decoded", width: int = 4) -> DataFrame:
+    """``rows`` with the text of each row's ids, as the library decodes them; null ids give null."""
 
-    @F.pandas_udf("string")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def start():
         sp = _processor(model)
-        for batch in batches:
-            texts = [None if x is None else sp.decode(np.frombuffer(x, f"<u{width}").tolist()) for x in batch]
-            yield pd.Series(texts, dtype=object)
+        return lambda all_ids: [None if x is None else sp.decode(np.frombuffer(x, f"<u{width}").tolist()) for x in all_ids]
 
-    return decode(ids)
+    return _with_column(rows, text_col, StringType(), ids_col, start)

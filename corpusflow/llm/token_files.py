@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from corpusflow.llm.common import row_key
-from corpusflow.llm.pieces import encode_column
+from corpusflow.llm.pieces import encode_texts
 
 WIDTH = 2
 # The end id 2 as two little-endian bytes is plain text, so Spark's text writer can put it after each row.
@@ -35,8 +35,8 @@ def _part(id_col: str, text_col: str, parts: int) -> Column:
 
 def write_token_files(docs: DataFrame, path: str, model: bytes, parts: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Flat 16-bit token files below ``path``, one a part, each document followed by the end id."""
-    ids = encode_column(F.col(text_col), model, WIDTH).cast("string")  # the bytes as they are
-    rows = docs.select(_part(id_col, text_col, parts), F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"), ids.alias("value"))
+    rows = docs.select(_part(id_col, text_col, parts), F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    rows = encode_texts(rows, model, width=WIDTH).select("part", "id", "key", F.col("ids").cast("string").alias("value"))  # the bytes as they are
     ordered = rows.repartition(parts, "part").sortWithinPartitions("part", "id", "key")
     ordered.select("part", "value").write.partitionBy("part").option("lineSep", SEPARATOR).option("compression", "none").text(path)
 

@@ -46,10 +46,9 @@ def test_chunks_equal_whole_texts(library, monkeypatch):
 
 def test_odd_rows(odd, library):
     model = piece_model()
-    both = odd.withColumn("ids", pieces.encode_column(F.col("text"), model, begin=True, end=True))
-    both = both.withColumn("decoded", pieces.decode_column(F.col("ids"), model))
+    both = pieces.decode_ids(pieces.encode_texts(odd, model, begin=True, end=True), model)
     rows = both.collect()
-    assert len(rows) == len(ROWS) and both.columns == [*odd.columns, "decoded"]
+    assert len(rows) == len(ROWS) and set(both.columns) == {*odd.columns, "decoded"}
     for row in rows:
         ids = library.encode(row["text"] or "", add_bos=True, add_eos=True)
         assert numbers(row["ids"]) == ids and row["decoded"] == library.decode(ids)
@@ -135,7 +134,7 @@ def test_empty_table(spark, odd):
     path = scratch_path(spark, "tokens")
     write_token_files(none, path, piece_model(), 3)
     assert scan_token_files(spark, path).count() == 0 and manifest(none, 3).count() == 0
-    assert none.select(pieces.encode_column(F.col("text"), piece_model())).count() == 0
+    assert pieces.encode_texts(none, piece_model()).count() == 0
 
 
 def test_packed_query_holds_every_document(spark, sf_dir, library):
