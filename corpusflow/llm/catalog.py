@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusflow.llm.common import blocks_for, table
 from corpusflow.llm.decontaminate import TEMPLATE_STEPS, contaminated
+from corpusflow.llm.jaccard_join import jaccard_classes
 from corpusflow.llm.line_dedup import dedup_lines
 from corpusflow.llm.packing import pack_documents
 from corpusflow.llm.pieces import decode_ids, encode_texts, load_model
@@ -172,3 +173,30 @@ def op3_benchmark_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = contaminated(docs, table(spark, sf_dir, "benchmark"))
     return found.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
+
+
+JACCARD_CTE = """
+words AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') AS ws FROM DOCS_TABLE),
+runs AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i + 1 : i + 5], ' ') AS s
+  FROM (SELECT doc_id, ws, unnest(range(greatest(len(ws) - 4, 1))) AS i FROM words WHERE len(ws) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM runs GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM runs a JOIN runs b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT c.a, c.b FROM common c JOIN sizes x ON x.doc_id = c.a JOIN sizes y ON y.doc_id = c.b WHERE c.n / (x.n + y.n - c.n) >= 0.8),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM DOCS_TABLE UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+classes AS (SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY a),
+counts AS (SELECT a AS doc_id, count(*) AS n_links FROM links GROUP BY a)"""
+
+
+@query(
+    "op6_jaccard_links",
+    f"WITH RECURSIVE {JACCARD_CTE} SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links FROM classes LEFT JOIN counts USING (doc_id)".replace(
+        "DOCS_TABLE", "documents"
+    ),
+)
+def op6_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class of near duplicates and its number of links."""
+    classes = jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return classes.select(F.col("id").alias("doc_id"), "class_id", "n_links")
