@@ -14,6 +14,7 @@ from corpusflow.llm.packing import pack_documents
 from corpusflow.llm.pieces import decode_ids, encode_texts, load_model
 from corpusflow.llm.sentence_dedup import dedup_sentences
 from corpusflow.llm.token_files import manifest, scan_token_files, write_token_files
+from corpusflow.llm.toxicity import score_toxicity
 from corpusflow.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -200,3 +201,10 @@ def op6_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its class of near duplicates and its number of links."""
     classes = jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return classes.select(F.col("id").alias("doc_id"), "class_id", "n_links")
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learned outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_toxicity(docs, table(spark, sf_dir, "labels")).drop("text")
