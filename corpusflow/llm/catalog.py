@@ -10,6 +10,7 @@ from corpusflow.llm.common import blocks_for, table
 from corpusflow.llm.decontaminate import TEMPLATE_STEPS, contaminated
 from corpusflow.llm.jaccard_join import jaccard_classes
 from corpusflow.llm.line_dedup import dedup_lines
+from corpusflow.llm.nearest import nearest_neighbours
 from corpusflow.llm.packing import pack_documents
 from corpusflow.llm.pieces import decode_ids, encode_texts, load_model
 from corpusflow.llm.sentence_dedup import dedup_sentences
@@ -208,3 +209,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity, learned outside the held-out fold."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return score_toxicity(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
+@query("op7_nearest_vectors")
+def op7_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth."""
+    found = nearest_neighbours(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 50 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
