@@ -14,7 +14,7 @@ from corpusflow.llm.nearest import nearest_neighbours
 from corpusflow.llm.packing import pack_documents
 from corpusflow.llm.pieces import decode_ids, encode_texts, load_model
 from corpusflow.llm.sentence_dedup import dedup_sentences
-from corpusflow.llm.token_files import manifest, scan_token_files, write_token_files
+from corpusflow.llm.token_files import file_number, placed_ids, scan_token_files, write_token_files
 from corpusflow.llm.toxicity import score_toxicity
 from corpusflow.session import scratch_path
 
@@ -68,12 +68,10 @@ def op4_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each document, counted from flat token files of the whole table."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    parts = blocks_for(docs, "text", 32_000_000, least=16)
     path = scratch_path(spark, "tokens")
-    write_token_files(docs, path, piece_model(), parts)
-    counts = scan_token_files(spark, path)
-    placed = counts.withColumn("part", F.regexp_extract("path", "part=([0-9]+)", 1).cast("int"))
-    return placed.join(manifest(docs, parts), ["part", "doc"]).select(F.col("id").alias("doc_id"), "n_tokens")
+    write_token_files(docs, path, piece_model())
+    counts = scan_token_files(spark, path, within="/kind=tokens/").withColumn("number", file_number(F.col("path")))
+    return counts.join(placed_ids(spark, path), ["number", "doc"]).select(F.col("id").alias("doc_id"), "n_tokens")
 
 
 LINES_SQL = """

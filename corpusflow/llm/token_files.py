@@ -8,8 +8,8 @@ many documents ended before it, come from running values over the blocks of the
 * Two separators in a row are an empty document (0 tokens); an empty file holds no document.
 * Tokens after the last separator are one more document, marked ``ended = false``.
 * A file whose size is not a multiple of the token width is an error.
-* Null and empty texts are written as empty documents.  Repeated rows are separate documents.
-* Documents of a file lie in the order of (id, digest of id and text), a null id first.
+* Null and empty texts are written as empty documents.  Repeated rows are separate documents; a null id stays null.
+* Documents of a file lie in the order of the task's rows.  Extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from corpusflow.llm.common import row_key
 from corpusflow.llm.pieces import encode_texts
 
 WIDTH = 2
@@ -29,23 +28,33 @@ END_ID = 2
 SEPARATOR = "\x02\x00"
 
 
-def _part(id_col: str, text_col: str, parts: int) -> Column:
-    return F.pmod(F.xxhash64(row_key(id_col, text_col)), F.lit(parts)).cast("int").alias("part")
+def write_token_files(docs: DataFrame, path: str, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Flat 16-bit token files in ``path/kind=tokens``, one a task, each document followed by the end id.
 
+    Nothing is shuffled.  Beside each token file the task writes its documents' places and ids in
+    ``path/kind=ids``, under the same file number; :func:`placed_ids` reads them.
+    """
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # the row's number within its task
+    rows = docs.select(place.alias("place"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    rows = encode_texts(rows, model, width=WIDTH).drop("text")
+    tokens = F.struct(F.lit("tokens").alias("kind"), F.col("ids").cast("string").alias("value"))  # the bytes as they are
+    ids = F.struct(F.lit("ids").alias("kind"), F.concat_ws(",", F.col("place").cast("string"), "id").alias("value"))
+    both = rows.select("place", F.explode(F.array(tokens, ids)).alias("out")).select("place", "out.*")
+    ordered = both.sortWithinPartitions("kind", "place").select("kind", "value")
+    ordered.write.partitionBy("kind").option("lineSep", SEPARATOR).option("compression", "none").text(path)
 
-def write_token_files(docs: DataFrame, path: str, model: bytes, parts: int, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Flat 16-bit token files below ``path``, one a part, each document followed by the end id."""
-    rows = docs.select(_part(id_col, text_col, parts), F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    rows = encode_texts(rows, model, width=WIDTH).select("part", "id", "key", F.col("ids").cast("string").alias("value"))  # the bytes as they are
-    ordered = rows.repartition(parts, "part").sortWithinPartitions("part", "id", "key")
-    ordered.select("part", "value").write.partitionBy("part").option("lineSep", SEPARATOR).option("compression", "none").text(path)
 
+def file_number(path: Column) -> Column:
+    return F.regexp_extract(path, "part-([0-9]+)", 1).cast("bigint")
 
-def manifest(docs: DataFrame, parts: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(part, doc, id): which document lies at which place of its part's file."""
-    rows = docs.select(_part(id_col, text_col, parts), F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"))
-    place = F.row_number().over(Window.partitionBy("part").orderBy("id", "key")) - 1
-    return rows.select("part", place.cast("bigint").alias("doc"), "id")
+
+def placed_ids(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
+    """(number, doc, id): which document lies at which place of which token file."""
+    rows = spark.read.option("lineSep", SEPARATOR).schema("value string, kind string").text(path).where("kind = 'ids'")
+    cut = F.split("value", ",", 2)
+    return rows.select(
+        file_number(F.col("_metadata.file_name")).alias("number"), cut[0].cast("bigint").alias("doc"), F.get(cut, 1).cast(id_type).alias("id")
+    )
 
 
 def _scan(width: int, end_id: int, block_bytes: int):
@@ -68,12 +77,16 @@ def _scan(width: int, end_id: int, block_bytes: int):
 
 
 def scan_token_files(
-    spark: SparkSession, path: str, width: int = WIDTH, end_id: int = END_ID, block_bytes: int = 1 << 20
+    spark: SparkSession, path: str, width: int = WIDTH, end_id: int = END_ID, block_bytes: int = 1 << 20, within: str = ""
 ) -> DataFrame:
-    """(path, doc, start, n_tokens, ended): one row a document, numbered from 0 in each file."""
+    """(path, doc, start, n_tokens, ended): one row a document, numbered from 0 in each file.
+
+    Reads the files at any depth below ``path`` whose path holds ``within``.
+    """
     if block_bytes % width:
         raise ValueError("a block must hold whole tokens")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    files = files.where(F.col("path").contains(within))
     odd = F.raise_error(F.concat(F.lit("not whole tokens: "), F.col("path")))
     files = files.select("path", F.when(F.col("length") % width == 0, F.col("length")).otherwise(odd.cast("bigint")).alias("length")).where("length > 0")
     blocks = files.select("path", F.explode(F.expr(f"sequence(0L, length - 1, {block_bytes}L)")).alias("at"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corpusflow.llm import pieces
 from corpusflow.llm.catalog import QUERIES, piece_model
 from corpusflow.llm.packing import best_fit, pack_documents
-from corpusflow.llm.token_files import manifest, scan_token_files, write_token_files
+from corpusflow.llm.token_files import file_number, placed_ids, scan_token_files, write_token_files
 from corpusflow.session import scratch_path
 
 SCHEMA = "doc_id bigint, text string, ids string, key string, part int, row int"
@@ -69,14 +69,14 @@ def test_query_equals_library(spark, sf_dir, library):
 @pytest.mark.parametrize("block_bytes", [4, 1000, 1 << 20])
 def test_token_counts(spark, odd, library, block_bytes):
     path = scratch_path(spark, "tokens")
-    write_token_files(odd, path, piece_model(), 3)
-    counts = scan_token_files(spark, path, block_bytes=block_bytes).withColumn("part", F.regexp_extract("path", "part=([0-9]+)", 1).cast("int"))
-    rows = counts.join(manifest(odd, 3), ["part", "doc"]).collect()
+    write_token_files(odd.repartition(3), path, piece_model())
+    counts = scan_token_files(spark, path, block_bytes=block_bytes, within="/kind=tokens/").withColumn("number", file_number(F.col("path")))
+    rows = counts.join(placed_ids(spark, path), ["number", "doc"]).collect()
     assert sorted((r["id"] or 0, r["n_tokens"]) for r in rows) == sorted((i or 0, len(library.encode(t or ""))) for i, t in ROWS)
     by_file = {}
-    for r in sorted(rows, key=lambda r: (r["part"], r["doc"])):
-        assert r["ended"] and r["start"] == by_file.get(r["part"], 0)
-        by_file[r["part"]] = r["start"] + r["n_tokens"] + 1
+    for r in sorted(rows, key=lambda r: (r["number"], r["doc"])):
+        assert r["ended"] and r["start"] == by_file.get(r["number"], 0)
+        by_file[r["number"]] = r["start"] + r["n_tokens"] + 1
 
 
 def test_unended_and_odd_files(spark, tmp_path):
@@ -119,7 +119,7 @@ def test_packing_is_lossless(spark, odd, library):
         ids, positions, ends = numbers(row["ids"], "<u2"), numbers(row["positions"], "<u2"), row["cu_seqlens"]
         assert len(ids) == len(positions) == 64 and ends[0] == 0 and ends[-1] == row["n_tokens"] <= 64
         assert ids[ends[-1] :] == [0] * (64 - ends[-1])
-        for a, b, doc, at in zip(ends, ends[1:], row["doc_ids"], row["offsets"], strict=True):
+        for a, b, doc, at in zip(ends[:-1], ends[1:], row["doc_ids"], row["offsets"], strict=True):
             assert positions[a:b] == list(range(b - a))
             whole.setdefault((doc or 0, at), []).append(ids[a:b])
     got = sorted(tuple(x) for at, xs in whole.items() for x in xs)
@@ -132,8 +132,8 @@ def test_empty_table(spark, odd):
     none = odd.limit(0)
     assert pack_documents(none, piece_model()).count() == 0
     path = scratch_path(spark, "tokens")
-    write_token_files(none, path, piece_model(), 3)
-    assert scan_token_files(spark, path).count() == 0 and manifest(none, 3).count() == 0
+    write_token_files(none, path, piece_model())
+    assert scan_token_files(spark, path).count() == 0 and placed_ids(spark, path).count() == 0
     assert pieces.encode_texts(none, piece_model()).count() == 0
 
 
