@@ -2,7 +2,7 @@
 
 In a model whose pieces never run from text into a whitespace marker, a text can be cut before each
 run of markers, and every chunk (markers, then one word) is segmented on its own.  A task keeps a table
-from distinct chunk to ids: a text's new chunks are segmented once, together; the texts are then
+from distinct chunk to ids: the new chunks of a slice of rows are segmented once, together; the texts are then
 joined from the table by position.  The table holds at most ``TABLE_CHUNKS`` chunks; a full one is
 started anew, which costs time and changes no result.
 
@@ -27,7 +27,7 @@ if TYPE_CHECKING:
     import pyarrow as pa
 
 MARK = "▁"
-TABLE_CHUNKS = 100_000
+TABLE_CHUNKS = 300_000
 SLICE_ROWS = 100
 
 
@@ -61,20 +61,33 @@ class ChunkTable:
         self.kind = f"<u{width}"
         if self.sp.get_piece_size() > 256**width:
             raise ValueError(f"{self.sp.get_piece_size()} ids do not fit {width} bytes")
+        self.starts = np.asarray([self.sp.id_to_piece(i).startswith(MARK) for i in range(self.sp.get_piece_size())])
         self.cut = re.compile(f"{MARK}+[^{MARK}]*")
         self.known: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            chunks = self.cut.findall(MARK + text.replace(" ", MARK)) if text else []
-            new = list({c for c in chunks if c not in self.known})
-            if len(self.known) + len(new) > TABLE_CHUNKS:
-                self.known, new = {}, list(set(chunks))
-            # the library puts the first marker back
-            for chunk, ids in zip(new, self.sp.encode([c[1:] for c in new], num_threads=1) if new else (), strict=True):
-                # a lone marker is one piece in a text, but nothing when encoded alone
-                self.known[chunk] = np.asarray(ids or [self.sp.piece_to_id(MARK)], self.kind).tobytes()
-            yield b"".join(map(self.known.__getitem__, chunks))
+    def _segment(self, chunks: list[str]) -> None:
+        """Add chunks to the table.  Those with one marker go through the library as one text: each has one
+        piece that starts with the marker, its first, so the ids come apart again there."""
+        plain = [c for c in chunks if not c.startswith(MARK * 2) and len(c) > 1]
+        # the library puts the first marker back
+        ids = np.asarray(self.sp.encode("".join(plain)[1:]) if plain else [], np.int64)
+        data, width = ids.astype(self.kind).tobytes(), np.dtype(self.kind).itemsize
+        ends = [*(np.flatnonzero(self.starts[ids]) * width).tolist(), len(data)]
+        for chunk, begin, end in zip(plain, ends[:-1], ends[1:], strict=True):
+            self.known[chunk] = data[begin:end]
+        for chunk in chunks:
+            if chunk.startswith(MARK * 2):
+                self.known[chunk] = np.asarray(self.sp.encode(chunk[1:]), self.kind).tobytes()
+            elif chunk == MARK:  # one piece in a text, but nothing when encoded alone
+                self.known[chunk] = np.asarray([self.sp.piece_to_id(MARK)], self.kind).tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cut = [self.cut.findall(MARK + text.replace(" ", MARK)) if text else [] for text in texts]
+        new = set().union(*cut).difference(self.known)
+        if len(self.known) + len(new) > TABLE_CHUNKS:
+            self.known, new = {}, set().union(*cut)
+        self._segment(list(new))
+        return [b"".join(map(self.known.__getitem__, chunks)) for chunks in cut]
 
 
 def _with_column(df: DataFrame, name: str, kind: DataType, source: str, start: Callable[[], Callable[[list], Iterable]]) -> DataFrame:
