@@ -19,7 +19,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpusflow.llm.common import row_key
+from corpusflow.llm.common import packed, row_key, unpacked
+from corpusflow.session import materialise
 
 # Units that may follow a number.
 UNITS = (
@@ -70,15 +71,29 @@ def _coded(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return tokens.select("key", "tokens", F.transform("tokens", lambda t: F.xxhash64(_kind(t))).alias("codes"))
 
 
-def contaminated(
+def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """(id, item, windows, coverage, slots, changed_slots): each document with each item it holds.
+
+    ``changed_slots`` counts item values that the document replaces.  Options: see :func:`keyed_matches`.
+    """
+    return keyed_matches(docs, benchmark, **options).drop("key")
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the documents that hold a benchmark item."""
+    bad = keyed_matches(docs, benchmark, id_col=id_col, text_col=text_col, **options).select("key").distinct()
+    return unpacked(packed(docs, key=row_key(id_col, text_col)).join(bad, "key", "left_anti"), docs.columns)
+
+
+def keyed_matches(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     item_text_col: str = "text", width: int = 8, least: int = 5, min_coverage: float = 0.5, min_consistency: float = 0.8,
     broadcast_windows: int = 200_000,
 ) -> DataFrame:
-    """(id, item, windows, coverage, slots, changed_slots): each document with each item it holds.
+    """(key, id, item, windows, coverage, slots, changed_slots), ``key`` being the row key of the document.
 
-    ``changed_slots`` counts item values that the document replaces.  The benchmark's windows are broadcast
-    up to ``broadcast_windows`` of them (some 40 bytes each); more are joined by a shuffle.
+    The benchmark's windows are broadcast up to ``broadcast_windows`` of them (some 40 bytes each); more
+    are joined by a shuffle.
     """
     items = _coded(benchmark, item_col, item_text_col).where(F.size("tokens") >= least).dropDuplicates(["key"])
     items = items.select(F.col("key").alias("item_key"), "tokens", "codes").cache()
@@ -96,7 +111,7 @@ def contaminated(
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
         ids = (docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString())
-        return docs.sparkSession.createDataFrame([], f"id {ids[0]}, item {ids[1]}, windows bigint, coverage double, slots int, changed_slots int")
+        return docs.sparkSession.createDataFrame([], f"key binary, id {ids[0]}, item {ids[1]}, windows bigint, coverage double, slots int, changed_slots int")
     sizes = asked.groupBy("item_key").agg(F.count("*").alias("asked"))
     pairs = hits.groupBy("key", "item_key").agg(
         F.count_distinct("q").alias("windows"), F.first("width").alias("width"), F.collect_set(F.struct("pos", "q")).alias("at")
@@ -124,4 +139,4 @@ def _consistent(pairs, docs, benchmark, items, id_col, text_col, item_col, item_
     both = both.withColumn("slots", F.size(F.array_distinct(F.transform("slot_pairs", lambda v: v["asked"]))))
     changed = F.size(F.filter("slot_pairs", lambda v: v["asked"] != v["found"]))
     steady = (F.col("slots") >= min_consistency * F.size("slot_pairs"))
-    return both.where(steady).select("id", "item", "windows", "coverage", "slots", changed.alias("changed_slots")).distinct()
+    return both.where(steady).select("key", "id", "item", "windows", "coverage", "slots", changed.alias("changed_slots")).distinct()
