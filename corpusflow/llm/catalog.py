@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from corpusflow.llm.common import blocks_for, table
 from corpusflow.llm.decontaminate import TEMPLATE_STEPS, contaminated
 from corpusflow.llm.jaccard_join import jaccard_classes
+from corpusflow.llm.licences import scan_licences
 from corpusflow.llm.line_dedup import dedup_lines
 from corpusflow.llm.nearest import nearest_neighbours
 from corpusflow.llm.packing import pack_documents
@@ -214,3 +215,10 @@ def op7_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors of every fiftieth."""
     found = nearest_neighbours(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 50 == 0)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query("op5_licence_paragraphs")
+def op5_licence_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every paragraph of every document that a licence family's notice is in."""
+    found = scan_licences(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.withColumnRenamed("id", "doc_id")
