@@ -95,15 +95,22 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _side(planes: np.ndarray):
+    """For each start, the cell of a vector: on which side of the start's planes it lies."""
+
     def side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow as pa
 
         for batch in batches:
-            if batch.num_rows:
-                x = _matrix(batch.column("code").to_pylist())
-                bits = (x @ planes.T > 0).reshape(len(x), -1)
-                cell = bits @ (1 << np.arange(bits.shape[1], dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("code"), pa.array(cell.astype(np.int64))], ["node", "code", "cell"])
+            if not batch.num_rows:
+                continue
+            x = _matrix(batch.column("code").to_pylist())
+            for start, own in enumerate(planes):
+                bits = (x @ own.T > 0).reshape(len(x), -1)
+                cell = bits @ (1 << np.arange(bits.shape[1], dtype=np.int64)) if bits.shape[1] else np.zeros(len(x), np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("node"), batch.column("code"), pa.array(np.full(len(x), start, np.int32)), pa.array(cell.astype(np.int64))],
+                    ["node", "code", "start", "cell"],
+                )
 
     return side
 
@@ -188,15 +195,14 @@ def build_graph(
     dims = len(first["code"]) // 2
     rng = np.random.default_rng(seed)
     bits = max(0, int(np.log2(max(1, total / block))))
-    lists = None
-    for start in range(starts):
-        celled = codes.mapInArrow(_side(rng.standard_normal((bits, dims)).astype(np.float32)), "node bigint, code binary, cell bigint")
-        celled = materialise(celled, "cells")
-        sized = skew_join(celled, celled.groupBy("cell").agg(F.count("*").alias("n")), ["cell"], "n")
-        part = F.pmod(F.xxhash64("node", F.lit(start)), F.ceil(F.col("n") / block))
-        blocks = sized.select(F.xxhash64("cell", part).alias("block"), "node", "code").repartition("block").sortWithinPartitions("block")
-        found = blocks.mapInArrow(_block_lists(k), LIST)
-        lists = found if lists is None else lists.unionByName(found)
+    if total <= block:
+        starts = 1  # one block holds every pair
+    planes = rng.standard_normal((starts, bits, dims)).astype(np.float32)
+    celled = materialise(codes.mapInArrow(_side(planes), "node bigint, code binary, start int, cell bigint"), "cells")
+    sized = skew_join(celled, celled.groupBy("start", "cell").agg(F.count("*").alias("n")), ["start", "cell"], "n")
+    part = F.pmod(F.xxhash64("node", "start"), F.ceil(F.col("n") / block))
+    blocks = sized.select(F.xxhash64("start", "cell", part).alias("block"), "node", "code").repartition("block").sortWithinPartitions("block")
+    lists = blocks.mapInArrow(_block_lists(k), LIST)
     kinds = "node bigint, ids array<bigint>, sims array<float>, fresh array<boolean>"
     gathered = lists.groupBy("node").agg(F.collect_list("ids").alias("ids"), F.collect_list("sims").alias("sims"))
     gathered = codes.select("node").join(gathered, "node", "left").withColumn("old", F.lit(None).cast("array<bigint>"))
@@ -260,7 +266,7 @@ def _visit(beam: int, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     return visit
 
 
-def search_graph(codes: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = 64, width: int = 8, entries: int = 32) -> DataFrame:
+def search_graph(codes: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = 64, width: int = 16, entries: int = 32) -> DataFrame:
     """(query, ids): for each of ``queries`` (query, code) the nodes of its last beam.
 
     A query that is a node of the graph starts at itself, any other at ``entries`` fixed nodes.
@@ -280,7 +286,6 @@ def search_graph(codes: DataFrame, graph: DataFrame, queries: DataFrame, beam: i
     )
     ended, first = None, True
     while True:
-        state = materialise(state, "beams")
         at = state.select("query", F.explode("open").alias("node"))
         if first:  # the first nodes are scored themselves
             reached, first = at, False
