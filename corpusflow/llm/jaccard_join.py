@@ -104,34 +104,50 @@ def _signatures(n: int, trees: int, depth: int):
     return sign
 
 
+def common_counts(runs: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """How many runs every two texts share: a 0/1 matrix of texts by shared runs times itself, some columns at a time."""
+    text = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
+    _, place, times = np.unique(np.concatenate(runs), return_inverse=True, return_counts=True)
+    shared = times > 1
+    column = np.cumsum(shared) - 1
+    held = shared[place]
+    text, column = text[held], column[place[held]]
+    order = np.argsort(column, kind="stable")
+    text, column = text[order], column[order]
+    common = np.zeros((len(runs), len(runs)), np.float64)
+    for begin in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+        at = slice(*np.searchsorted(column, (begin, begin + columns)))
+        part = np.zeros((len(runs), columns), np.float32)
+        part[text[at], column[at] - begin] = 1
+        common += part @ part.T
+    return common
+
+
 def linked_within(digests: list[bytes], copies: list[int], labels: np.ndarray, runs: list[np.ndarray], blocks: np.ndarray, tree: int, cross: bool, threshold: float):
-    """(links of each text, chain of edges) among the pairs whose first common node is in ``tree``."""
-    size = np.asarray([len(r) for r in runs])
-    links, group = [0] * len(digests), list(range(len(digests)))
-
-    def top(x: int) -> int:
-        while group[x] != x:
-            group[x] = group[group[x]]
-            x = group[x]
-        return x
-
-    edges = []
-    for a in range(len(digests) - 1):
-        rest = np.arange(a + 1, len(digests))
-        rest = rest[np.minimum(size[rest], size[a]) >= threshold * np.maximum(size[rest], size[a]) - 1e-6]
-        if cross:
-            rest = rest[blocks[rest] != blocks[a]]
-        if tree and len(rest):
-            rest = rest[~(labels[rest, :tree] == labels[a, :tree]).any(axis=1)]
-        for b in rest.tolist():
-            both = len(np.intersect1d(runs[a], runs[b], assume_unique=True))
-            if both / (size[a] + size[b] - both) >= threshold:
-                links[a] += copies[b]
-                links[b] += copies[a]
-                if top(a) != top(b):
-                    group[top(b)] = top(a)
-                    edges.append((digests[a], digests[b]))
-    return links, edges
+    """(links of each text, chains through its groups) among the pairs whose first common node is in ``tree``."""
+    n = len(digests)
+    asked = ~np.eye(n, dtype=bool)
+    if cross:
+        asked &= blocks[:, None] != blocks[None, :]
+    for earlier in labels[:, :tree].T:
+        asked &= earlier[:, None] != earlier[None, :]
+    if not asked.any():
+        return [0] * n, []
+    size = np.asarray([len(r) for r in runs], float)
+    common = common_counts(runs)
+    linked = asked & (common / (size[:, None] + size[None, :] - common) >= threshold)
+    edges, free = [], np.ones(n, bool)
+    for root in range(n):
+        if not free[root]:
+            continue
+        free[root], group = False, [root]
+        for a in group:  # grows while it is read
+            new = np.flatnonzero(linked[a] & free)
+            free[new] = False
+            group += new.tolist()
+        # a chain, not a star: no node gets many edges
+        edges += [(digests[a], digests[b]) for a, b in zip(group[:-1], group[1:], strict=True)]
+    return (linked @ np.asarray(copies, np.int64)).tolist(), edges
 
 
 def _compare(n: int, threshold: float):
