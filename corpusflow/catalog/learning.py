@@ -16,13 +16,14 @@ from corpusflow.session import materialise, scratch_path
 from corpusflow.sources import stores
 
 STOP_WORDS = ["the", "and", "of", "in", "to", "is", "for", "der", "die", "und", "la", "le", "de", "el", "en"]
-N_TERMS = 500
+N_TERMS = 500  # of the models; the reports below have as many as the operators' default
+TOP_TERMS = fe.MAX_TERMS
 
 _STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
 _TERMS = rf"""listed AS (
       SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}')) AS term FROM documents),
     kept AS (SELECT doc_id, term FROM listed WHERE term NOT IN ({_STOPS})),
-    tops AS (SELECT term, count(*) AS n FROM kept GROUP BY term ORDER BY n DESC, term LIMIT {N_TERMS})"""
+    tops AS (SELECT term, count(*) AS n FROM kept GROUP BY term ORDER BY n DESC, term LIMIT {TOP_TERMS})"""
 
 
 @query(
@@ -38,7 +39,7 @@ def split_terms(spark, sf):
 
 @query("top_terms", f"WITH {_TERMS} SELECT term, n FROM tops")
 def top_terms(spark, sf):
-    return most_frequent(table(spark, sf, "documents"), N_TERMS, stop_words=STOP_WORDS)
+    return most_frequent(table(spark, sf, "documents"), TOP_TERMS, stop_words=STOP_WORDS)
 
 
 @query(
@@ -49,7 +50,7 @@ def top_terms(spark, sf):
     SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM weighted""",
 )
 def tfidf_weights(spark, sf):
-    rows = fe.tfidf_rows(table(spark, sf, "documents"), N_TERMS, stop_words=STOP_WORDS)
+    rows = fe.tfidf_rows(table(spark, sf, "documents"), TOP_TERMS, stop_words=STOP_WORDS)
     return rows.select("doc_id", "term", *round6("weight"))
 
 

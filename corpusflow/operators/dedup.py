@@ -8,16 +8,25 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpusflow.functions.text import content_digest
 from corpusflow.operators.corpus import concat_sources
+from corpusflow.session import materialise
 
 
-def first_ids(df: DataFrame, within: Sequence[str] = (), text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The lowest id of every distinct text.
+def repeated_ids(
+    df: DataFrame, within: Sequence[str] = (), text: str = "text", id_col: str = "doc_id"
+) -> DataFrame:
+    """The ids of all rows whose text occurs at a lower id.
 
-    Only (class, digest, id) is shuffled, and the minimum is combined on the map side, so a text
-    that makes up a third of the corpus costs one row per task.
+    The digests are written once, ``(class, digest, id)``; only texts that occur more than once are
+    looked at again.
     """
-    narrow = df.select(*within, content_digest(text).alias("_digest"), id_col)
-    return narrow.groupBy(*within, "_digest").agg(F.min(id_col).alias(id_col)).select(id_col)
+    narrow = materialise(df.select(*within, content_digest(text).alias("_digest"), id_col), "digests")
+    firsts = narrow.groupBy(*within, "_digest").agg(F.min(id_col).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    firsts = firsts.where("_n > 1").withColumnsRenamed({name: f"_{i}" for i, name in enumerate(within)})
+    same = F.col("_digest").eqNullSafe(F.col("_text"))
+    for i, name in enumerate(within):
+        same = same & F.col(name).eqNullSafe(F.col(f"_{i}"))
+    firsts = firsts.withColumnRenamed("_digest", "_text")
+    return narrow.join(firsts, same).where(F.col(id_col) > F.col("_first")).select(id_col)
 
 
 def drop_duplicate_texts(
@@ -25,11 +34,11 @@ def drop_duplicate_texts(
 ) -> DataFrame:
     """Keep the first row (lowest id) of every text, per ``within`` group or over everything.
 
-    The surviving ids come back through a semi join on the unique id, which has no hot keys.  A
-    corpus written with :func:`corpusflow.sources.writers.write_bucketed` on the id keeps its
-    text in place here: only the ids move.
+    The ids of the repeated rows, the few, are taken out by an anti join on the unique id, which has
+    no hot keys; as long as they are small the text rows stay where they are.  A corpus written
+    with :func:`corpusflow.sources.writers.write_bucketed` on the id keeps its text in place in any case.
     """
-    return df.join(first_ids(df, within, text, id_col), id_col, "left_semi")
+    return df.join(repeated_ids(df, within, text, id_col), id_col, "left_anti")
 
 
 def union_distinct(

@@ -123,13 +123,13 @@ def encode_words_by_join(distinct_words: DataFrame, vocab: DataFrame, unknown: s
     return found.select("word", F.coalesce("ids", F.array(F.lit(unknown_id))).alias("ids"))
 
 
-def _encode_by_join(df: DataFrame, vocab: DataFrame, column: str, out: str, id_col: str) -> DataFrame:
+def _encode_by_join(df: DataFrame, vocab: DataFrame, column: str, out: str, id_col: str, unknown: str) -> DataFrame:
     """Encoding when the vocabulary is too large for a broadcast.
 
     Tokens meet the encoded words in a shuffle join; AQE splits the partitions of frequent words.
     """
     listed = df.select(id_col, F.posexplode(words(column, special_tokens=SPECIAL_TOKENS)).alias("_at", "word"))
-    coded = encode_words_by_join(listed.select("word").distinct(), vocab)
+    coded = encode_words_by_join(listed.select("word").distinct(), vocab, unknown)
     parts = listed.join(coded, "word").groupBy(id_col).agg(
         F.sort_array(F.collect_list(F.struct("_at", "ids"))).alias("_parts")
     )
@@ -154,7 +154,7 @@ def encode(
     tokens = _token_list(vocab, max_broadcast)
     if tokens is None:
         for source, out in columns:
-            df = _encode_by_join(df, vocab, source, out, id_col)
+            df = _encode_by_join(df, vocab, source, out, id_col, unknown)
         return df
     ids = df.sparkSession.sparkContext.broadcast({token: i for i, token in enumerate(tokens)})
     to_ids = _arrow_encoder(ids, unknown, MAX_WORD_CHARS)
@@ -262,21 +262,28 @@ def decode(
     max_broadcast: int = BROADCAST_TOKENS,
     id_col: str = "doc_id",
 ) -> DataFrame:
-    """Ids back to text: special tokens dropped, continuations glued, spaces tidied."""
+    """Ids back to text: special tokens dropped, continuations glued, spaces tidied.
+
+    Ids that are NULL or not in the vocabulary are dropped too; a NULL list gives an empty text.
+    """
     special = list(range(len(special_tokens)))
     kept = F.filter(column, lambda i: ~i.isin(special))
     tokens = _token_list(vocab, max_broadcast)
     if tokens is not None:
-        return df.withColumn(out, _arrow_decoder(df.sparkSession.sparkContext.broadcast(tokens))(kept))
+        inside = F.filter(kept, lambda i: (i >= 0) & (i < len(tokens)))
+        return df.withColumn(out, _arrow_decoder(df.sparkSession.sparkContext.broadcast(tokens))(inside))
     # too many tokens to ship: look each id up in the vocabulary table
     listed = df.select(id_col, F.posexplode(kept).alias("_at", "token_id"))
     named = listed.join(vocab, "token_id")
+    # the first id that the vocabulary holds begins the text
+    begins = named.groupBy(id_col).agg(F.min("_at").alias("_begin"))
+    named = named.join(begins, id_col)
     glued = F.when(F.col("token").startswith(CONTINUATION), F.substr(F.col("token"), F.lit(len(CONTINUATION) + 1)))
     tight = F.lit(False)
     for start in _NO_SPACE_BEFORE:
         tight = tight | F.col("token").startswith(start)
     form = (
-        F.when(F.col("_at") == 0, F.col("token"))
+        F.when(F.col("_at") == F.col("_begin"), F.col("token"))
         .otherwise(F.coalesce(glued, F.when(tight, F.col("token")).otherwise(F.concat(F.lit(" "), "token"))))
     )
     texts = named.groupBy(id_col).agg(

@@ -171,14 +171,14 @@ def _triplets(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def wide_components(
     vectors: DataFrame, width: int, k: int = 2, column: str = "features", seed: int = 42, oversample: int = 8,
-    max_rounds: int = 60, tolerance: float = 1e-7,
+    max_rounds: int = 300, tolerance: float = 1e-6,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Leading ``k`` principal directions (width x k) and the mean, without a width x width matrix.
 
     Subspace iteration on the centred covariance: every round multiplies the sparse rows with a
     width x (k + oversample) block and adds the results up per column, so a task emits at most one
     short row per column.  The driver only orthogonalises that block.  Stops when the spanned
-    directions no longer move.
+    directions no longer move; directions that still move after ``max_rounds`` are an error.
     """
     totals = _column_sums(vectors, column, None, width, 1)
     n_rows, mean = totals[0], totals[1][:, 0] / max(totals[0], 1)
@@ -196,6 +196,8 @@ def wide_components(
             best = directions
             break
         best = directions
+    else:
+        raise ValueError(f"principal directions still move after {max_rounds} rounds")
     # a fixed sign: the largest entry of each direction is positive
     flip = np.sign(best[np.abs(best).argmax(axis=0), np.arange(best.shape[1])])
     return best * np.where(flip == 0, 1, flip), mean

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from corpusflow.operators.lookup import is_small, lookup_join
-
-MAX_LABELS = 10_000
+from corpusflow.operators.lookup import lookup_join
+from corpusflow.session import materialise
 
 # Label -> id per scheme.
 SCHEMES = {
@@ -30,14 +29,20 @@ def label_dim(spark: SparkSession) -> DataFrame:
 def alphabetical_scheme(df: DataFrame, column: str, scheme: str = "alphabetical") -> DataFrame:
     """Distinct labels numbered from 0 in sorted order, as a label dimension.
 
-    The distinct labels, checked to be few, are gathered into one sorted array.
+    The distinct labels are sorted once, in ranges; a label's number is its place in its range plus
+    the sizes of the ranges before.  Any number of labels will do.
     """
-    labels = df.select(F.col(column).alias("label")).where("label is not null").distinct()
-    if not is_small(labels, MAX_LABELS):
-        raise ValueError(f"{column} has more than {MAX_LABELS} labels")
-    ordered = labels.agg(F.sort_array(F.collect_list("label")).alias("_all"))
-    return ordered.select(F.lit(scheme).alias("scheme"), F.posexplode("_all").alias("label_id", "label")).select(
-        "scheme", "label", "label_id"
+    labels = df.select(F.col(column).alias("label")).where("label is not null").distinct().orderBy("label")
+    # partition and row number in one: rising in the sorted order
+    placed = labels.select("label", F.monotonically_increasing_id().alias("_place"))
+    placed = materialise(placed.withColumn("_range", F.shiftright("_place", 33)), "labels")
+    # one row per range, as many as the sort had partitions
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_all", F.lit(1))
+    before = Window.partitionBy("_all").orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    offsets = sizes.select("_range", (F.sum("_n").over(before) - F.col("_n")).alias("_before"))
+    row = F.col("_place").bitwiseAND((1 << 33) - 1)
+    return placed.join(F.broadcast(offsets), "_range").select(
+        F.lit(scheme).alias("scheme"), "label", (F.col("_before") + row).cast("int").alias("label_id")
     )
 
 

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusflow.functions.arrays import argmax, row_cross_entropy, row_squared_error
+from corpusflow.session import materialise
 
 RANK_BOUNDS = 256
 
@@ -31,24 +32,32 @@ def confusion_counts(
 
 def confusion_matrix(
     df: DataFrame,
-    classes: Sequence,
+    classes: Sequence = (),
     keys: Sequence[str] = (),
     label: str = "label",
     prediction: str = "prediction",
 ) -> DataFrame:
-    """One row per true class, one column ``pred_<class>`` per predicted class, zeros filled in."""
-    counts = confusion_counts(df, keys, label, prediction)
+    """One row per true class, one column ``pred_<class>`` per predicted class, zeros filled in.
+
+    The classes are those listed and all others that occur as label or prediction, so every row
+    counts; a missing one is the class ``None``.  Every class gets its row for every key.
+    """
+    counts = materialise(confusion_counts(df, keys, label, prediction), "confusion")
+    # one value per class
+    held = counts.select(F.explode(F.array("label", "prediction")).alias("c")).distinct().collect()
+    extra = {row["c"] for row in held} - set(classes)
+    known = [*classes, *sorted(extra - {None}), *([None] if None in extra else [])]
     cells = [
-        F.coalesce(F.sum(F.when(F.col("prediction") == c, F.col("n_rows"))), F.lit(0)).alias(f"pred_{c}")
-        for c in classes
+        F.coalesce(F.sum(F.when(F.col("prediction").eqNullSafe(F.lit(c)), F.col("n_rows"))), F.lit(0)).alias(f"pred_{c}")
+        for c in known
     ]
     rows = counts.select(*keys, "label", "prediction", "n_rows")
-    if not keys:
-        # every class gets its row, also when no example has it
-        kind = df.schema[label].dataType.simpleString()
-        every = df.sparkSession.createDataFrame([(c,) for c in classes], f"label {kind}")
-        rows = rows.unionByName(every, allowMissingColumns=True)
-    return rows.where(F.col("label").isin(list(classes))).groupBy(*keys, "label").agg(*cells)
+    if known:
+        kind = df.schema[label].dataType
+        every = F.explode(F.array(*[F.lit(c).cast(kind) for c in known])).alias("label")
+        base = counts.select(*keys).distinct() if keys else df.sparkSession.range(1)
+        rows = rows.unionByName(base.select(*keys, every), allowMissingColumns=True)
+    return rows.groupBy(*keys, "label").agg(*cells)
 
 
 def class_table(
@@ -136,7 +145,8 @@ def report_long(report: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def accuracy(df: DataFrame, keys: Sequence[str] = (), label: str = "label", prediction: str = "prediction") -> DataFrame:
-    same = F.col(label).eqNullSafe(F.col(prediction)).cast("double")
+    # as in the summary, a missing label or prediction is never a hit
+    same = F.coalesce(F.col(label) == F.col(prediction), F.lit(False)).cast("double")
     return df.groupBy(*keys).agg(F.avg(same).alias("accuracy"), F.count(F.lit(1)).alias("n_rows"))
 
 
@@ -161,8 +171,11 @@ def pearson(
     )
 
 
-def average_ranks(df: DataFrame, value: str, keys: Sequence[str] = (), bounds: int = RANK_BOUNDS) -> DataFrame:
-    """``(keys, value, n, rank)``: the mean 1-based rank of every distinct value.
+def average_ranks(
+    df: DataFrame, value: str, keys: Sequence[str] = (), bounds: int = RANK_BOUNDS, centred: bool = False
+) -> DataFrame:
+    """``(keys, value, n, rank)``: the mean 1-based rank of every distinct value, or its distance
+    from the mean rank.
 
     Equal values are counted first, so a value held by a third of the rows is one row here.  The
     distinct values are then cut into ranges at approximate quantiles (which only steer the
@@ -188,12 +201,16 @@ def average_ranks(df: DataFrame, value: str, keys: Sequence[str] = (), bounds: i
     # up to `bounds` rows per key
     totals = ranged.groupBy(*keys, "_range").agg(F.sum("n").alias("_rows")).withColumn("_all", F.lit(1))
     upto = Window.partitionBy("_all", *keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
-    offsets = totals.select(*keys, "_range", (F.sum("_rows").over(upto) - F.col("_rows")).alias("_below"))
+    whole = F.sum("_rows").over(Window.partitionBy("_all", *keys))
+    middle = (whole + 1) / 2 if centred else F.lit(0)
+    offsets = totals.select(
+        *keys, "_range", (F.sum("_rows").over(upto) - F.col("_rows")).alias("_below"), middle.alias("_middle")
+    )
     inside = Window.partitionBy(*keys, "_range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     return (
         ranged.withColumn("_upto", F.sum("n").over(inside))
         .join(F.broadcast(offsets), [*keys, "_range"])
-        .select(*keys, "value", "n", (F.col("_below") + F.col("_upto") - F.col("n") + (F.col("n") + 1) / 2).alias("rank"))
+        .select(*keys, "value", "n", (F.col("_below") + F.col("_upto") - F.col("n") + (F.col("n") + 1) / 2 - F.col("_middle")).alias("rank"))
     )
 
 
@@ -204,20 +221,16 @@ def spearman(df: DataFrame, keys: Sequence[str] = (), x: str = "prediction", y:
     """
     pairs = df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
     pairs = pairs.where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
-    rank_x = average_ranks(pairs, "_x", keys).select(*keys, F.col("value").alias("_x"), F.col("rank").alias("_rx"))
-    rank_y = average_ranks(pairs, "_y", keys).select(*keys, F.col("value").alias("_y"), F.col("rank").alias("_ry"))
+    rank_x = average_ranks(pairs, "_x", keys, centred=True).select(*keys, F.col("value").alias("_x"), F.col("rank").alias("_rx"))
+    rank_y = average_ranks(pairs, "_y", keys, centred=True).select(*keys, F.col("value").alias("_y"), F.col("rank").alias("_ry"))
     joint = pairs.groupBy(*keys, "_x", "_y").agg(F.count(F.lit(1)).cast("double").alias("_n"))
     # a side with few distinct values is broadcast by AQE; a hot value of a long rank table is split by
     # its skew join
     ranked = joint.join(rank_x, [*keys, "_x"]).join(rank_y, [*keys, "_y"])
     n, rx, ry = F.col("_n"), F.col("_rx"), F.col("_ry")
-    rows = F.sum(n)
-    middle = (rows + 1) / 2  # the mean of average ranks
-    covariance = F.sum(n * rx * ry) / rows - middle * middle
-    spread_x = F.sum(n * rx * rx) / rows - middle * middle
-    spread_y = F.sum(n * ry * ry) / rows - middle * middle
-    spread = F.sqrt(F.greatest(spread_x, F.lit(0.0)) * F.greatest(spread_y, F.lit(0.0)))
-    return ranked.groupBy(*keys).agg(F.try_divide(covariance, spread).alias("spearman"))
+    spread = F.sqrt(F.sum(n * rx * rx)) * F.sqrt(F.sum(n * ry * ry))
+    vary = (F.min("_x") < F.max("_x")) & (F.min("_y") < F.max("_y"))
+    return ranked.groupBy(*keys).agg(F.when(vary, F.try_divide(F.sum(n * rx * ry), spread)).alias("spearman"))
 
 
 def correlation_summary(

@@ -182,16 +182,20 @@ def balance(
     ``up``    draws class ``small`` with replacement to the size of class ``target``
     ``down``  draws every other class without replacement to the size of class ``small``
     ``none``  leaves the table as it is
+
+    Balancing needs a class on every row: rows without one are an error.
     """
     if mode == "none":
         return df
     sizes = class_sizes(df, column)
+    if None in sizes:
+        raise ValueError(f"{sizes[None]} rows have no {column}")
     if mode == "up":
         drawn = sample_with_replacement(keep_class(df, small, column), sizes.get(target, 0), seed, id_col)
         rest = df.where(~F.col(column).eqNullSafe(F.lit(small))).withColumn("copy", F.lit(1))
         return concat_sources([rest, drawn])
     if mode == "down":
-        others = {cls: sizes.get(small, 0) for cls in sizes if cls != small and cls is not None}
+        others = {cls: sizes.get(small, 0) for cls in sizes if cls != small}
         return concat_sources([sample_exact(df, others, column, seed, id_col), keep_class(df, small, column)])
     raise ValueError("mode must be 'none', 'up' or 'down'")
 

@@ -149,6 +149,8 @@ def train_wordpiece(
 ) -> DataFrame:
     """Train a vocabulary on a word-count table: ``(token_id, token)``.
 
+    Special tokens and every character in use are always in it; merges fill it up to ``vocab_size``.
+
     Greedy pair merging.  Each round counts neighbouring pieces over the distinct words, takes as
     many of the best pairs as can be merged without changing the greedy outcome, and rewrites the
     words.  The word table stays distributed; per round only the ``CANDIDATES`` best pairs reach
@@ -190,4 +192,4 @@ def train_wordpiece(
         rounds += 1
         if rounds % cut_every == 0:
             split = cut_lineage(split)
-    return vocabulary_from_tokens(spark, tokens[: max(vocab_size, len(special_tokens))])
+    return vocabulary_from_tokens(spark, tokens)

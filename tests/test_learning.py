@@ -151,6 +151,14 @@ def test_csv_keeps_every_character(spark, tmp_path):
         writers.write_corpus(rows, str(tmp_path / "x"), "xml")
 
 
+def test_ingested_ids_follow_paths(spark, tmp_path):
+    for name, n in (("a", 3), ("b", 4000), ("c", 50)):
+        (tmp_path / f"{name}.csv").write_text("text\n" + "".join(f"{name}{i:05d}\n" for i in range(n)))
+    rows = readers.ingest_csv(spark, f"{tmp_path}/*.csv", f"{tmp_path}/table").orderBy("doc_id").collect()
+    texts = [r["text"] for r in rows]
+    assert texts == sorted(texts) and len(set(r["doc_id"] for r in rows)) == 4053
+
+
 def test_prepare_corpus_rules(spark):
     schema = "doc_id bigint, text string"
     fake = spark.createDataFrame([(1, "a  b"), (2, "a b"), (3, None)], schema)

@@ -134,3 +134,24 @@ def test_confusion_matrix_fills_zeros(spark):
     rows = spark.createDataFrame([(0, 1), (0, 0)], "label int, prediction int")
     got = {tuple(r) for r in me.confusion_matrix(rows, [0, 1]).collect()}
     assert got == {(0, 1, 1), (1, 0, 0)}
+
+
+def test_missing_prediction_is_no_hit(spark):
+    rows = spark.createDataFrame([(None, None), (1, 1), (1, None), (0, 1)], "label int, prediction int")
+    assert me.accuracy(rows).first()["accuracy"] == 0.25 == me.classification_summary(rows).first()["accuracy"]
+
+
+def test_confusion_counts_every_row(spark):
+    rows = spark.createDataFrame([("a", 1, 2), ("a", 7, 1), ("b", None, 1)], "k string, label int, prediction int")
+    whole = {r["label"]: r.asDict() for r in me.confusion_matrix(rows, [1]).collect()}
+    assert set(whole) == {1, 2, 7, None}
+    assert sum(v for r in whole.values() for c, v in r.items() if c.startswith("pred_")) == 3
+    assert whole[None]["pred_1"] == 1 and whole[2]["pred_7"] == 0
+    assert me.confusion_matrix(rows, keys=["k"]).count() == 8
+
+
+def test_spearman_of_a_constant_is_null_at_any_size(spark):
+    rows = spark.range(3_000_007).select(F.lit(5.0).alias("prediction"), F.col("id").cast("double").alias("label"))
+    assert me.spearman(rows).first()["spearman"] is None
+    line = spark.range(3_000_007).select((F.col("id") * 2).cast("double").alias("prediction"), F.col("id").cast("double").alias("label"))
+    assert abs(me.spearman(line).first()["spearman"] - 1) < 1e-12

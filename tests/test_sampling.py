@@ -5,6 +5,8 @@ from collections import Counter
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 
+from pyspark.sql import functions as F
+
 from corpusflow.operators import dedup, labels, sampling as sa
 
 QUICK = settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -121,3 +123,26 @@ def test_labels(spark):
         labels.add_label_id(rows.where("source = 'other'"), dim, "source").collect()
     ordered = labels.alphabetical_scheme(spark.createDataFrame([("b",), ("a",), ("b",)], "x string"), "x")
     assert {(r["label"], r["label_id"]) for r in ordered.collect()} == {("a", 0), ("b", 1)}
+
+
+def test_rows_without_a_class_are_refused(spark):
+    rows = spark.createDataFrame([(1, "true"), (2, "neural"), (3, None)], "doc_id bigint, source string")
+    for mode in ("up", "down"):
+        with pytest.raises(ValueError, match="have no source"):
+            sa.balance(rows, mode)
+
+
+def test_any_number_of_labels(spark):
+    rows = spark.range(30_000).select(F.format_string("l%06d", (F.col("id") * 7919) % 20_011).alias("label"))
+    dim = labels.alphabetical_scheme(rows, "label")
+    found = sorted((r["label_id"], r["label"]) for r in dim.collect())
+    assert [i for i, _ in found] == list(range(20_011)) and [x for _, x in found] == sorted(x for _, x in found)
+    assert labels.alphabetical_scheme(rows.limit(0), "label").count() == 0
+
+
+def test_dedup_moves_no_text(spark):
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 500).alias("text"), F.lit("a").alias("source"))
+    kept = dedup.drop_duplicate_texts(docs.withColumn("text", F.concat("text", (F.col("doc_id") % 1999).cast("string"))))
+    assert kept.count() == 1999
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "left_anti" in plan.lower() or "LeftAnti" in plan

@@ -167,3 +167,22 @@ def test_word_vocabulary_has_every_character(counts):
     letters = {c for t in TEXTS for c in t if not c.isspace()}
     assert letters <= tokens and {f"##{c}" for c in letters} <= tokens and {"the", "again"} <= tokens
     assert counts.agg(F.sum("n")).first()[0] == sum(len(tokenizers.pre_tokenizers.Whitespace().pre_tokenize_str(t)) for t in TEXTS)
+
+
+def test_both_paths_agree_on_odd_input(spark):
+    vocab = vo.vocabulary_from_tokens(spark, [*vo.SPECIAL_TOKENS, "<unk>", "x", "##y"])
+    texts = spark.createDataFrame([(1, "x xy q"), (2, None), (3, "")], "doc_id bigint, text string")
+    ids = spark.createDataFrame([(1, [1, 6, 99, 7, -1, None]), (2, None), (3, []), (4, [88, 6])], "doc_id bigint, input_ids array<int>")
+    coded, read = [], []
+    for limit in (1000, 1):
+        rows = en.encode(texts, vocab, unknown="<unk>", max_broadcast=limit).collect()
+        coded.append(sorted((r["doc_id"], r["tokens"]) for r in rows))
+        read.append(sorted((r["doc_id"], r["decoded"]) for r in en.decode(ids, vocab, max_broadcast=limit).collect()))
+    assert coded[0] == coded[1] == [(1, [6, 6, 7, 5]), (2, []), (3, [])]
+    assert read[0] == read[1] == [(1, "xy"), (2, ""), (3, ""), (4, "x")]
+
+
+def test_a_small_vocabulary_keeps_the_alphabet(spark):
+    words = spark.createDataFrame([("abcdef", 3), ("xyz", 2)], "word string, n bigint")
+    tokens = {r["token"] for r in vo.train_wordpiece(words, vocab_size=9).collect()}
+    assert set("abcdefxyz") <= tokens
