@@ -196,3 +196,21 @@ def test_checkpoint_folder_is_the_named_one(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert checkpoint_root(spark) == (named or checkpoint_root(spark))
     assert spark.sparkContext.getCheckpointDir()
+
+
+def test_classifier_on_vectors(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, "ab"[i % 2], rng.normal(2.0 * (i % 2), 1.0, 4).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id bigint, kind string, embedding array<double>")
+    for kind in ("lr", "svm"):
+        run = classify.classify_vectors(fe.embedding_column(df), "kind", id_col="vec_id", kind=kind)
+        found = run.summary.first()
+        assert found["n_rows"] == 80 and found["accuracy"] > 0.9
+
+
+def test_word_averages_separate_languages(docs):
+    from corpusflow.catalog.checked import word_average_report
+
+    report = word_average_report(docs.sparkSession, "/root/testdata/sf0.001").collect()
+    hits = sum(r["recall"] * r["support"] for r in report)
+    assert hits / sum(r["support"] for r in report) > 0.8
