@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusflow.llm.common import packed, row_key, unpacked
+from corpusflow.operators.corpus import compute_once
 from corpusflow.session import materialise
 
 # Units that may follow a number.
@@ -121,21 +122,25 @@ def keyed_matches(
     return _consistent(pairs, docs, benchmark, items, id_col, text_col, item_col, item_text_col, min_consistency)
 
 
-def _consistent(pairs, docs, benchmark, items, id_col, text_col, item_col, item_text_col, min_consistency) -> DataFrame:
-    texts = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    names = benchmark.select(F.col(item_col).alias("item"), row_key(item_col, item_text_col).alias("item_key")).distinct()
-    both = pairs.join(texts, "key").join(names, "item_key").join(items.select("item_key", F.col("tokens").alias("asked_tokens")), "item_key")
-    both = both.withColumn("tokens", template_tokens(F.col("text")))
+def _slot_pairs() -> Column:
+    """The distinct (value of the item, value of the document) of all slots in the matched windows."""
     offsets = F.sequence(F.lit(0), F.col("width") - 1)
 
-    def slot_values(hit: Column) -> Column:
+    def of_window(hit: Column) -> Column:
         return F.transform(
             offsets,
             lambda j: F.struct(F.get("asked_tokens", hit["q"] + j).alias("asked"), F.get("tokens", hit["pos"] + j).alias("found")),
         )
 
-    values = F.filter(F.flatten(F.transform("at", slot_values)), lambda v: F.substring(v["asked"], 1, 1) == "<")
-    both = both.withColumn("slot_pairs", F.array_distinct(values))
+    return F.array_distinct(F.filter(F.flatten(F.transform("at", of_window)), lambda v: F.substring(v["asked"], 1, 1) == "<"))
+
+
+def _consistent(pairs, docs, benchmark, items, id_col, text_col, item_col, item_text_col, min_consistency) -> DataFrame:
+    texts = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    names = benchmark.select(F.col(item_col).alias("item"), row_key(item_col, item_text_col).alias("item_key")).distinct()
+    both = pairs.join(texts, "key").join(names, "item_key").join(items.select("item_key", F.col("tokens").alias("asked_tokens")), "item_key")
+    both = compute_once(both.withColumnRenamed("text", "raw"), "tokens", template_tokens(F.col("raw")))
+    both = compute_once(both, "slot_pairs", _slot_pairs())
     both = both.withColumn("slots", F.size(F.array_distinct(F.transform("slot_pairs", lambda v: v["asked"]))))
     changed = F.size(F.filter("slot_pairs", lambda v: v["asked"] != v["found"]))
     steady = (F.col("slots") >= min_consistency * F.size("slot_pairs"))
