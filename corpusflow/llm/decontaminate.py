@@ -33,10 +33,8 @@ UNITS = (
 _WORD = r"[\p{L}\p{M}'’-]*"
 # (pattern, replacement); both regex dialects in use read them alike
 TEMPLATE_STEPS = [
-    (
-        rf"(^|[.!?][\"')\]]*\s+|\n\s*)(\p{{L}}{_WORD})|([^\p{{L}}\p{{M}}])(\p{{Lu}}\p{{Ll}}{_WORD})",
-        r"\1\3 <n:\2\4> ",
-    ),
+    (rf"(\p{{Lu}}\p{{Ll}}{_WORD})", r" <n:\1> "),
+    (rf"(^|[.!?][\"')\]]*\s+|\n\s*)(\p{{L}}{_WORD})", r"\1 <n:\2> "),
     (r">\s+<n:", "_"),
     (
         rf"([0-9]+(?:[.,:/][0-9]+)*)(?:\s*(%|{'|'.join(sorted(UNITS, key=len, reverse=True))})([^\p{{L}}\p{{M}}]|$))?",
@@ -49,7 +47,7 @@ TEMPLATE_STEPS = [
 
 def template_tokens(text: Column) -> Column:
     """Lower-case tokens; slots are ``<n:value>``, ``<d:value>`` and ``<u:value>``."""
-    out = F.translate(text, "<>", "  ")
+    out = F.replace(F.replace(text, F.lit("<"), F.lit(" ")), F.lit(">"), F.lit(" "))
     for pattern, to in TEMPLATE_STEPS:
         out = F.regexp_replace(out, pattern, to.replace("\\", "$"))
     return F.split(F.trim(F.lower(out)), " +")
