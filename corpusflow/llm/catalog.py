@@ -72,7 +72,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     write_token_files(docs, path, piece_model())
     counts = scan_token_files(spark, path, within="/kind=tokens/").withColumn("number", file_number(F.col("path")))
-    return counts.join(placed_ids(spark, path), ["number", "doc"]).select(F.col("id").alias("doc_id"), "n_tokens")
+    # both sides grow with the documents: never a broadcast
+    return counts.join(placed_ids(spark, path).hint("merge"), ["number", "doc"]).select(F.col("id").alias("doc_id"), "n_tokens")
 
 
 LINES_SQL = """
