@@ -45,6 +45,26 @@ TEMPLATE_STEPS = [
 ]
 
 
+# the same slots at the same places without their values, which is all that windows need
+_NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
+KIND_STEPS = [
+    (rf"\p{{Lu}}\p{{Ll}}{_WORD}", r" <n> "),
+    (rf"(^|[.!?][\"')\]]*\s+|\n\s*)(\p{{L}}{_WORD})", r"\1 <n> "),
+    (r"<n>(?:\s+<n>)+", "<n>"),
+    (rf"{_NUMBER}\s*(?:%|{'|'.join(sorted(UNITS, key=len, reverse=True))})([^\p{{L}}\p{{M}}]|$)", r" <d> <u> \1"),
+    (_NUMBER, " <d> "),
+]
+
+
+def template_kinds(text: Column) -> Column:
+    """The tokens of :func:`template_tokens` with slots as ``<n>``, ``<d>`` and ``<u>``."""
+    out = F.replace(F.replace(text, F.lit("<"), F.lit(" ")), F.lit(">"), F.lit(" "))
+    for pattern, to in KIND_STEPS:
+        out = F.regexp_replace(out, pattern, to.replace("\\", "$"))
+    # what stands before the first token and after the last is empty
+    return F.array_remove(F.split(F.lower(out), r"[^\p{L}\p{M}\p{N}<>]+"), "")
+
+
 def template_tokens(text: Column) -> Column:
     """Lower-case tokens; slots are ``<n:value>``, ``<d:value>`` and ``<u:value>``."""
     out = F.replace(F.replace(text, F.lit("<"), F.lit(" ")), F.lit(">"), F.lit(" "))
@@ -53,10 +73,6 @@ def template_tokens(text: Column) -> Column:
     return F.split(F.trim(F.lower(out)), " +")
 
 
-def _kind(token: Column) -> Column:
-    return F.when(F.substring(token, 1, 1) == "<", F.substring(token, 1, 2)).otherwise(token)
-
-
 def _windows(rows: DataFrame, width: int, *keep: str) -> DataFrame:
     """(keep, pos, width, window) for each run of ``width`` tokens, from the array ``codes``."""
     codes = F.col("codes")
@@ -66,8 +82,10 @@ def _windows(rows: DataFrame, width: int, *keep: str) -> DataFrame:
 
 
 def _coded(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    tokens = df.where(F.col(text_col).isNotNull()).select(row_key(id_col, text_col).alias("key"), template_tokens(F.col(text_col)).alias("tokens"))
-    return tokens.select("key", "tokens", F.transform("tokens", lambda t: F.xxhash64(_kind(t))).alias("codes"))
+    kinds = df.where(F.col(text_col).isNotNull()).select(
+        row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"), template_kinds(F.col(text_col)).alias("kinds")
+    )
+    return kinds.select("key", "text", F.transform("kinds", lambda t: F.xxhash64(t)).alias("codes"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -94,8 +112,9 @@ def keyed_matches(
     The benchmark's windows are broadcast up to ``broadcast_windows`` of them (some 40 bytes each); more
     are joined by a shuffle.
     """
-    items = _coded(benchmark, item_col, item_text_col).where(F.size("tokens") >= least).dropDuplicates(["key"])
-    items = items.select(F.col("key").alias("item_key"), "tokens", "codes").cache()
+    items = _coded(benchmark, item_col, item_text_col).where(F.size("codes") >= least).dropDuplicates(["key"])
+    items = items.select(F.col("key").alias("item_key"), template_tokens(F.col("text")).alias("tokens"), "codes")
+    items = materialise(items, "items")
     widths = [r[0] for r in items.select(F.least(F.size("tokens"), F.lit(width))).distinct().collect()]  # at most ``width`` values
     coded = _coded(docs, id_col, text_col)
     literal = F.size(F.filter(F.slice("tokens", F.col("pos") + 1, F.col("width")), lambda t: F.substring(t, 1, 1) != "<"))
