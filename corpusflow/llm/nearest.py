@@ -290,7 +290,9 @@ def search_graph(codes: DataFrame, graph: DataFrame, queries: DataFrame, beam: i
         if first:  # the first nodes are scored themselves
             reached, first = at, False
         else:
-            reached = at.join(roads, "node").select("query", F.explode("next").alias("node")).distinct()
+            around = at.join(roads, "node").groupBy("query").agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("next"))
+            unseen = F.array_except("next", "seen")  # only nodes not scored before are joined with their vectors
+            reached = around.join(state.select("query", "seen"), "query").select("query", F.explode(unseen).alias("node"))
         found = reached.join(codes.withColumnRenamed("code", "c"), "node").groupBy("query").agg(F.collect_list(F.struct("node", "c")).alias("found"))
         found = found.select("query", F.col("found.node").alias("found"), F.col("found.c").alias("codes"))
         moved = state.drop("open").join(found, "query", "left").mapInArrow(_visit(beam, width), STATE + ", visited array<bigint>")
@@ -303,7 +305,7 @@ def search_graph(codes: DataFrame, graph: DataFrame, queries: DataFrame, beam: i
 
 
 def nearest_neighbours(
-    vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", top: int = 5, beam: int = 64, **options
+    vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", top: int = 5, beam: int = 160, **options
 ) -> DataFrame:
     """(query_id, rank, id, score): the ``top`` nearest found of every row for which ``is_query`` holds.
 
