@@ -6,11 +6,15 @@ without punctuation.  Windows of ``width`` template tokens of all benchmark item
 of all documents.  A document that holds at least ``min_coverage`` of an item's distinct windows is then
 compared slot by slot over the matched windows: the item's slot values must map to the document's values
 consistently, one value to one value.  So a question with new numbers and names is caught like a copy.
+Where all matched windows together are not consistent (several variants in one document, an item that repeats
+a template), each occurrence is asked alone: the windows of one alignment (position in the document minus
+position in the item), and those with the gaps filled from the nearest alignments.
 
 * Null and empty texts, on either side, match nothing.
 * An item shorter than a window is one window of its own length; below ``least`` tokens, or with windows
   that are mostly slots, it says too little and matches nothing.
-* A long text may hold many items, and an item may occur several times; a pair is one row.
+* A long text may hold many items, and an item may occur several times; a pair is one row.  Its counts are those of
+  all matched windows, or of the best occurrence where only single occurrences are consistent.
 * Repeated rows (same id, same text) of either side are one row of the result; null ids stay null.
 * Extra columns are not read, whatever their names.  Empty tables give an empty result.
 """
@@ -136,29 +140,64 @@ def keyed_matches(
     )
     pairs = pairs.join(F.broadcast(sizes) if benchmark.count() <= broadcast_windows else sizes, "item_key")
     pairs = pairs.withColumn("coverage", F.col("windows") / F.col("asked")).where(F.col("coverage") >= min_coverage)
-    return _consistent(pairs, docs, benchmark, items, id_col, text_col, item_col, item_text_col, min_consistency)
+    return _consistent(pairs, docs, benchmark, items, id_col, text_col, item_col, item_text_col, min_coverage, min_consistency)
 
 
-def _slot_pairs() -> Column:
-    """The distinct (value of the item, value of the document) of all slots in the matched windows."""
-    offsets = F.sequence(F.lit(0), F.col("width") - 1)
+def _slots_of(hit: Column) -> Column:
+    """(value of the item, value of the document) of each slot in a matched window."""
+    values = F.transform(
+        F.sequence(F.lit(0), F.col("width") - 1),
+        lambda j: F.struct(F.get("asked_tokens", hit["q"] + j).alias("asked"), F.get("tokens", hit["pos"] + j).alias("found")),
+    )
+    return F.filter(values, lambda v: F.substring(v["asked"], 1, 1) == "<")
+
 
-    def of_window(hit: Column) -> Column:
-        return F.transform(
-            offsets,
-            lambda j: F.struct(F.get("asked_tokens", hit["q"] + j).alias("asked"), F.get("tokens", hit["pos"] + j).alias("found")),
-        )
+def _compared(rows: DataFrame, min_consistency: float) -> DataFrame:
+    """``slots``, ``changed_slots`` and ``steady`` from the distinct ``slot_pairs``."""
+    slots = F.size(F.array_distinct(F.transform("slot_pairs", lambda v: v["asked"])))
+    changed = F.size(F.filter("slot_pairs", lambda v: v["asked"] != v["found"]))
+    steady = slots >= min_consistency * F.size("slot_pairs")
+    return rows.withColumns({"slots": slots, "changed_slots": changed, "steady": steady})
 
-    return F.array_distinct(F.filter(F.flatten(F.transform("at", of_window)), lambda v: F.substring(v["asked"], 1, 1) == "<"))
 
+def _single_occurrences(rows: DataFrame, min_coverage: float, min_consistency: float) -> DataFrame:
+    """The best occurrence of each pair that is covered and consistent by itself.
 
-def _consistent(pairs, docs, benchmark, items, id_col, text_col, item_col, item_text_col, min_consistency) -> DataFrame:
+    Hits are dealt to overlapping stretches of four item lengths, so the work grows with the length of a
+    document and not with its square.
+    """
+    pair = ["key", "id", "item", "asked", "length"]
+    hits = rows.select(*pair, F.explode("hits").alias("hit"))
+    stretch = F.floor(F.col("hit.pos") / (F.col("length") * 2))
+    hits = hits.withColumn("stretch", F.explode(F.array(stretch, stretch - 1)))
+    # repeated rows of a document give the same hits
+    near = hits.groupBy(*pair, "stretch").agg(F.collect_set("hit").alias("hits"), F.count_distinct("hit.q").alias("most"))
+    near = near.where(F.col("most") >= min_coverage * F.col("asked"))
+    near = near.withColumn("shift", F.explode(F.array_distinct(F.transform("hits", lambda h: h["shift"]))))
+    close = F.filter("hits", lambda h: F.abs(h["shift"] - F.col("shift")) <= F.col("length"))
+    order = F.transform(close, lambda h: F.struct(h["q"].alias("q"), F.abs(h["shift"] - F.col("shift")).alias("far"), h["shift"].alias("shift"), h["slots"].alias("slots")))
+    near = compute_once(near, "order", F.array_sort(order))
+    # of each window of the item, the hit nearest to this alignment
+    filled = F.filter("order", lambda h, i: (i == 0) | (h["q"] != F.get("order", i - 1)["q"]))
+    exact = F.filter("order", lambda h: h["far"] == 0)
+    near = near.select(*pair, F.explode(F.array(exact, filled)).alias("hits"))
+    near = near.withColumns({"windows": F.size("hits").cast("bigint"), "coverage": F.size("hits") / F.col("asked")})
+    near = near.where(F.col("coverage") >= min_coverage)
+    near = compute_once(near, "slot_pairs", F.array_distinct(F.flatten(F.transform("hits", lambda h: h["slots"]))))
+    near = _compared(near, min_consistency).where("steady")
+    best = F.max(F.struct("windows", "slots", (-F.col("changed_slots")).alias("same"), "coverage"))
+    near = near.groupBy("key", "id", "item").agg(best.alias("b"))
+    return near.select("key", "id", "item", "b.windows", "b.coverage", "b.slots", (-F.col("b.same")).alias("changed_slots"))
+
+
+def _consistent(pairs, docs, benchmark, items, id_col, text_col, item_col, item_text_col, min_coverage, min_consistency) -> DataFrame:
     texts = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     names = benchmark.select(F.col(item_col).alias("item"), row_key(item_col, item_text_col).alias("item_key")).distinct()
     both = pairs.join(texts, "key").join(names, "item_key").join(items.select("item_key", F.col("tokens").alias("asked_tokens")), "item_key")
     both = compute_once(both.withColumnRenamed("text", "raw"), "tokens", template_tokens(F.col("raw")))
-    both = compute_once(both, "slot_pairs", _slot_pairs())
-    both = both.withColumn("slots", F.size(F.array_distinct(F.transform("slot_pairs", lambda v: v["asked"]))))
-    changed = F.size(F.filter("slot_pairs", lambda v: v["asked"] != v["found"]))
-    steady = (F.col("slots") >= min_consistency * F.size("slot_pairs"))
-    return both.where(steady).select("key", "id", "item", "windows", "coverage", "slots", changed.alias("changed_slots")).distinct()
+    both = compute_once(both, "slot_pairs", F.array_distinct(F.flatten(F.transform("at", _slots_of))))
+    hits = F.transform("at", lambda h: F.struct((h["pos"] - h["q"]).alias("shift"), h["pos"].alias("pos"), h["q"].alias("q"), _slots_of(h).alias("slots")))
+    both = _compared(both, min_consistency).withColumn("hits", F.when(~F.col("steady"), hits))
+    own = ["key", "id", "item", "windows", "coverage", "slots", "changed_slots"]
+    both = materialise(both.select(*own, "steady", "hits", "asked", F.size("asked_tokens").alias("length")), "compared")
+    return both.where("steady").select(*own).distinct().unionByName(_single_occurrences(both.where("NOT steady"), min_coverage, min_consistency))

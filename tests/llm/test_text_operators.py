@@ -129,6 +129,27 @@ def test_templates_catch_new_numbers_and_names(spark):
     assert {3, 4, 5, 7} <= {r["doc_id"] for r in kept.collect()} and not {1, 2, 8, None} & {r["doc_id"] for r in kept.collect()}
 
 
+REPEATS = (
+    "A train leaves the old station at 9 and covers the long way in 4 hours. A bus leaves the old station at 7 and covers "
+    "the long way in 6 hours. A tram leaves the old station at 5 and covers the long way in 8 hours."
+)
+
+
+def test_each_occurrence_of_a_template_counts_alone(spark):
+    unsteady = REPEATS.replace("A bus", "The bus").replace("A tram", "One tram").replace("6 hours", "6 days").replace("8 hours", "8 weeks")
+    edited = REPEATS.replace("A bus", "Then at long last a rather slow bus")
+    docs = frame(spark, [
+        (1, f"{ITEM} {OTHER}"), (2, f"{PROSE} {OTHER}\n{ITEM} {PROSE}"), (3, REPEATS), (4, f"{PROSE} {REPEATS} {REPEATS.replace('9', '11')}"),
+        (5, edited), (6, unsteady), (7, PROSE), (8, f"{ITEM} {OTHER} " * 40), (1, f"{ITEM} {OTHER}"), (None, REPEATS),
+    ])
+    bench = spark.createDataFrame([(1, ITEM), (2, REPEATS)], "item_id int, text string")
+    rows = contaminated(docs, bench).collect()
+    found = {(r["id"], r["item"]): r for r in rows}
+    assert set(found) == {(1, 1), (2, 1), (3, 2), (4, 2), (5, 2), (8, 1), (None, 2)} and len(rows) == len(found)
+    assert all(found[p]["changed_slots"] == 0 and found[p]["coverage"] == 1.0 for p in [(1, 1), (2, 1), (3, 2), (4, 2), (8, 1)])
+    assert sorted(r["doc_id"] for r in without_contaminated(docs, bench).collect()) == [6, 7]
+
+
 def test_templates_empty_tables(spark):
     docs = frame(spark, [(1, ITEM)])
     none = spark.createDataFrame([], "item_id int, text string")
