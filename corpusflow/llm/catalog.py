@@ -14,7 +14,7 @@ from corpusflow.llm.line_dedup import dedup_lines
 from corpusflow.llm.nearest import nearest_neighbours
 from corpusflow.llm.packing import pack_documents
 from corpusflow.llm.pieces import decode_ids, encode_texts, load_model
-from corpusflow.llm.sentence_dedup import dedup_sentences
+from corpusflow.llm.sentence_dedup import dedup_passages, dedup_sentences
 from corpusflow.llm.token_files import file_number, placed_ids, scan_token_files, write_token_files
 from corpusflow.llm.toxicity import score_toxicity
 from corpusflow.session import scratch_path
@@ -129,6 +129,12 @@ def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_sentences(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query("op9_passages")
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that occurred before, also those of short sentences and of one sentence."""
+    return dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def _template_sql(text: str) -> str:
     out = f"translate({text}, '<>', '  ')"
     for pattern, to in TEMPLATE_STEPS:

@@ -13,7 +13,7 @@ from corpusflow.llm.catalog import QUERIES, SQL
 from corpusflow.llm.decontaminate import contaminated, without_contaminated
 from corpusflow.llm.jaccard_join import jaccard_classes, keep_first_of_class, prefix_depth, shingles, words_of
 from corpusflow.llm.line_dedup import dedup_lines
-from corpusflow.llm.sentence_dedup import dedup_sentences
+from corpusflow.llm.sentence_dedup import dedup_passages, dedup_sentences
 
 SCHEMA = "doc_id bigint, text string, key string, row int, starts string, id string, pos int"
 TABLES = "documents embeddings pages benchmark labels conversations".split()
@@ -93,6 +93,21 @@ def test_sentences_brute_force(spark):
     assert key(got) == key(brute_cut(rows, 2, cut, "", lambda run: sum(len(s.split(" ")) for s in run) >= 5))
 
 
+def test_passages_of_short_sentences_and_of_one(spark):
+    short = "We went out. It was late. No one came. The rain fell on. We sat there. He said no. "
+    long = "One sentence of many words stands here between other neighbours each time and is still the very same sentence. "
+    rows = [
+        (1, f"First in line. {short}End of one."), (2, f"Second in line. {short}End of two."), (3, f"A start. {long}A stop."),
+        (4, f"Other start. {long}Other stop."), (5, long.strip()), (6, "It was late. No one came."), (7, None), (8, ""), (None, "Nothing."),
+        (9, f"{short}Odd. " * 50), (2, f"Second in line. {short}End of two."),
+    ]
+    found = sorted(((r["doc_id"], r["text"], r["sentences_removed"]) for r in dedup_passages(frame(spark, rows)).collect()), key=repr)
+    two = (2, "Second in line. End of two.", 6)
+    asked = [(*rows[0], 0), two, two, (*rows[2], 0), (4, "Other start. Other stop.", 1), (5, "", 1), (*rows[5], 0), (7, None, 0), (8, "", 0)]
+    assert found == sorted([*asked, (9, "Odd. ", 349), (None, "Nothing.", 0)], key=repr)
+    assert dedup_passages(frame(spark, []).limit(0)).count() == 0
+
+
 def test_repeated_rows_are_one_occurrence(spark):
     text = "a\nb\nc\nd"
     rows = [(1, text), (1, text), (2, text), (1, "x\na\nb\nc")]
