@@ -10,9 +10,14 @@ Where all matched windows together are not consistent (several variants in one d
 a template), each occurrence is asked alone: the windows of one alignment (position in the document minus
 position in the item), and those with the gaps filled from the nearest alignments.
 
-* Null and empty texts, on either side, match nothing.
-* An item shorter than a window is one window of its own length; below ``least`` tokens, or with windows
-  that are mostly slots, it says too little and matches nothing.
+Texts with lines that begin inside a sentence are read a second time with single line breaks as blanks.
+
+Beside templates, windows of ``width`` case-folded words are joined, so a copy in other letter case, with other line
+breaks or with too little outside its slots for a template is found word for word (no slots, ``slots`` is 0).
+
+* Null and empty texts, on either side, match nothing; neither does an item without letters and digits.
+* An item shorter than a window is one window of its own length.  As templates, items below ``least`` tokens and
+  windows that are mostly slots are not asked; word for word every item is, even one of a single word.
 * A long text may hold many items, and an item may occur several times; a pair is one row.  Its counts are those of
   all matched windows, or of the best occurrence where only single occurrences are consistent.
 * Repeated rows (same id, same text) of either side are one row of the result; null ids stay null.
@@ -60,6 +65,21 @@ KIND_STEPS = [
 ]
 
 
+# a line that begins inside a sentence with a word that is no slot elsewhere
+WRAPPED = r"[^\s.!?][ \t\r]*\n\s*(?!\p{Lu}\p{Ll})\p{L}"
+#: In place of the number of a form: matched word for word.
+LITERAL = -1
+
+
+def _unwrapped(text: Column) -> Column:
+    return F.regexp_replace(text, r"(\S[ \t\r]*)\n(?=[ \t]*\S)", "$1 ")
+
+
+def literal_tokens(text: Column) -> Column:
+    """Lower-case words and numbers."""
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+"), "")
+
+
 def template_kinds(text: Column) -> Column:
     """The tokens of :func:`template_tokens` with slots as ``<n>``, ``<d>`` and ``<u>``."""
     out = F.replace(F.replace(text, F.lit("<"), F.lit(" ")), F.lit(">"), F.lit(" "))
@@ -86,10 +106,42 @@ def _windows(rows: DataFrame, width: int, *keep: str) -> DataFrame:
 
 
 def _coded(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    kinds = df.where(F.col(text_col).isNotNull()).select(
-        row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"), template_kinds(F.col(text_col)).alias("kinds")
-    )
-    return kinds.select("key", "text", F.transform("kinds", lambda t: F.xxhash64(t)).alias("codes"))
+    """(key, form, text, codes): form 0 is the text as it is, form 1 without its single line breaks."""
+    text = F.col(text_col)
+    forms = F.when(text.rlike(WRAPPED), F.array(text, _unwrapped(text))).otherwise(F.array(text))
+    rows = df.where(text.isNotNull()).select(row_key(id_col, text_col).alias("key"), F.posexplode(forms).alias("form", "text"))
+    kinds = rows.select("key", "form", "text", template_kinds(F.col("text")).alias("kinds"))
+    return kinds.select("key", "form", "text", F.transform("kinds", lambda t: F.xxhash64(t)).alias("codes"))
+
+
+def _literal_pairs(docs, benchmark, id_col, text_col, item_col, item_text_col, width, min_coverage, broadcast_windows) -> DataFrame | None:
+    """(key, item_key, windows, asked) of the items that documents hold word for word; None without items."""
+
+    def coded(df: DataFrame, ident: str, text: str, name: str) -> DataFrame:
+        rows = df.where(F.col(text).isNotNull()).select(row_key(ident, text).alias(name), literal_tokens(F.col(text)).alias("words"))
+        return compute_once(rows, "codes", F.transform("words", lambda t: F.xxhash64(t))).drop("words")
+
+    def hashes(w: int) -> Column:
+        starts = F.sequence(F.lit(0), F.size("codes") - w)
+        own = F.transform(starts, lambda i: F.xxhash64(F.lit(w), *[F.get("codes", i + j) for j in range(w)]))
+        return F.when(F.size("codes") >= w, own).otherwise(F.array().cast("array<bigint>"))
+
+    items = materialise(coded(benchmark, item_col, item_text_col, "item_key").where(F.size("codes") > 0).dropDuplicates(["item_key"]), "words")
+    size = F.least(F.size("codes"), F.lit(width))
+    widths = sorted(r[0] for r in items.select(size).distinct().collect())  # at most ``width`` values
+    if not widths:
+        return None
+    parts = [items.where(size == w).select("item_key", F.posexplode(hashes(w)).alias("q", "window")) for w in widths]
+    mine = parts[0]
+    for part in parts[1:]:
+        mine = mine.unionByName(part)
+    small = mine.count() <= broadcast_windows
+    runs = F.array_distinct(F.flatten(F.array(*[hashes(w) for w in widths])))
+    hits = coded(docs, id_col, text_col, "key").select("key", F.explode(runs).alias("window")).join(F.broadcast(mine) if small else mine, "window")
+    found = hits.groupBy("key", "item_key").agg(F.count_distinct("q").alias("windows"))
+    asked = mine.groupBy("item_key").agg(F.count("*").alias("asked"))
+    found = found.join(F.broadcast(asked) if small else asked, "item_key")
+    return found.where(F.col("windows") >= min_coverage * F.col("asked"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -116,8 +168,8 @@ def keyed_matches(
     The benchmark's windows are broadcast up to ``broadcast_windows`` of them (some 40 bytes each); more
     are joined by a shuffle.
     """
-    items = _coded(benchmark, item_col, item_text_col).where(F.size("codes") >= least).dropDuplicates(["key"])
-    items = items.select(F.col("key").alias("item_key"), template_tokens(F.col("text")).alias("tokens"), "codes")
+    items = _coded(benchmark, item_col, item_text_col).where(F.size("codes") >= least).dropDuplicates(["key", "form"])
+    items = items.select(F.col("key").alias("item_key"), F.col("form").alias("item_form"), template_tokens(F.col("text")).alias("tokens"), "codes")
     items = materialise(items, "items")
     widths = [r[0] for r in items.select(F.least(F.size("tokens"), F.lit(width))).distinct().collect()]  # at most ``width`` values
     coded = _coded(docs, id_col, text_col)
@@ -125,20 +177,25 @@ def keyed_matches(
     hits, asked = None, None
     for w in sorted(widths):
         own = items.where(F.least(F.size("tokens"), F.lit(width)) == w)
-        mine = _windows(own, w, "item_key", "tokens", "codes").where(literal * 2 >= w).select("item_key", F.col("pos").alias("q"), "window")
+        mine = _windows(own, w, "item_key", "item_form", "tokens", "codes").where(literal * 2 >= w).select("item_key", "item_form", F.col("pos").alias("q"), "window")
         small = mine.count() <= broadcast_windows
-        found = _windows(coded, w, "key").select("key", "pos", "window").join(F.broadcast(mine) if small else mine, "window")
-        found = found.select("key", "item_key", "pos", "q", F.lit(w).alias("width"))
+        found = _windows(coded, w, "key", "form").select("key", "form", "pos", "window").join(F.broadcast(mine) if small else mine, "window")
+        found = found.select("key", "form", "item_key", "item_form", "pos", "q", F.lit(w).alias("width"))
         asked = mine if asked is None else asked.unionByName(mine)
         hits = found if hits is None else hits.unionByName(found)
-    if hits is None:
+    words = _literal_pairs(docs, benchmark, id_col, text_col, item_col, item_text_col, width, min_coverage, broadcast_windows)
+    if words is None:  # then there are no templates either
         ids = (docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString())
         return docs.sparkSession.createDataFrame([], f"key binary, id {ids[0]}, item {ids[1]}, windows bigint, coverage double, slots int, changed_slots int")
-    sizes = asked.groupBy("item_key").agg(F.count("*").alias("asked"))
-    pairs = hits.groupBy("key", "item_key").agg(
-        F.count_distinct("q").alias("windows"), F.first("width").alias("width"), F.collect_set(F.struct("pos", "q")).alias("at")
-    )
-    pairs = pairs.join(F.broadcast(sizes) if benchmark.count() <= broadcast_windows else sizes, "item_key")
+    none = F.array().cast("array<struct<pos:int,q:int>>")
+    pairs = words.withColumns({"form": F.lit(LITERAL), "item_form": F.lit(0), "width": F.lit(width), "at": none})
+    if hits is not None:
+        sizes = asked.groupBy("item_key", "item_form").agg(F.count("*").alias("asked"))
+        found = hits.groupBy("key", "form", "item_key", "item_form").agg(
+            F.count_distinct("q").alias("windows"), F.first("width").alias("width"), F.collect_set(F.struct("pos", "q")).alias("at")
+        )
+        found = found.join(F.broadcast(sizes) if benchmark.count() <= broadcast_windows else sizes, ["item_key", "item_form"])
+        pairs = pairs.unionByName(found)
     pairs = pairs.withColumn("coverage", F.col("windows") / F.col("asked")).where(F.col("coverage") >= min_coverage)
     return _consistent(pairs, docs, benchmark, items, id_col, text_col, item_col, item_text_col, min_coverage, min_consistency)
 
@@ -166,7 +223,7 @@ def _single_occurrences(rows: DataFrame, min_coverage: float, min_consistency: f
     Hits are dealt to overlapping stretches of four item lengths, so the work grows with the length of a
     document and not with its square.
     """
-    pair = ["key", "id", "item", "asked", "length"]
+    pair = ["key", "form", "id", "item", "item_form", "asked", "length"]
     hits = rows.select(*pair, F.explode("hits").alias("hit"))
     stretch = F.floor(F.col("hit.pos") / (F.col("length") * 2))
     hits = hits.withColumn("stretch", F.explode(F.array(stretch, stretch - 1)))
@@ -193,11 +250,20 @@ def _single_occurrences(rows: DataFrame, min_coverage: float, min_consistency: f
 def _consistent(pairs, docs, benchmark, items, id_col, text_col, item_col, item_text_col, min_coverage, min_consistency) -> DataFrame:
     texts = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     names = benchmark.select(F.col(item_col).alias("item"), row_key(item_col, item_text_col).alias("item_key")).distinct()
-    both = pairs.join(texts, "key").join(names, "item_key").join(items.select("item_key", F.col("tokens").alias("asked_tokens")), "item_key")
-    both = compute_once(both.withColumnRenamed("text", "raw"), "tokens", template_tokens(F.col("raw")))
+    both = pairs.join(texts, "key").join(names, "item_key")
+    both = both.join(items.select("item_key", "item_form", F.col("tokens").alias("asked_tokens")), ["item_key", "item_form"], "left")
+    both = both.withColumn("raw", F.when(F.col("form") == 1, _unwrapped(F.col("text"))).when(F.col("form") == 0, F.col("text"))).drop("text")
+    both = compute_once(both, "tokens", template_tokens(F.col("raw")))
     both = compute_once(both, "slot_pairs", F.array_distinct(F.flatten(F.transform("at", _slots_of))))
     hits = F.transform("at", lambda h: F.struct((h["pos"] - h["q"]).alias("shift"), h["pos"].alias("pos"), h["q"].alias("q"), _slots_of(h).alias("slots")))
     both = _compared(both, min_consistency).withColumn("hits", F.when(~F.col("steady"), hits))
     own = ["key", "id", "item", "windows", "coverage", "slots", "changed_slots"]
-    both = materialise(both.select(*own, "steady", "hits", "asked", F.size("asked_tokens").alias("length")), "compared")
-    return both.where("steady").select(*own).distinct().unionByName(_single_occurrences(both.where("NOT steady"), min_coverage, min_consistency))
+    rest = ["form", "item_form", "steady", "hits", "asked", F.size("asked_tokens").alias("length")]
+    both = materialise(both.select(*own, *rest), "compared")
+    # the texts as they are come first, then other forms, single occurrences, copies word for word
+    rank = F.when(F.col("form") == LITERAL, 4).otherwise(F.col("form") + F.col("item_form"))
+    single = _single_occurrences(both.where("NOT steady"), min_coverage, min_consistency).withColumn("rank", F.lit(3))
+    found = both.where("steady").select(*own, rank.alias("rank")).unionByName(single)
+    best = F.min(F.struct("rank", (-F.col("windows")).alias("less"), "changed_slots", "slots", "windows", "coverage"))
+    found = found.groupBy("key", "id", "item").agg(best.alias("b"))
+    return found.select("key", "id", "item", *[F.col(f"b.{c}") for c in own[3:]])

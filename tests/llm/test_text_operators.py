@@ -152,6 +152,8 @@ REPEATS = (
 
 def test_each_occurrence_of_a_template_counts_alone(spark):
     unsteady = REPEATS.replace("A bus", "The bus").replace("A tram", "One tram").replace("6 hours", "6 days").replace("8 hours", "8 weeks")
+    for old, new in zip("945678", ["21", "31", "41", "51", "61", "71"]):
+        unsteady = unsteady.replace(f" {old} ", f" {new} ")
     edited = REPEATS.replace("A bus", "Then at long last a rather slow bus")
     docs = frame(spark, [
         (1, f"{ITEM} {OTHER}"), (2, f"{PROSE} {OTHER}\n{ITEM} {PROSE}"), (3, REPEATS), (4, f"{PROSE} {REPEATS} {REPEATS.replace('9', '11')}"),
@@ -165,6 +167,23 @@ def test_each_occurrence_of_a_template_counts_alone(spark):
     assert sorted(r["doc_id"] for r in without_contaminated(docs, bench).collect()) == [6, 7]
 
 
+def test_copies_in_other_case_other_lines_and_short_items(spark):
+    def wrapped(text, n):
+        words = text.split()
+        return "\n".join(" ".join(words[i : i + n]) for i in range(0, len(words), n))
+
+    docs = frame(spark, [
+        (1, ITEM), (2, ITEM.lower()), (3, ITEM.upper()), (4, wrapped(ITEM, 4)), (5, wrapped(OTHER, 4)), (6, f"{PROSE} who wrote hamlet? {PROSE}"),
+        (7, "7 8 9 10 11 12 13 14 15 16"), (8, PROSE), (9, "Who wrote Macbeth? Hamlet!"), (10, None), (10, ""), (None, ITEM.lower()),
+    ])
+    items = [(1, ITEM), (2, "Who wrote Hamlet?"), (3, "8, 9, 10, 11, 12, 13, 14, 15"), (4, "?!"), (5, wrapped(ITEM, 3))]
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    asked = {(d, i) for d in (1, 2, 3, 4, 5, None) for i in (1, 5)} | {(6, 2), (7, 3)}
+    for limit in (200_000, 0):
+        rows = contaminated(docs, bench, broadcast_windows=limit).collect()
+        assert {(r["id"], r["item"]) for r in rows} == asked and len(rows) == len(asked)
+
+
 def test_templates_empty_tables(spark):
     docs = frame(spark, [(1, ITEM)])
     none = spark.createDataFrame([], "item_id int, text string")
