@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusflow.llm.common import blocks_for, table
 from corpusflow.llm.decontaminate import TEMPLATE_STEPS, contaminated
+from corpusflow.llm.fingerprints import BLANK, PIECE, SHORT, SHORT_PIECE, fingerprint_edits
 from corpusflow.llm.jaccard_join import jaccard_classes
 from corpusflow.llm.licences import scan_licences
 from corpusflow.llm.line_dedup import dedup_lines
@@ -229,3 +230,54 @@ def op5_licence_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every paragraph of every document that a licence family's notice is in."""
     found = scan_licences(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.withColumnRenamed("id", "doc_id")
+
+
+def _tree_sql(text: str) -> str:
+    branches = f"list_transform(string_split({text}, chr(10)), lambda p: md5(p) || ':' || length(p))"
+    ends = f"CASE WHEN starts_with(b, '0') OR starts_with(b, '{BLANK}') THEN ';' ELSE ',' END"
+    return f"regexp_replace(array_to_string(list_transform({branches}, lambda b: b || {ends}), ''), '[,;]$', '')"
+
+
+def _fingerprint_sql(text: str, tree: str) -> str:
+    root = f"sha256(array_to_string(list_transform(string_split({tree}, ';'), lambda s: md5(s)), ''))"
+    found = [f"regexp_extract_all({text}, '{pattern}')" for pattern in (SHORT_PIECE, PIECE)]
+    found = f"CASE WHEN length({text}) < {SHORT} THEN {found[0]} ELSE {found[1]} END"
+    pieces = f"list_sort(list_distinct(list_transform({found}, lambda x: substr(md5(x), 1, 8))))"
+    return f"{root} || ':' || array_to_string({pieces}, '')"
+
+
+def _likeness_sql(a: str, b: str) -> str:
+    pieces = [f"regexp_extract_all(substr({x}, 66), '.{{8}}')" for x in (a, b)]
+    share = f"2 * len(list_intersect({pieces[0]}, {pieces[1]})) / greatest(len({pieces[0]}) + len({pieces[1]}), 1)"
+    return f"CASE WHEN {a}[:64] = {b}[:64] THEN 1.0::DOUBLE ELSE ({share})::DOUBLE END"
+
+
+FINGERPRINTS_SQL = f"""
+WITH rows AS (
+  SELECT doc_id, coalesce(text, '') AS text, md5(coalesce(doc_id::VARCHAR, 'null') || chr(31) || coalesce(text, '')) AS key FROM documents),
+followed AS (
+  SELECT doc_id, text, coalesce(lead(text) OVER w, first_value(text) OVER w) AS other
+  FROM rows WINDOW w AS (ORDER BY doc_id NULLS FIRST, key)),
+edits AS (
+  SELECT *, substr(text, 1, length(text) - length(text) // 4) || substr(other, 1, length(text) // 4) AS edited FROM followed),
+trees AS (SELECT *, {_tree_sql("text")} AS t, {_tree_sql("other")} AS o, {_tree_sql("edited")} AS e FROM edits),
+prints AS (
+  SELECT doc_id, text, edited, {_fingerprint_sql("text", "t")} AS f, {_fingerprint_sql("other", "o")} AS fo, {_fingerprint_sql("edited", "e")} AS fe,
+         string_split_regex(t, '[,;]') AS tp, string_split_regex(e, '[,;]') AS ep
+  FROM trees),
+places AS (
+  SELECT *, list_position(list_transform(range(1, greatest(len(tp), len(ep)) + 1), lambda i: tp[i] IS DISTINCT FROM ep[i]), true) AS place FROM prints)
+SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256, f AS fingerprint, fe AS edited_fingerprint,
+       {_likeness_sql("f", "fe")} AS near_edited, {_likeness_sql("f", "fo")} AS near_next,
+       CASE WHEN f <> fe THEN coalesce(list_sum(list_transform(tp[1 : place - 1], lambda b: split_part(b, ':', 2)::BIGINT + 1)), 0)::BIGINT END AS edit_start
+FROM places"""
+
+
+@query("op11_fingerprints", FINGERPRINTS_SQL)
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, how alike they are, and where the edit begins."""
+    found = fingerprint_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edit_start",
+    )
