@@ -10,12 +10,14 @@ from corpusflow.llm.common import blocks_for, table
 from corpusflow.llm.decontaminate import TEMPLATE_STEPS, contaminated
 from corpusflow.llm.fingerprints import BLANK, PIECE, SHORT, SHORT_PIECE, fingerprint_edits
 from corpusflow.llm.jaccard_join import jaccard_classes
+from corpusflow.llm.lexical_search import search_documents
 from corpusflow.llm.licences import scan_licences
 from corpusflow.llm.line_dedup import dedup_lines
 from corpusflow.llm.nearest import nearest_neighbours
 from corpusflow.llm.packing import pack_documents
 from corpusflow.llm.pieces import decode_ids, encode_texts, load_model
 from corpusflow.llm.sentence_dedup import dedup_passages, dedup_sentences
+from corpusflow.llm.source_audit import audit_sources
 from corpusflow.llm.token_files import file_number, placed_ids, scan_token_files, write_token_files
 from corpusflow.llm.toxicity import score_toxicity
 from corpusflow.session import scratch_path
@@ -281,3 +283,71 @@ def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edit_start",
     )
+
+
+AUDIT_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS found FROM documents),
+words AS (
+  SELECT r, lang, source, translate(term, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+  FROM (SELECT r, lang, source, unnest(found) AS term FROM docs)),
+kept AS (SELECT lang, term, count(*) AS n FROM words GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+counts AS (SELECT w.lang, w.source, w.term, count(*) AS n FROM words w JOIN kept k ON k.lang = w.lang AND k.term = w.term GROUP BY ALL),
+sizes AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang),
+grp AS (
+  SELECT g.lang, g.source, coalesce(any_value(z.v), 0) AS v, coalesce(sum(c.n), 0) AS n
+  FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN sizes z ON z.lang = g.lang
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source GROUP BY g.lang, g.source),
+dense AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         (1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.n + g.v))::HUGEINT AS p,
+         (1 + (1000000000::HUGEINT * (k.n + 1)) // (z.n + z.v))::HUGEINT AS q
+  FROM grp g JOIN kept k ON k.lang = g.lang JOIN sizes z ON z.lang = g.lang
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM dense WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM terms)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 200"""
+
+
+@query("op12_source_divergence", AUDIT_SQL)
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source against the others of its language, and the terms it uses more than its language."""
+    return audit_sources(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+SEARCH_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS found FROM documents),
+words AS (
+  SELECT r, translate(term, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM (SELECT r, unnest(found) AS term FROM docs)),
+asked AS (
+  SELECT DISTINCT item_id, translate(term, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+  FROM (SELECT item_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)),
+stats AS (SELECT count(*) FILTER (WHERE len(found) > 0)::BIGINT AS n, sum(len(found))::BIGINT AS l FROM docs),
+measures AS (SELECT r, doc_id, 100 - 90 + ((90 * len(found) * n) // l) AS m FROM docs, stats),
+tfs AS (SELECT r, term, count(*) AS tf FROM words WHERE term IN (SELECT term FROM asked) GROUP BY r, term),
+weights AS (SELECT term, floor(1000 * ln((2 * any_value(n) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tfs, stats GROUP BY term),
+scores AS (
+  SELECT a.item_id, m.doc_id, t.r, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM asked a JOIN tfs t USING (term) JOIN weights USING (term) JOIN measures m ON m.r = t.r GROUP BY ALL),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10"""
+
+
+@query("op13_ranked_search", SEARCH_SQL)
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each benchmark item."""
+    found = search_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
