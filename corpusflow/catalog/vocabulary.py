@@ -32,11 +32,11 @@ _VOCAB = f"""{_COUNTS}, letters AS (SELECT DISTINCT unnest(regexp_extract_all(wo
       UNION ALL SELECT i::INTEGER, t FROM (VALUES (0, '[PAD]'), (1, '[CLS]'), (2, '[SEP]'), (3, '[MASK]'), (4, '[UNK]')) s(i, t))"""
 
 
-def _pieces_sql(texts: str) -> str:
+def _pieces_sql(texts: str, words: str = f"regexp_extract_all(text, '{_WORDS}')", unknown: int = 4) -> str:
     """CTEs that end in ``ids(id, a_ids)``: every text of ``texts(id, text)`` as token ids."""
     return f"""placed AS (
       SELECT id, unnest(found) AS word, generate_subscripts(found, 1) AS pos
-      FROM (SELECT id, regexp_extract_all(text, '{_WORDS}') AS found FROM {texts})),
+      FROM (SELECT id, {words} AS found FROM {texts})),
     distinct_words AS (SELECT DISTINCT word FROM placed),
     spans AS (
       SELECT word, s, e - s + 1 AS len, CASE WHEN s > 1 THEN '##' ELSE '' END || substr(word, s, e - s + 1) AS token
@@ -50,7 +50,7 @@ def _pieces_sql(texts: str) -> str:
       UNION ALL SELECT w.word, w.pos + l.len, list_append(w.found, l.token_id)
       FROM walk w JOIN longest l ON l.word = w.word AND l.s = w.pos),
     spelled AS (
-      SELECT d.word, coalesce(any_value(w.found), [4]) AS found FROM distinct_words d
+      SELECT d.word, coalesce(any_value(w.found), [{unknown}]) AS found FROM distinct_words d
       LEFT JOIN walk w ON w.word = d.word AND w.pos = length(d.word) + 1 AND length(d.word) <= 100 GROUP BY d.word),
     gathered AS (
       SELECT id, flatten(list(found ORDER BY pos)) AS found FROM placed JOIN spelled USING (word) GROUP BY id),
@@ -212,6 +212,95 @@ def decode(spark, sf):
     return en.decode(rows, vocab, "tokens").select("doc_id", F.md5("decoded").alias("digest"))
 
 
+# tokens beside special tokens and characters, as many as a published uncased vocabulary has
+N_UNCASED_WORDS = 30_000
+# marks and ideographs alone, everything else in runs
+_P = r"!-/:-@\[-`{-~\p{P}"
+_IDEOGRAPHS = "".join(rf"\x{{{low:x}}}-\x{{{high:x}}}" for low, high in tk.IDEOGRAPHS)
+_UNCASED = rf"regexp_extract_all(lower(strip_accents(text)), '[{_P}{_IDEOGRAPHS}]|[^\s\p{{Z}}\x0b\x85{_P}{_IDEOGRAPHS}]+')"
+_UNCASED_VOCAB = f"""counts AS (
+      SELECT word, count(*) AS n FROM (SELECT unnest({_UNCASED}) AS word FROM documents) GROUP BY word),
+    letters AS (SELECT DISTINCT unnest(regexp_extract_all(word, '.')) AS token FROM counts),
+    parts AS (
+      SELECT token, min(part) AS part FROM (
+        SELECT 1 AS part, token FROM letters UNION ALL SELECT 2, '##' || token FROM letters
+        UNION ALL SELECT 3, word FROM (
+          SELECT word FROM counts WHERE length(word) > 1 ORDER BY n DESC, word LIMIT {N_UNCASED_WORDS})) GROUP BY token),
+    vocab AS (
+      SELECT (row_number() OVER (ORDER BY part, token) + 103)::INTEGER AS token_id, token FROM parts
+      UNION ALL SELECT i::INTEGER, t FROM (VALUES (0, '[PAD]'), (100, '[UNK]'), (101, '[CLS]'), (102, '[SEP]'), (103, '[MASK]')) s(i, t))"""
+
+
+def uncased_vocabulary(spark, sf):
+    """Characters and frequent words of the uncased documents, special tokens at their published ids."""
+    counts = vo.word_counts(table(spark, sf, "documents"), split=en.uncased_vocabulary_words)
+    return materialise(vo.word_vocabulary(materialise(counts, "counts"), N_UNCASED_WORDS, vo.UNCASED_SPECIAL_IDS), "vocabulary")
+
+
+@query(
+    "uncased_words",
+    f"""SELECT doc_id, len(f)::INTEGER AS n_words, md5(array_to_string(f, ' ')) AS digest
+    FROM (SELECT doc_id, {_UNCASED} AS f FROM documents)""",
+)
+def uncased_words(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", tk.uncased_words("text").alias("w"))
+    return rows.select("doc_id", F.size("w").alias("n_words"), F.md5(F.array_join("w", " ")).alias("digest"))
+
+
+@query(
+    "encode_uncased_single",
+    f"""WITH RECURSIVE {_UNCASED_VOCAB}, {_DOC_TEXTS}, {_pieces_sql('texts', _UNCASED, 100)}
+    SELECT id AS doc_id, len(found)::INTEGER AS n_tokens, md5({_join_sql('found')}) AS all_tokens,
+      {_join_sql("list_resize([101] || found[1:126] || [102], 128, 0)")} AS input_ids FROM ids""",
+)
+def encode_uncased_single(spark, sf):
+    vocab = uncased_vocabulary(spark, sf)
+    rows = en.encode_uncased(table(spark, sf, "documents").select("doc_id", "text"), vocab)
+    rows = en.model_input(rows, "tokens", special_tokens=vo.special_ids(vocab))
+    return rows.select(
+        "doc_id", F.size("tokens").alias("n_tokens"), F.md5(joined("tokens")).alias("all_tokens"),
+        joined("input_ids").alias("input_ids"),
+    )
+
+
+@query(
+    "encode_uncased_pair",
+    f"""WITH RECURSIVE {_UNCASED_VOCAB}, {_TURNS}, texts AS (
+      SELECT 2 * idx AS id, first_text AS text FROM turns UNION ALL SELECT 2 * idx + 1, second_text FROM turns),
+    {_pieces_sql('texts', _UNCASED, 100)},
+    sides AS (SELECT a.id // 2 AS idx, a.found AS a, b.found AS b, len(a.found) AS la, len(b.found) AS lb
+      FROM ids a JOIN ids b ON b.id = a.id + 1 AND a.id % 2 = 0),
+    kept AS (SELECT *, CASE WHEN la + lb <= 125 OR la <= 62 THEN la WHEN lb <= 62 THEN 125 - lb
+      WHEN la > lb THEN 63 ELSE 62 END AS ka FROM sides),
+    both_kept AS (SELECT *, CASE WHEN la + lb <= 125 THEN lb ELSE 125 - ka END AS kb FROM kept)
+    SELECT idx, {_join_sql("list_resize([101] || a[1:ka] || [102] || b[1:kb] || [102], 128, 0)")} AS input_ids,
+      {_join_sql("list_resize(list_transform(range(ka + 2), lambda x: 0) || list_transform(range(kb + 1), lambda x: 1), 128, 0)")} AS token_type_ids
+    FROM both_kept""",
+)
+def encode_uncased_pair(spark, sf):
+    vocab = uncased_vocabulary(spark, sf)
+    rows = en.encode_uncased(turns(spark, sf), vocab, (("first_text", "a"), ("second_text", "b")), id_col="idx")
+    rows = en.model_input(rows, "a", "b", special_tokens=vo.special_ids(vocab))
+    return rows.select("idx", joined("input_ids").alias("input_ids"), joined("token_type_ids").alias("token_type_ids"))
+
+
+@query(
+    "decode_uncased",
+    f"""WITH RECURSIVE {_UNCASED_VOCAB}, {_DOC_TEXTS}, {_pieces_sql('texts', _UNCASED, 100)},
+    listed AS (SELECT id, unnest(found) AS token_id, generate_subscripts(found, 1) AS pos FROM ids),
+    named AS (SELECT id, pos, token FROM listed JOIN vocab USING (token_id) WHERE token_id NOT IN (0, 100, 101, 102, 103))
+    SELECT d.doc_id, md5(coalesce(string_agg(
+        CASE WHEN first THEN token WHEN starts_with(token, '##') THEN substr(token, 3)
+             WHEN regexp_matches(token, '^([.?!,]|n''t|''m|''s|''ve|''re)') THEN token ELSE ' ' || token END, '' ORDER BY pos), '')) AS digest
+    FROM documents d LEFT JOIN (SELECT *, pos = min(pos) OVER (PARTITION BY id) AS first FROM named) n ON n.id = d.doc_id
+    GROUP BY d.doc_id""",
+)
+def decode_uncased(spark, sf):
+    vocab = uncased_vocabulary(spark, sf)
+    rows = en.encode_uncased(table(spark, sf, "documents").select("doc_id", "text"), vocab)
+    return en.decode(rows, vocab, "tokens").select("doc_id", F.md5("decoded").alias("digest"))
+
+
 @query("train_wordpiece")
 def train_wordpiece(spark, sf):
     """A small trained vocabulary; the work per round grows with the distinct words."""

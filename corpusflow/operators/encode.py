@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -10,9 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusflow.functions.arrays import pad_to
-from corpusflow.functions.tokens import words
-from corpusflow.operators.lookup import lookup_join
-from corpusflow.operators.vocab import CONTINUATION, SPECIAL_TOKENS
+from corpusflow.functions.tokens import uncased_words, words
+from corpusflow.operators.lookup import counted_join, lookup_join
+from corpusflow.operators.vocab import CONTINUATION, SPECIAL_TOKENS, special_ids
+from corpusflow.session import materialise
 
 # Longer words become the unknown token; model inputs are cut to this many tokens.
 MAX_WORD_CHARS = 100
@@ -26,15 +27,10 @@ _MEMORY_WORDS = 500_000
 _NO_SPACE_BEFORE = (".", "?", "!", ",", "n't", "'m", "'s", "'ve", "'re")
 
 
-def _token_list(vocab: DataFrame, limit: int) -> list[str] | None:
-    """Tokens by id, or ``None`` when there are more than ``limit``."""
+def _tokens_by_id(vocab: DataFrame, limit: int) -> dict[int, str] | None:
+    """Tokens by id, or ``None`` when there are more than ``limit``.  Ids may have gaps."""
     rows = vocab.select("token_id", "token").limit(limit + 1).collect()
-    if len(rows) > limit:
-        return None
-    tokens: list[str] = [""] * (max((row["token_id"] for row in rows), default=-1) + 1)
-    for row in rows:
-        tokens[row["token_id"]] = row["token"]
-    return tokens
+    return None if len(rows) > limit else {row["token_id"]: row["token"] for row in rows}
 
 
 def word_pieces(word: str, ids: dict[str, int], unknown: int, max_chars: int = MAX_WORD_CHARS) -> list[int]:
@@ -123,14 +119,22 @@ def encode_words_by_join(distinct_words: DataFrame, vocab: DataFrame, unknown: s
     return found.select("word", F.coalesce("ids", F.array(F.lit(unknown_id))).alias("ids"))
 
 
-def _encode_by_join(df: DataFrame, vocab: DataFrame, column: str, out: str, id_col: str, unknown: str) -> DataFrame:
+def cased_words(column: str) -> Column:
+    return words(column, special_tokens=SPECIAL_TOKENS)
+
+
+def _encode_by_join(
+    df: DataFrame, vocab: DataFrame, column: str, out: str, id_col: str, unknown: str, split: Callable[[str], Column]
+) -> DataFrame:
     """Encoding when the vocabulary is too large for a broadcast.
 
-    Tokens meet the encoded words in a shuffle join; AQE splits the partitions of frequent words.
+    Words are counted first; the most frequent meet their ids in a broadcast, all others in a shuffle join.
     """
-    listed = df.select(id_col, F.posexplode(words(column, special_tokens=SPECIAL_TOKENS)).alias("_at", "word"))
-    coded = encode_words_by_join(listed.select("word").distinct(), vocab, unknown)
-    parts = listed.join(coded, "word").groupBy(id_col).agg(
+    listed = materialise(df.select(id_col, F.posexplode(split(column)).alias("_at", "word")), "words")
+    counts = materialise(listed.groupBy("word").agg(F.count(F.lit(1)).alias("_n")), "counts")
+    coded = materialise(counts.join(encode_words_by_join(counts.select("word"), vocab, unknown), "word"), "coded")
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    parts = counted_join(listed, coded, "word", "_n", total).groupBy(id_col).agg(
         F.sort_array(F.collect_list(F.struct("_at", "ids"))).alias("_parts")
     )
     ids = F.flatten(F.transform("_parts", lambda p: p["ids"]))
@@ -145,30 +149,43 @@ def encode(
     unknown: str = UNKNOWN,
     id_col: str = "doc_id",
     max_broadcast: int = BROADCAST_TOKENS,
+    split: Callable[[str], Column] = cased_words,
 ) -> DataFrame:
     """Add the token ids of each ``(text column, output column)`` pair, unpadded and uncut.
 
-    Within ``max_broadcast`` tokens this is a narrow step: words are found in the JVM, encoded per
-    Arrow batch, nothing is shuffled.  A larger vocabulary is joined as a table.
+    ``split`` finds the words of a column.  Within ``max_broadcast`` tokens this is a narrow step: words are
+    found in the JVM, encoded per Arrow batch, nothing is shuffled.  A larger vocabulary is joined as a table.
     """
-    tokens = _token_list(vocab, max_broadcast)
+    tokens = _tokens_by_id(vocab, max_broadcast)
     if tokens is None:
         for source, out in columns:
-            df = _encode_by_join(df, vocab, source, out, id_col, unknown)
+            df = _encode_by_join(df, vocab, source, out, id_col, unknown, split)
         return df
-    ids = df.sparkSession.sparkContext.broadcast({token: i for i, token in enumerate(tokens)})
+    ids = df.sparkSession.sparkContext.broadcast({token: i for i, token in tokens.items()})
     to_ids = _arrow_encoder(ids, unknown, MAX_WORD_CHARS)
     for source, out in columns:
-        found = words(source, special_tokens=SPECIAL_TOKENS)
-        df = df.withColumn(out, to_ids(F.coalesce(found, F.array().cast("array<string>"))))
+        df = df.withColumn(out, to_ids(F.coalesce(split(source), F.array().cast("array<string>"))))
     return df
 
 
-def _special(special_tokens: Sequence[str], name: str) -> int:
-    return list(special_tokens).index(name)
+def uncased_vocabulary_words(column: str) -> Column:
+    """The words that an uncased vocabulary encodes."""
+    return uncased_words(column, SPECIAL_TOKENS)
+
+
+def encode_uncased(df: DataFrame, vocab: DataFrame, columns: Sequence[tuple[str, str]] = (("text", "tokens"),), **options) -> DataFrame:
+    """:func:`encode` of lower-case text without accents, with one token a punctuation mark and an ideograph."""
+    return encode(df, vocab, columns, split=uncased_vocabulary_words, **options)
 
 
-def single_input(tokens: Column | str, max_len: int = MAX_LEN, special_tokens: Sequence[str] = SPECIAL_TOKENS) -> Column:
+def _special(special_tokens: Sequence[str] | Mapping[str, int], name: str) -> int:
+    """The id of a special token: what a mapping says, or its place in a sequence."""
+    return special_tokens[name] if isinstance(special_tokens, Mapping) else list(special_tokens).index(name)
+
+
+def single_input(
+    tokens: Column | str, max_len: int = MAX_LEN, special_tokens: Sequence[str] | Mapping[str, int] = SPECIAL_TOKENS
+) -> Column:
     """``[CLS] a [SEP]``, cut to ``max_len``."""
     ids = F.col(tokens) if isinstance(tokens, str) else tokens
     cls, sep = F.lit(_special(special_tokens, "[CLS]")), F.lit(_special(special_tokens, "[SEP]"))
@@ -194,7 +211,7 @@ def pair_lengths(la: Column, lb: Column, budget: int) -> tuple[Column, Column]:
 
 
 def pair_input(
-    a: Column | str, b: Column | str, max_len: int = MAX_LEN, special_tokens: Sequence[str] = SPECIAL_TOKENS
+    a: Column | str, b: Column | str, max_len: int = MAX_LEN, special_tokens: Sequence[str] | Mapping[str, int] = SPECIAL_TOKENS
 ) -> tuple[Column, Column]:
     """``[CLS] a [SEP] b [SEP]`` cut longest side first, and its 0/1 segment ids."""
     left = F.col(a) if isinstance(a, str) else a
@@ -212,9 +229,13 @@ def model_input(
     tokens_b: str | None = None,
     max_len: int = MAX_LEN,
     pad: bool = True,
-    special_tokens: Sequence[str] = SPECIAL_TOKENS,
+    special_tokens: Sequence[str] | Mapping[str, int] = SPECIAL_TOKENS,
 ) -> DataFrame:
-    """Add ``input_ids`` and ``token_type_ids``; ``pad`` extends both to ``max_len``."""
+    """Add ``input_ids`` and ``token_type_ids``; ``pad`` extends both to ``max_len``.
+
+    ``special_tokens`` as :func:`corpusflow.operators.vocab.special_ids` finds them in a vocabulary, or in the
+    order of ids 0, 1, ...
+    """
     if tokens_b is None:
         ids = single_input(tokens, max_len, special_tokens)
         df = df.withColumn("input_ids", ids)
@@ -233,7 +254,8 @@ def model_input(
 def _arrow_decoder(tokens):
     @F.arrow_udf("string")
     def render(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        plain = tokens.value
+        ids = np.asarray(sorted(tokens.value), np.int64)
+        plain = [tokens.value[i] for i in ids.tolist()]
         joined = []
         for token in plain:
             if token.startswith(CONTINUATION):
@@ -241,13 +263,19 @@ def _arrow_decoder(tokens):
             else:
                 joined.append(token if token.startswith(_NO_SPACE_BEFORE) else " " + token)
         # the second half holds the form a token takes at the start of a text
-        forms = pa.array(joined + list(plain))
+        forms = pa.array(joined + list(plain), pa.string())
         for batch in batches:
             lengths = pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False)
+            found = pc.fill_null(batch.flatten(), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            at = np.searchsorted(ids, found)
+            # ids that the vocabulary does not have are left out before a text's first token is known
+            held = ids[np.minimum(at, len(ids) - 1)] == found if len(ids) else np.zeros(len(found), bool)
+            rows = np.repeat(np.arange(len(lengths)), lengths)[held]
+            lengths = np.bincount(rows, minlength=len(lengths))
             offsets = np.concatenate([[0], np.cumsum(lengths)])
-            index = batch.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            index = at[held]
             index[offsets[:-1][lengths > 0]] += len(plain)
-            parts = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), forms.take(pa.array(index)))
+            parts = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), forms.take(pa.array(index, pa.int64())))
             yield pc.binary_join(parts, "")
 
     return render
@@ -264,17 +292,17 @@ def decode(
 ) -> DataFrame:
     """Ids back to text: special tokens dropped, continuations glued, spaces tidied.
 
-    Ids that are NULL or not in the vocabulary are dropped too; a NULL list gives an empty text.
+    The ids of the special tokens are looked up in the vocabulary, which may have gaps.  Ids that are NULL or not
+    in the vocabulary are dropped too; a NULL list gives an empty text.
     """
-    special = list(range(len(special_tokens)))
-    kept = F.filter(column, lambda i: ~i.isin(special))
-    tokens = _token_list(vocab, max_broadcast)
+    kept = F.filter(column, lambda i: ~i.isin(list(special_ids(vocab, special_tokens).values())))
+    tokens = _tokens_by_id(vocab, max_broadcast)
     if tokens is not None:
-        inside = F.filter(kept, lambda i: (i >= 0) & (i < len(tokens)))
-        return df.withColumn(out, _arrow_decoder(df.sparkSession.sparkContext.broadcast(tokens))(inside))
+        return df.withColumn(out, _arrow_decoder(df.sparkSession.sparkContext.broadcast(tokens))(kept))
     # too many tokens to ship: look each id up in the vocabulary table
-    listed = df.select(id_col, F.posexplode(kept).alias("_at", "token_id"))
-    named = listed.join(vocab, "token_id")
+    listed = materialise(df.select(id_col, F.posexplode(kept).alias("_at", "token_id")).where("token_id IS NOT NULL"), "ids")
+    counts = listed.groupBy("token_id").agg(F.count(F.lit(1)).alias("_n"))
+    named = counted_join(listed, materialise(vocab.join(counts, "token_id"), "tokens"), "token_id", "_n", listed.count())
     # the first id that the vocabulary holds begins the text
     begins = named.groupBy(id_col).agg(F.min("_at").alias("_begin"))
     named = named.join(begins, id_col)
