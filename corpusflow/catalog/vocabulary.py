@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusflow.catalog.base import query, table
 from corpusflow.catalog.evaluation import _TURNS, turns
 from corpusflow.functions import arrays as ar, tokens as tk
-from corpusflow.operators import encode as en, models as mo, vocab as vo
+from corpusflow.operators import encode as en, models as mo, vocab as vo, wordpiece as wp
 from corpusflow.session import materialise, scratch_path
 from corpusflow.sources import stores
 
@@ -303,5 +303,48 @@ def decode_uncased(spark, sf):
 
 @query("train_wordpiece")
 def train_wordpiece(spark, sf):
-    """A small trained vocabulary; the work per round grows with the distinct words."""
-    return vo.train_wordpiece(vo.word_counts(table(spark, sf, "documents")), vocab_size=300)
+    """A vocabulary of the published size, trained on all words of the documents."""
+    return wp.train_wordpiece(materialise(vo.word_counts(table(spark, sf, "documents")), "counts"))
+
+
+# tokens of the vocabulary trained on the benchmark's items
+N_ITEM_TOKENS = 300
+
+
+def _wrapped(piece: str) -> str:
+    return f"chr(1) || {piece} || chr(2)"
+
+
+@query(
+    "train_wordpiece_items",
+    f"""WITH RECURSIVE counts AS (
+      SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{_WORDS}')) AS word FROM benchmark) GROUP BY word),
+    split AS (
+      SELECT n, array_to_string(list_transform(regexp_extract_all(word, '.'), lambda c, i: chr(1) || CASE WHEN i > 1 THEN '##' ELSE '' END || c || chr(2)), '') AS w
+      FROM counts),
+    seen AS (SELECT DISTINCT unnest(string_split(w[2:-2], chr(2) || chr(1))) AS c FROM split),
+    plain AS (SELECT DISTINCT CASE WHEN starts_with(c, '##') AND length(c) > 2 THEN substr(c, 3) ELSE c END AS c FROM seen),
+    first AS (
+      SELECT (row_number() OVER (ORDER BY part, c) + 4)::INTEGER AS token_id, c AS token
+      FROM (SELECT 1 AS part, c FROM plain UNION ALL SELECT 2, c FROM seen WHERE c NOT IN (SELECT c FROM plain))),
+    rounds AS (
+      SELECT (SELECT list({{'w': w, 'n': n}}) FROM split) AS words, (SELECT list(token ORDER BY token_id) FROM first) AS tokens, false AS over
+      UNION ALL
+      SELECT CASE WHEN b.a IS NULL THEN words ELSE list_transform(words, lambda x: {{
+               'w': replace(x.w, {_wrapped('b.a')} || {_wrapped('b.b')}, {_wrapped('b.p')}), 'n': x.n}}) END,
+             CASE WHEN b.a IS NULL OR list_contains(tokens, b.p) THEN tokens ELSE list_append(tokens, b.p) END, b.a IS NULL
+      FROM rounds, LATERAL (
+        SELECT any_value(a) AS a, any_value(b) AS b, any_value(a || CASE WHEN starts_with(b, '##') THEN substr(b, 3) ELSE b END) AS p FROM (
+          SELECT a, b FROM (
+            SELECT ps[i] AS a, ps[i + 1] AS b, n FROM (
+              SELECT ps, n, unnest(range(1, len(ps))) AS i FROM (
+                SELECT string_split(x.w[2:-2], chr(2) || chr(1)) AS ps, x.n AS n FROM (SELECT unnest(words) AS x))))
+          GROUP BY a, b ORDER BY sum(n) DESC, a, b LIMIT 1)) b
+      WHERE NOT over AND len(tokens) < {N_ITEM_TOKENS} - 5),
+    last AS (SELECT tokens FROM rounds ORDER BY len(tokens) DESC LIMIT 1)
+    SELECT i::INTEGER AS token_id, t AS token FROM (VALUES (0, '[PAD]'), (1, '[CLS]'), (2, '[SEP]'), (3, '[MASK]'), (4, '[UNK]')) s(i, t)
+    UNION ALL SELECT (generate_subscripts(tokens, 1) + 4)::INTEGER, unnest(tokens) FROM last""",
+)
+def train_wordpiece_items(spark, sf):
+    """A vocabulary trained on the items of the benchmark."""
+    return wp.train_wordpiece(vo.word_counts(table(spark, sf, "benchmark")), N_ITEM_TOKENS)

@@ -1,4 +1,4 @@
-"""Word counts and WordPiece vocabularies."""
+"""Word counts and vocabularies."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from corpusflow.functions.tokens import terms, words
-from corpusflow.session import cut_lineage
 
 VOCAB_SIZE = 30_522
 # Ids 0 to 4 in this order.
@@ -16,12 +15,6 @@ SPECIAL_TOKENS = ("[PAD]", "[CLS]", "[SEP]", "[MASK]", "[UNK]")
 UNCASED_SPECIAL_IDS = {"[PAD]": 0, "[UNK]": 100, "[CLS]": 101, "[SEP]": 102, "[MASK]": 103}
 CONTINUATION = "##"
 
-# Wrap each piece of a word so that merging a pair is a plain string replacement.  Words hold no
-# whitespace, so these two never occur inside one.
-_OPEN, _CLOSE = "\t", "\n"
-# pairs looked at per round
-CANDIDATES = 512
-
 
 def word_counts(
     df: DataFrame, column: str = "text", normalise: bool = True, split: Callable[[str], Column] | None = None
@@ -78,132 +71,3 @@ def word_vocabulary(
     rest = candidates.select((place + max(special.values(), default=-1)).alias("token_id"), "token")
     first = counts.sparkSession.createDataFrame([(i, t) for t, i in special.items()], "token_id int, token string")
     return first.union(rest)
-
-
-def _wrap(piece: str) -> str:
-    return f"{_OPEN}{piece}{_CLOSE}"
-
-
-def _split_words(counts: DataFrame) -> DataFrame:
-    """``(pieces, n)``: each word as its characters, all but the first marked as continuations."""
-    characters = F.split("word", "")
-    marked = F.transform(
-        characters,
-        lambda c, i: F.concat(F.lit(_OPEN), F.when(i > 0, F.lit(CONTINUATION)).otherwise(""), c, F.lit(_CLOSE)),
-    )
-    return counts.where(F.col("word") != "").select(F.array_join(marked, "").alias("pieces"), "n")
-
-
-def _pieces(column: str = "pieces"):
-    inner = F.substr(F.col(column), F.lit(2), F.length(column) - 2)
-    return F.split(inner, _CLOSE + _OPEN)
-
-
-def pair_counts(split: DataFrame) -> DataFrame:
-    """How often each pair of neighbouring pieces occurs."""
-    parts = split.select(_pieces().alias("p"), "n").where(F.size("p") > 1)
-    neighbours = F.arrays_zip(
-        F.slice("p", F.lit(1), F.size("p") - 1).alias("a"), F.slice("p", F.lit(2), F.size("p") - 1).alias("b")
-    )
-    return (
-        parts.select(F.explode(neighbours).alias("pair"), "n")
-        .groupBy(F.col("pair.a").alias("a"), F.col("pair.b").alias("b"))
-        .agg(F.sum("n").alias("n"))
-    )
-
-
-def _merged(a: str, b: str) -> str:
-    return a + (b[len(CONTINUATION):] if b.startswith(CONTINUATION) else b)
-
-
-def choose_merges(ranked: Sequence, complete: bool, known: set[str], room: int, exact: bool = True) -> list:
-    """The pairs of one round, best first, out of ``ranked`` rows ``(a, b, n)``.
-
-    Merging a pair only lowers or creates counts of pairs that share a piece with it, and a new
-    pair is at most as frequent as the pair it came from.  So all pairs that rank strictly above
-    the first one sharing a piece with an earlier choice would be merged one after the other
-    anyway, and taking them together gives the result of single steps.  ``complete`` says that
-    ``ranked`` holds every pair.  With ``exact=False`` sharing pairs are skipped instead of ending
-    the round, down to half the best count: fewer rounds, a somewhat different order of merges.
-    """
-    chosen, used = [], set()
-    floor = None if complete else ranked[-1]["n"]
-    for row in ranked:
-        if not exact and 2 * row["n"] < ranked[0]["n"]:
-            break
-        piece = _merged(row["a"], row["b"])
-        if used & {row["a"], row["b"]}:
-            if exact:
-                floor = row["n"]
-                break
-            continue
-        clash = piece in known or any(piece == _merged(c["a"], c["b"]) for c in chosen)
-        if clash and chosen:
-            # the piece exists already, so its pairs gain counts: merge it in a round of its own
-            if exact:
-                floor = row["n"]
-                break
-            continue
-        chosen.append(row)
-        used |= {row["a"], row["b"]}
-        if clash or len(chosen) >= room:
-            break
-    if exact and floor is not None:
-        chosen = chosen[:1] + [row for row in chosen[1:] if row["n"] > floor]
-    return chosen
-
-
-def train_wordpiece(
-    counts: DataFrame,
-    vocab_size: int = VOCAB_SIZE,
-    special_tokens: Sequence[str] = SPECIAL_TOKENS,
-    min_pair_count: int = 1,
-    exact: bool = True,
-    cut_every: int = 8,
-) -> DataFrame:
-    """Train a vocabulary on a word-count table: ``(token_id, token)``.
-
-    Special tokens and every character in use are always in it; merges fill it up to ``vocab_size``.
-
-    Greedy pair merging.  Each round counts neighbouring pieces over the distinct words, takes as
-    many of the best pairs as can be merged without changing the greedy outcome, and rewrites the
-    words.  The word table stays distributed; per round only the ``CANDIDATES`` best pairs reach
-    the driver.  Lineage is cut with a reliable checkpoint every ``cut_every`` rounds.
-    """
-    spark = counts.sparkSession
-    # every round works through all pieces of all words: keep every core busy, however few the bytes
-    split = cut_lineage(_split_words(counts).repartition(spark.sparkContext.defaultParallelism))
-    characters = split.select(F.explode(F.array_distinct(_pieces())).alias("c")).distinct()
-    # one row per character in use
-    seen = {row["c"] for row in characters.collect()}
-    plain = {c[len(CONTINUATION):] if c.startswith(CONTINUATION) and len(c) > len(CONTINUATION) else c for c in seen}
-    tokens = list(special_tokens)
-    known = set(tokens)
-    for token in [*sorted(plain), *sorted(c for c in seen if c not in plain)]:
-        if token not in known:
-            tokens.append(token)
-            known.add(token)
-    rounds = 0
-    while len(tokens) < vocab_size:
-        best = (
-            pair_counts(split)
-            .where(F.col("n") >= min_pair_count)
-            .orderBy(F.desc("n"), "a", "b")
-            .limit(CANDIDATES)
-            .collect()
-        )
-        if not best:
-            break
-        merges = choose_merges(best, len(best) < CANDIDATES, known, vocab_size - len(tokens), exact)
-        pieces = F.col("pieces")
-        for row in merges:
-            piece = _merged(row["a"], row["b"])
-            pieces = F.replace(pieces, F.lit(_wrap(row["a"]) + _wrap(row["b"])), F.lit(_wrap(piece)))
-            if piece not in known:
-                tokens.append(piece)
-                known.add(piece)
-        split = split.withColumn("pieces", pieces)
-        rounds += 1
-        if rounds % cut_every == 0:
-            split = cut_lineage(split)
-    return vocabulary_from_tokens(spark, tokens)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusflow.functions.arrays import pad_mask
-from corpusflow.operators import encode as en, vocab as vo
+from corpusflow.operators import encode as en, vocab as vo, wordpiece as wp
 from corpusflow.sources import stores
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -54,17 +54,35 @@ def counts(spark):
     return vo.word_counts(spark.createDataFrame([(t,) for t in TEXTS], "text string"))
 
 
-@pytest.mark.parametrize("candidates", [3, 512])
-def test_training_equals_single_merges(spark, counts, monkeypatch, candidates):
-    monkeypatch.setattr(vo, "CANDIDATES", candidates)
+@pytest.mark.parametrize("max_words, max_pairs", [(1_000, 1_000), (4, 1_000), (1_000, 7), (0, 1), (10, 30)])
+def test_training_equals_single_merges(counts, max_words, max_pairs):
+    """All words in one round, and rounds over stretches of hot pairs."""
     by_word = {r["word"]: r["n"] for r in counts.collect()}
-    got = [r["token"] for r in vo.train_wordpiece(counts, 95, cut_every=3).orderBy("token_id").collect()]
+    got = [r["token"] for r in wp.train_wordpiece(counts, 95, max_words=max_words, max_pairs=max_pairs).orderBy("token_id").collect()]
     assert got == greedy(by_word, 95)
     assert got[:5] == list(vo.SPECIAL_TOKENS)
 
 
-def test_fast_training_reaches_the_size(counts):
-    tokens = [r["token"] for r in vo.train_wordpiece(counts, 100, exact=False).collect()]
+def test_training_on_many_words(spark, sf_dir):
+    """Pieces made twice, overlapping pairs, ties; every merge there is, and rounds that end at pieces made twice."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(12)
+    counts = vo.word_counts(docs).union(spark.createDataFrame([("aaaaaaa", 9), ("abababab", 8), ("a", 5), ("##", 3), ("#", 2)], "word string, n bigint"))
+    counts = counts.groupBy("word").agg(F.sum("n").alias("n")).where("crc32(word) % 3 = 0 OR word LIKE 'a%'").cache()
+    by_word = {r["word"]: r["n"] for r in counts.collect()}
+    expected = greedy(by_word, 450)
+    for options in ({}, {"max_words": 60}):
+        assert [r["token"] for r in wp.train_wordpiece(counts, 450, **options).orderBy("token_id").collect()] == expected
+    every = [r["token"] for r in wp.train_wordpiece(counts, 10**6).orderBy("token_id").collect()]
+    assert every[:450] == expected and set(by_word) <= set(every)
+
+
+def test_training_leaves_rare_pairs(counts):
+    tokens = [r["token"] for r in wp.train_wordpiece(counts, 10_000, min_pair_count=3).collect()]
+    assert "the" in tokens and "theatre" not in tokens
+
+
+def test_training_reaches_the_size(counts):
+    tokens = [r["token"] for r in wp.train_wordpiece(counts, 100).collect()]
     assert len(tokens) == len(set(tokens)) == 100
 
 
@@ -184,5 +202,5 @@ def test_both_paths_agree_on_odd_input(spark):
 
 def test_a_small_vocabulary_keeps_the_alphabet(spark):
     words = spark.createDataFrame([("abcdef", 3), ("xyz", 2)], "word string, n bigint")
-    tokens = {r["token"] for r in vo.train_wordpiece(words, vocab_size=9).collect()}
+    tokens = {r["token"] for r in wp.train_wordpiece(words, vocab_size=9).collect()}
     assert set("abcdefxyz") <= tokens
