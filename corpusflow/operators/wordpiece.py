@@ -22,6 +22,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from corpusflow.operators.vocab import CONTINUATION, SPECIAL_TOKENS, VOCAB_SIZE, vocabulary_from_tokens
@@ -52,31 +53,64 @@ def pair_counts(split: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
+def _codes(words: pa.Array, inside: int) -> np.ndarray:
+    """The characters of all words as numbers, those inside a word raised by ``inside``."""
+    codes = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), "<u4").astype(np.int64)
+    first = np.zeros(len(codes), bool)
+    first[np.cumsum(np.concatenate([[0], pc.utf8_length(words).to_numpy()[:-1]]))] = True
+    return np.where(first, codes, codes + inside)
+
+
+def _cut(ids: np.ndarray, lengths: np.ndarray) -> list[str]:
+    """One string per word, with the character of :meth:`Merger.char` for each id."""
+    codes = np.where(ids + 256 < 0xD800, ids + 256, ids + 256 + 0x800).astype("<u4")  # no surrogates
+    text = codes.tobytes().decode("utf-32-le")
+    ends = np.concatenate([[0], np.cumsum(lengths)]).tolist()
+    return [text[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
 class Merger:
     """Pair counts of a table of words, kept up to date merge by merge through an index from pairs to words.
 
     A word is a string with a character per piece, a pair a string of two.
     """
 
-    def __init__(self, pieces: pa.ListArray, counts: np.ndarray):
-        coded = pieces.flatten().dictionary_encode()
-        self.names: list[str] = coded.dictionary.to_pylist()
-        self.ids = {name: i for i, name in enumerate(self.names)}
-        codes = coded.indices.to_numpy().astype(np.uint32)
-        codes = np.where(codes + 256 < 0xD800, codes + 256, codes + 256 + 0x800).astype("<u4")  # no surrogates
-        text = codes.tobytes().decode("utf-32-le")
-        ends = np.concatenate([[0], np.cumsum(pieces.value_lengths().to_numpy())]).tolist()
-        self.words = [text[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        self.weights = counts.tolist()
+    def __init__(self, names: list[str], words: list[str], weights: Sequence[int]):
+        self.names, self.words, self.weights = names, words, weights
+        self.ids = {name: i for i, name in enumerate(names)}
         self.counts: dict[str, int] = {}
         self.index: dict[str, array] = {}
-        for i, word in enumerate(self.words):
-            weight = self.weights[i]
+        for i, word in enumerate(words):
+            weight = weights[i]
             for k in range(len(word) - 1):
                 self._add(word[k : k + 2], weight, i)
         self.heap = [self._entry(pair) for pair in self.counts]
         heapq.heapify(self.heap)
 
+    @classmethod
+    def of_words(cls, table: pa.Table) -> Merger:
+        """From whole words, ``(word, n)``; a character is one piece at the start of a word and another inside."""
+        inside = 0x110000  # beyond the last character
+        used = np.zeros(2 * inside, bool)
+        parts = [batch.column(0) for batch in table.to_batches(100_000)]  # few at a time as numbers
+        for words in parts:
+            used[_codes(words, inside)] = True
+        names = [chr(c) if c < inside else CONTINUATION + chr(c - inside) for c in np.flatnonzero(used).tolist()]
+        place = np.zeros(2 * inside, np.uint32)
+        place[used] = np.arange(len(names))
+        found: list[str] = []
+        for words in parts:
+            found += _cut(place[_codes(words, inside)], pc.utf8_length(words).to_numpy())
+        return cls(names, found, array("q", table.column(1).to_numpy()))
+
+    @classmethod
+    def of_pieces(cls, table: pa.Table) -> Merger:
+        """From stretches of words, ``(pieces, n)``."""
+        pieces = pa.concat_arrays(table.column(0).chunks) if table.num_rows else pa.array([], pa.list_(pa.string()))
+        coded = pieces.flatten().dictionary_encode()
+        found = _cut(coded.indices.to_numpy().astype(np.uint32), pieces.value_lengths().to_numpy())
+        return cls(coded.dictionary.to_pylist(), found, array("q", table.column(1).to_numpy()))
+
     @staticmethod
     def char(code: int) -> str:
         return chr(code + 256 if code + 256 < 0xD800 else code + 256 + 0x800)
@@ -230,13 +264,6 @@ def apply_merges(split: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
     return split.mapInArrow(run, "pieces array<string>, n bigint")
 
 
-def _held(table: DataFrame) -> Merger:
-    found = table.toArrow()
-    pieces = found.column("pieces").combine_chunks()
-    pieces = pieces.chunk(0) if isinstance(pieces, pa.ChunkedArray) else pieces
-    return Merger(pieces.cast(pa.list_(pa.string())), found.column("n").to_numpy())
-
-
 def train_wordpiece(
     counts: DataFrame,
     vocab_size: int = VOCAB_SIZE,
@@ -249,9 +276,10 @@ def train_wordpiece(
 
     Special tokens and every character in use are always in it; merges of pairs that occur ``min_pair_count`` times
     or more fill it up to ``vocab_size``.  ``max_words`` and ``max_pairs`` bound what a round holds, not the result.
+    ``counts`` is read several times and should be a stored table.
     """
     spark = counts.sparkSession
-    split = cut_lineage(split_words(counts).repartition(spark.sparkContext.defaultParallelism))
+    split = split_words(counts)
     # one row per character in use
     seen = {row["c"] for row in split.select(F.explode(F.array_distinct("pieces")).alias("c")).distinct().collect()}
     plain = {c[len(CONTINUATION):] if c.startswith(CONTINUATION) and len(c) > len(CONTINUATION) else c for c in seen}
@@ -261,10 +289,13 @@ def train_wordpiece(
         if token not in known:
             tokens.append(token)
             known.add(token)
-    complete = split.where(F.size("pieces") > 1).count() <= max_words
+    words = counts.where(F.length("word") > 1).select("word", "n")
+    complete = words.count() <= max_words
+    if not complete:  # every round works through all pieces of all words: keep every core busy, however few the bytes
+        split = cut_lineage(split.repartition(spark.sparkContext.defaultParallelism))
     while len(tokens) < vocab_size:
         if complete:
-            table, floor = split.where(F.size("pieces") > 1), 0
+            floor, merger = 0, Merger.of_words(words.toArrow())
         else:
             # all pairs of one count are hot or none; the first count always is
             best = pair_counts(split).orderBy(F.desc("n"), "a", "b").limit(max_pairs + 1).collect()
@@ -278,7 +309,8 @@ def train_wordpiece(
                 floor = hot[len(hot) // 4]["n"]
             if not best:
                 break
-        merges = merge_rounds_end(_held(table), tokens, known, vocab_size, max(floor, min_pair_count - 1), complete)
+            merger = Merger.of_pieces(table.toArrow())
+        merges = merge_rounds_end(merger, tokens, known, vocab_size, max(floor, min_pair_count - 1), complete)
         if not merges or complete:
             break
         split = cut_lineage(apply_merges(split, merges))

@@ -54,7 +54,7 @@ def counts(spark):
     return vo.word_counts(spark.createDataFrame([(t,) for t in TEXTS], "text string"))
 
 
-@pytest.mark.parametrize("max_words, max_pairs", [(1_000, 1_000), (4, 1_000), (1_000, 7), (0, 1), (10, 30)])
+@pytest.mark.parametrize("max_words, max_pairs", [(1_000, 1_000), (4, 1_000), (10, 30)])
 def test_training_equals_single_merges(counts, max_words, max_pairs):
     """All words in one round, and rounds over stretches of hot pairs."""
     by_word = {r["word"]: r["n"] for r in counts.collect()}
