@@ -47,7 +47,7 @@ def dense_index(spark, sf):
 )
 def upsample(spark, sf):
     rows = _slim(spark, sf)
-    n = sa.class_sizes(rows, "source")["true"]
+    n = sa.class_size(rows, "source", "true")
     return sa.sample_with_replacement(rows.where("source = 'neural'"), n).select("doc_id", "copy")
 
 
@@ -58,7 +58,7 @@ def upsample(spark, sf):
 )
 def downsample(spark, sf):
     rows = _slim(spark, sf)
-    n = sa.class_sizes(rows, "source")["neural"]
+    n = sa.class_size(rows, "source", "neural")
     return sa.sample_exact(rows, {"true": n, "fake": n}, "source").select("doc_id", "source")
 
 

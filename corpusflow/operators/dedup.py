@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpusflow.functions.text import content_digest
 from corpusflow.operators.corpus import concat_sources
+from corpusflow.operators.lookup import lookup_join
 from corpusflow.session import materialise
 
 
@@ -16,17 +17,15 @@ def repeated_ids(
 ) -> DataFrame:
     """The ids of all rows whose text occurs at a lower id.
 
-    The digests are written once, ``(class, digest, id)``; only texts that occur more than once are
-    looked at again.
+    The digests are written once, ``(class, digest, id)``, with keys that are never NULL; only texts that occur more
+    than once are looked at again.  Few such texts are broadcast, and the digests stay where they are.
     """
-    narrow = materialise(df.select(*within, content_digest(text).alias("_digest"), id_col), "digests")
-    firsts = narrow.groupBy(*within, "_digest").agg(F.min(id_col).alias("_first"), F.count(F.lit(1)).alias("_n"))
-    firsts = firsts.where("_n > 1").withColumnsRenamed({name: f"_{i}" for i, name in enumerate(within)})
-    same = F.col("_digest").eqNullSafe(F.col("_text"))
-    for i, name in enumerate(within):
-        same = same & F.col(name).eqNullSafe(F.col(f"_{i}"))
-    firsts = firsts.withColumnRenamed("_digest", "_text")
-    return narrow.join(firsts, same).where(F.col(id_col) > F.col("_first")).select(id_col)
+    keys = [F.coalesce(F.concat(F.lit("="), F.col(name).cast("string")), F.lit("")).alias(f"_{i}") for i, name in enumerate(within)]
+    digest = F.coalesce(content_digest(text), F.lit(bytearray()))
+    narrow = materialise(df.select(*keys, digest.alias("_digest"), id_col), "digests")
+    on = [*(f"_{i}" for i in range(len(within))), "_digest"]
+    firsts = narrow.groupBy(*on).agg(F.min(id_col).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    return lookup_join(narrow, firsts, on, "inner").where(F.col(id_col) > F.col("_first")).select(id_col)
 
 
 def drop_duplicate_texts(

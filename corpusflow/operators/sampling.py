@@ -4,20 +4,24 @@ Every choice depends only on ``md5(seed:doc_id)``, never on partitioning, so a r
 cluster gives the same rows.  Quotas are met exactly without ranking the corpus: the hash value at
 the wanted rank of each class is looked up first (a histogram over hash prefixes finds the one
 prefix the rank falls in, only that sliver is ordered), and the corpus itself is then filtered by
-comparing hashes.  Text rows are never shuffled.
+comparing hashes.  Text rows are never shuffled as long as the table of classes is small enough to broadcast.
+
+Classes, their sizes, quotas and cut points are tables like any other: there may be as many classes as rows.
+Rows without a class are a class of their own.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusflow.operators.corpus import concat_sources, keep_class
+from corpusflow.operators.lookup import BROADCAST_ROWS, counted_join
+from corpusflow.session import materialise
 
 SEED = 42
-MAX_CLASSES = 10_000
 # rows one hash prefix should hold, and the longest prefix (16**5 cells at most)
 ROWS_PER_PREFIX = 50_000
 MAX_PREFIX_DIGITS = 5
@@ -48,84 +52,86 @@ def shuffled(df: DataFrame, seed: int = SEED, id_col: str = "doc_id") -> DataFra
     return df.orderBy(key, F.col(id_col))
 
 
-def class_sizes(df: DataFrame, column: str) -> dict:
-    """Rows per class, for the driver.  Refuses a column that is not a class label."""
-    rows = df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"{column} has more than {MAX_CLASSES} classes")
-    return {row[column]: row["n"] for row in rows}
+def class_key(column: str) -> Column:
+    """The class as a string that is never NULL."""
+    return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit(""))
 
 
-def hash_at_rank(
-    df: DataFrame,
-    column: str,
-    ranks: Mapping[object, Sequence[int]],
-    largest: int,
-    seed: int = SEED,
-    id_col: str = "doc_id",
-) -> dict:
-    """For each class the hash keys at the given 1-based ranks; rank 0 gives ``''``.
+def class_counts(df: DataFrame, column: str) -> DataFrame:
+    """``(_class, n)``: rows per class."""
+    return materialise(df.groupBy(class_key(column).alias("_class")).agg(F.count(F.lit(1)).alias("n")), "classes")
+
+
+def class_size(df: DataFrame, column: str, label) -> int:
+    return keep_class(df, label, column).count()
 
-    ``largest`` is the row count of the largest class.  Two narrow passes over (class, id): one counts hash prefixes, one orders only the rows whose
-    prefix holds a wanted rank.  The result has one entry per class and rank.
+
+def global_rank(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """``rows`` with ``_rank`` 0, 1, ... in a total order, of any number of rows.
+
+    Rows are sorted in ranges; only the sizes of the ranges meet in one task.
     """
-    wanted = [(cls, i, rank) for cls, all_ranks in ranks.items() for i, rank in enumerate(all_ranks) if rank > 0]
-    found = {cls: [""] * len(all_ranks) for cls, all_ranks in ranks.items()}
-    if not wanted:
-        return found
-    spark = df.sparkSession
-    class_type = df.schema[column].dataType.simpleString()
-    asked = spark.createDataFrame(wanted, f"_class {class_type}, _cut int, _rank bigint")
-    keyed = df.select(F.col(column).alias("_class"), hash_key(seed, id_col).alias("_h"))
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    # the upper bits number the range, the lower 33 the row in it
+    placed = materialise(placed.withColumns({"_range": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND((1 << 33) - 1)}), "ranges")
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_size")).withColumn("_all", F.lit(1))
+    before = F.sum("_size").over(Window.partitionBy("_all").orderBy("_range")) - F.col("_size")
+    starts = F.broadcast(sizes.select("_range", before.alias("_start")))
+    return placed.join(starts, "_range").withColumn("_rank", F.col("_start") + F.col("_at")).drop("_range", "_at", "_start")
+
+
+def hash_cuts(df: DataFrame, column: str, asked: DataFrame, largest: int, seed: int = SEED, id_col: str = "doc_id") -> DataFrame:
+    """``(_class, _cut, _h)``: the hash keys at the 1-based ranks that ``asked`` ``(_class, _cut, _rank)`` names.
+
+    ``largest`` is the row count of the largest class.  Two narrow passes over (class, id): one counts hash prefixes,
+    one orders only the rows whose prefix holds a wanted rank.
+    """
+    keyed = df.select(class_key(column).alias("_class"), hash_key(seed, id_col).alias("_h"))
     keyed = keyed.withColumn("_prefix", F.substring("_h", 1, prefix_digits(largest)))
     # at most 16**MAX_PREFIX_DIGITS rows per class from here on
     cells = keyed.groupBy("_class", "_prefix").agg(F.count(F.lit(1)).alias("_n"))
     upto = Window.partitionBy("_class").orderBy("_prefix").rowsBetween(Window.unboundedPreceding, 0)
     cells = cells.withColumn("_end", F.sum("_n").over(upto))
-    hit = (
-        cells.join(F.broadcast(asked), cells["_class"].eqNullSafe(asked["_class"]))
-        .where((F.col("_rank") <= F.col("_end")) & (F.col("_rank") > F.col("_end") - F.col("_n")))
-        .select(
-            asked["_class"].alias("_c"),
-            "_cut",
-            F.col("_prefix").alias("_p"),
-            (F.col("_rank") - (F.col("_end") - F.col("_n"))).alias("_place"),
-        )
-    )
-    # `hit` has one row per (class, cut), bounded by MAX_CLASSES times the number of cuts
-    within = Window.partitionBy("_c", "_cut").orderBy("_h")
-    at_rank = (
-        keyed.join(F.broadcast(hit), keyed["_class"].eqNullSafe(F.col("_c")) & (F.col("_prefix") == F.col("_p")))
-        .withColumn("_row", F.row_number().over(within))
-        .where(F.col("_row") == F.col("_place"))
-        .select("_c", "_cut", "_h")
-    )
-    for row in at_rank.collect():
-        found[row["_c"]][row["_cut"]] = row["_h"]
-    return found
+    inside = (F.col("_rank") <= F.col("_end")) & (F.col("_rank") > F.col("_end") - F.col("_n"))
+    place = F.col("_rank") - (F.col("_end") - F.col("_n"))
+    hit = cells.join(asked, "_class").where(inside).select("_class", "_prefix", "_cut", place.alias("_place"))
+    within = Window.partitionBy("_class", "_cut").orderBy("_h")
+    # broadcast only while Spark's own size limit holds; a (class, prefix) is a bounded part of a class
+    rows = keyed.join(hit, ["_class", "_prefix"]).withColumn("_row", F.row_number().over(within))
+    return rows.where(F.col("_row") == F.col("_place")).select("_class", "_cut", "_h")
 
 
-def _join_cuts(df: DataFrame, column: str, cuts: dict, names: Sequence[str]) -> DataFrame:
-    class_type = df.schema[column].dataType.simpleString()
-    fields = ", ".join([f"_class {class_type}"] + [f"{name} string" for name in names])
-    table = df.sparkSession.createDataFrame([(cls, *values) for cls, values in cuts.items()], fields)
-    # one row per class, at most MAX_CLASSES
-    return df.join(F.broadcast(table), F.col(column).eqNullSafe(F.col("_class"))).drop("_class")
+def _join_cuts(df: DataFrame, column: str, cuts: DataFrame, classes: int, total: int) -> DataFrame:
+    """``df`` beside the cut points ``(_class, n, ...)`` of its classes, so many in all."""
+    keyed = df.withColumn("_class", class_key(column))
+    if classes <= BROADCAST_ROWS:
+        return keyed.join(F.broadcast(cuts.drop("n")), "_class").drop("_class")
+    return counted_join(keyed, cuts, "_class", "n", total).drop("_class")
 
 
 def sample_exact(
-    df: DataFrame, sizes: Mapping[object, int], column: str, seed: int = SEED, id_col: str = "doc_id"
+    df: DataFrame, sizes: Mapping[object, int] | DataFrame, column: str, seed: int = SEED, id_col: str = "doc_id"
 ) -> DataFrame:
-    """Exactly ``sizes[class]`` rows of each listed class, without replacement."""
-    have = class_sizes(df, column)
-    for cls, size in sizes.items():
-        if size > have.get(cls, 0):
-            raise ValueError(f"class {cls!r} has {have.get(cls, 0)} rows, cannot draw {size} without replacement")
-    listed = df.where(F.col(column).isin(list(sizes)))
-    cuts = hash_at_rank(listed, column, {cls: [size] for cls, size in sizes.items()}, max(have.values(), default=0), seed, id_col)
-    return (
-        _join_cuts(listed, column, cuts, ["_cut"]).where(hash_key(seed, id_col) <= F.col("_cut")).drop("_cut")
-    )
+    """Exactly so many rows of each listed class, without replacement.
+
+    ``sizes`` maps classes to sizes, or is a table ``(_class, size)`` with the key of :func:`class_key`.
+    """
+    if isinstance(sizes, Mapping):
+        kind = df.schema[column].dataType.simpleString()
+        listed = df.sparkSession.createDataFrame(list(sizes.items()), f"label {kind}, size bigint")
+        sizes = listed.select(class_key("label").alias("_class"), "size")
+    have = class_counts(df, column)
+    asked = sizes.join(have, "_class", "left").select("_class", "size", F.coalesce("n", F.lit(0)).alias("n"))
+    short = F.when(F.col("size") > F.col("n"), F.struct("_class", "n", "size"))
+    found = asked.agg(F.min(short).alias("short"), F.max("n").alias("largest"), F.sum("n").alias("total"), F.count("*").alias("classes")).first()
+    if found["short"]:
+        cls, n, size = found["short"]
+        raise ValueError(f"class {cls[1:]!r} has {n} rows, cannot draw {size} without replacement")
+    ranks = asked.where("size > 0").select("_class", F.lit(0).alias("_cut"), F.col("size").alias("_rank"))
+    cuts = hash_cuts(df, column, ranks, found["largest"] or 0, seed, id_col)
+    cuts = materialise(cuts.join(have, "_class").select("_class", "n", F.col("_h").alias("_to")), "cuts")
+    drawn = _join_cuts(df, column, cuts, found["classes"], found["total"] or 0)
+    return drawn.where(hash_key(seed, id_col) <= F.col("_to")).drop("_to")
 
 
 def dense_index(df: DataFrame, rows: int, seed: int = SEED, id_col: str = "doc_id") -> DataFrame:
@@ -187,29 +193,38 @@ def balance(
     """
     if mode == "none":
         return df
-    sizes = class_sizes(df, column)
-    if None in sizes:
-        raise ValueError(f"{sizes[None]} rows have no {column}")
+    if mode not in ("up", "down"):
+        raise ValueError("mode must be 'none', 'up' or 'down'")
+    missing = df.where(F.col(column).isNull()).count()
+    if missing:
+        raise ValueError(f"{missing} rows have no {column}")
     if mode == "up":
-        drawn = sample_with_replacement(keep_class(df, small, column), sizes.get(target, 0), seed, id_col)
+        drawn = sample_with_replacement(keep_class(df, small, column), class_size(df, column, target), seed, id_col)
         rest = df.where(~F.col(column).eqNullSafe(F.lit(small))).withColumn("copy", F.lit(1))
         return concat_sources([rest, drawn])
-    if mode == "down":
-        others = {cls: sizes.get(small, 0) for cls in sizes if cls != small}
-        return concat_sources([sample_exact(df, others, column, seed, id_col), keep_class(df, small, column)])
-    raise ValueError("mode must be 'none', 'up' or 'down'")
+    others = df.where(F.col(column) != F.lit(small))
+    sizes = class_counts(others, column).select("_class", F.lit(class_size(df, column, small)).cast("bigint").alias("size"))
+    return concat_sources([sample_exact(others, sizes, column, seed, id_col), keep_class(df, small, column)])
 
 
-def proportional_quotas(sizes: Mapping[object, int], total: int) -> dict:
-    """Share ``total`` over the classes by size; leftovers go to the largest remainders, ties by name."""
-    everything = sum(sizes.values())
-    if not everything:
-        return dict.fromkeys(sizes, 0)
-    quotas = {cls: total * n // everything for cls, n in sizes.items()}
-    by_remainder = sorted(sizes, key=lambda cls: (-(total * sizes[cls] % everything), str(cls)))
-    for cls in by_remainder[: total - sum(quotas.values())]:
-        quotas[cls] += 1
-    return quotas
+def proportional_quotas(counts: DataFrame, whole: int, total: int, classes: int) -> DataFrame:
+    """``(_class, n, quota)``: ``total`` shared over ``(_class, n)``, ``whole`` rows in all, by size.
+
+    What is left over goes to the largest remainders, one each, ties by class.
+    """
+    if not whole or not total:
+        return counts.withColumn("quota", F.lit(0).cast("bigint"))
+    exact = F.col("n").cast("decimal(19,0)") * F.lit(total).cast("decimal(19,0)")
+    rest = exact % F.lit(whole).cast("decimal(19,0)")
+    shared = counts.select("_class", "n", F.call_function("div", exact, F.lit(whole).cast("decimal(19,0)")).alias("quota"), rest.alias("_over"))
+    if classes <= BROADCAST_ROWS:
+        every = Window.partitionBy(F.lit(1))
+        place = F.row_number().over(every.orderBy(F.desc("_over"), "_class")) - 1
+        ranked = shared.withColumns({"_rank": place, "_left": F.lit(total) - F.sum("quota").over(every)})
+    else:
+        left = total - shared.agg(F.sum("quota")).first()[0]
+        ranked = global_rank(shared, F.desc("_over"), F.col("_class")).withColumn("_left", F.lit(left))
+    return ranked.select("_class", "n", (F.col("quota") + (F.col("_rank") < F.col("_left")).cast("bigint")).alias("quota"))
 
 
 def stratified_split(
@@ -226,14 +241,21 @@ def stratified_split(
     ``test`` is the share of all rows (rounded up); ``valid_of_rest`` the share of what remains.
     0.2 with 0.125 gives 70/10/20.
     """
-    sizes = class_sizes(df, column)
-    n_test = math.ceil(round(test * sum(sizes.values()), 9))
-    test_quota = proportional_quotas(sizes, n_test)
-    rest = {cls: n - test_quota[cls] for cls, n in sizes.items()}
-    n_valid = math.ceil(round(valid_of_rest * sum(rest.values()), 9))
-    valid_quota = proportional_quotas(rest, n_valid)
-    ranks = {cls: [test_quota[cls], test_quota[cls] + valid_quota[cls]] for cls in sizes}
-    cuts = hash_at_rank(df, column, ranks, max(sizes.values(), default=0), seed, id_col)
+    sizes = class_counts(df, column)
+    total, largest, classes = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0)), F.count("*")).first()
+    n_test = math.ceil(round(test * total, 9))
+    n_valid = math.ceil(round(valid_of_rest * (total - n_test), 9))
+    tests = proportional_quotas(sizes, total, n_test, classes).withColumnRenamed("quota", "_t")
+    rest = tests.select("_class", (F.col("n") - F.col("_t")).alias("n"))
+    valids = proportional_quotas(rest, total - n_test, n_valid, classes).select("_class", F.col("quota").alias("_v"))
+    quotas = materialise(tests.join(valids, "_class") if n_valid else tests.withColumn("_v", F.lit(0).cast("bigint")), "quotas")
+    upto = [F.col("_t"), F.col("_t") + F.col("_v")]
+    both = F.array(*[F.struct(F.lit(i).alias("_cut"), rank.alias("_rank")) for i, rank in enumerate(upto)])
+    asked = quotas.select("_class", F.inline(both)).where("_rank > 0")
+    found = hash_cuts(df, column, asked, largest, seed, id_col).groupBy("_class")
+    found = found.agg(*[F.max(F.when(F.col("_cut") == i, F.col("_h"))).alias(c) for i, c in enumerate(("_test", "_valid"))])
+    # a class without rows in a part has no cut point: nothing is at or below the empty string
+    cuts = quotas.select("_class", "n").join(found, "_class", "left").fillna("", ["_test", "_valid"])
     key = hash_key(seed, id_col)
     name = F.when(key <= F.col("_test"), "test").when(key <= F.col("_valid"), "valid").otherwise("train")
-    return _join_cuts(df, column, cuts, ["_test", "_valid"]).withColumn(out, name).drop("_test", "_valid")
+    return _join_cuts(df, column, materialise(cuts, "cuts"), classes, total).withColumn(out, name).drop("_test", "_valid")

@@ -51,9 +51,9 @@ def test_rank_lookup_with_many_prefixes(spark, monkeypatch):
     monkeypatch.setattr(sa, "ROWS_PER_PREFIX", 2)
     rows = table(spark, ["a"] * 700 + ["b"] * 100)
     order = {c: sorted((key(i) for i in r)) for c, r in (("a", range(700)), ("b", range(700, 800)))}
-    found = sa.hash_at_rank(rows, "source", {"a": [1, 350, 700, 0], "b": [100]}, 700)
-    assert found["a"] == [order["a"][0], order["a"][349], order["a"][699], ""]
-    assert found["b"] == [order["b"][99]]
+    asked = spark.createDataFrame([("=a", 0, 1), ("=a", 1, 350), ("=a", 2, 700), ("=b", 0, 100)], "_class string, _cut int, _rank bigint")
+    found = {(r["_class"], r["_cut"]): r["_h"] for r in sa.hash_cuts(rows, "source", asked, 700).collect()}
+    assert found == {("=a", 0): order["a"][0], ("=a", 1): order["a"][349], ("=a", 2): order["a"][699], ("=b", 0): order["b"][99]}
     index = {r["doc_id"]: r["index"] for r in sa.dense_index(rows, 800).collect()}
     assert [i for i, _ in sorted(index.items(), key=lambda kv: kv[1])] == sorted(range(800), key=key)
 
@@ -66,6 +66,55 @@ def test_one_hot_class(spark):
     assert split.where("split = 'test' and source = 'hot'").count() == 20
 
 
+def plain_quotas(sizes, total):
+    whole = sum(sizes.values())
+    quotas = {c: total * n // whole for c, n in sizes.items()}
+    for c in sorted(sizes, key=lambda c: (-(total * sizes[c] % whole), c))[: total - sum(quotas.values())]:
+        quotas[c] += 1
+    return quotas
+
+
+@pytest.mark.parametrize("broadcast_rows", [1_000_000, 50])
+def test_a_hundred_thousand_classes(spark, monkeypatch, broadcast_rows):
+    """Exact quotas of every class; one class holds a third of all rows, some rows have none."""
+    monkeypatch.setattr(sa, "BROADCAST_ROWS", broadcast_rows)
+    label = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 1000 == 1, None).otherwise(F.concat(F.lit("c"), (F.col("id") % 100_003).cast("string")))
+    rows = spark.range(400_000).select(F.col("id").alias("doc_id"), label.alias("source"), F.lit("t").alias("text"))
+    split = sa.stratified_split(rows, valid_of_rest=0.125)
+    found = {(r["source"], r["split"]): r["n"] for r in split.groupBy("source", "split").agg(F.count("*").alias("n")).collect()}
+    sizes = Counter()
+    for (c, _), n in found.items():
+        sizes["" if c is None else f"={c}"] += n
+    assert len(sizes) > 100_000 and sum(sizes.values()) == 400_000
+    tests = plain_quotas(sizes, 80_000)
+    valids = plain_quotas({c: n - tests[c] for c, n in sizes.items()}, 40_000)
+    for c, n in sizes.items():
+        name = c[1:] if c else None
+        parts = [found.get((name, part), 0) for part in ("test", "valid", "train")]
+        assert parts == [tests[c], valids[c], n - tests[c] - valids[c]]
+
+
+def test_sample_of_many_classes(spark):
+    rows = spark.range(60_000).select(F.col("id").alias("doc_id"), (F.col("id") % 15_000).alias("source"), F.lit("t").alias("text"))
+    sizes = sa.class_counts(rows, "source").select("_class", F.lit(2).cast("bigint").alias("size"))
+    drawn = sa.sample_exact(rows, sizes, "source")
+    assert drawn.count() == 30_000 and drawn.groupBy("source").count().where("count <> 2").count() == 0
+    down = sa.balance(rows.withColumn("source", F.when(F.col("doc_id") < 3, "neural").otherwise((F.col("doc_id") % 15_000).cast("string"))), "down")
+    assert down.count() == 3 * 15_001
+
+
+def test_ranks_over_ranges(spark):
+    rows = spark.range(5_000).select((F.col("id") % 700).alias("a"), "id").repartition(7)
+    found = sa.global_rank(rows, F.desc("a"), F.col("id")).collect()
+    expected = sorted(((i % 700, i) for i in range(5_000)), key=lambda r: (-r[0], r[1]))
+    assert {(r["a"], r["id"]): r["_rank"] for r in found} == {r: k for k, r in enumerate(expected)}
+
+
+def test_splits_of_nothing(spark):
+    rows = table(spark, ["a"]).limit(0)
+    assert sa.stratified_split(rows).collect() == [] and sa.sample_exact(rows, {}, "source").collect() == []
+
+
 def test_sample_without_replacement(spark):
     rows = table(spark, ["a"] * 30 + ["b"] * 10)
     drawn = sa.sample_exact(rows, {"a": 10, "b": 10}, "source").collect()
