@@ -155,6 +155,15 @@ def csv_round_trip(spark, sf):
     return back.select("doc_id", F.md5("text").alias("digest"), "lang", "source")
 
 
+@query("csv_parallel", "SELECT doc_id, md5(text) AS digest, lang, source FROM documents")
+def csv_parallel(spark, sf):
+    """Documents written as few large CSV files and read again block by block."""
+    path = scratch_path(spark, "corpus_csv")
+    writers.write_corpus(table(spark, sf, "documents").select("doc_id", "text", "lang", "source"), path, "csv")
+    back = readers.read_csv_parallel(spark, path, "doc_id bigint, text string, lang string, source string")
+    return back.select("doc_id", F.md5("text").alias("digest"), "lang", "source")
+
+
 @query("csv_ingest", "SELECT md5(text) AS digest, count(*) AS n_rows, count(*) AS n_ids FROM documents GROUP BY md5(text)")
 def csv_ingest(spark, sf):
     path = scratch_path(spark, "ingest")

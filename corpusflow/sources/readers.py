@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from corpusflow.sources.csv_blocks import read_csv_blocks
+
 TEXT_SCHEMA = StructType([StructField("text", StringType())])
 
 # Quotes are doubled inside quoted fields; fields may span lines and keep their outer blanks.
@@ -20,11 +22,16 @@ CSV_OPTIONS = {
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """A CSV file with header.  A quoted field with line breaks keeps the file in one split, so read
-    CSV once and continue from Parquet: see :func:`ingest_csv`."""
+    """CSV files with header, a task per file: quoted fields with line breaks keep a file in one split.
+    Large files are for :func:`read_csv_parallel`, or for :func:`ingest_csv`, once, and Parquet from there on."""
     return spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)
 
 
+def read_csv_parallel(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """The rows of :func:`read_csv`, from as many tasks as the files have blocks."""
+    return read_csv_blocks(spark, path, schema, CSV_OPTIONS).drop("_file", "_block", "_row")
+
+
 def read_optional_csv(spark: SparkSession, path: str | None, schema: StructType | str = TEXT_SCHEMA) -> DataFrame:
     """No path gives an empty table of the same schema."""
     if path:
@@ -46,11 +53,9 @@ def ingest_csv(
     if not 0 <= source_no < 32:
         raise ValueError("source_no must be 0 to 31")
     number = F.lit(source_no << 58).cast("bigint") + F.monotonically_increasing_id()
-    rows = read_csv(spark, path, schema)
-    columns = rows.columns
-    # Spark packs files into tasks by size: neither tasks nor their rows come in the order of paths
-    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
-    placed = rows.select(*columns, *place, F.monotonically_increasing_id().alias("_row")).orderBy("_file", "_block", "_row")
+    # Spark packs blocks into tasks by size: neither tasks nor their rows come in the order of paths
+    placed = read_csv_blocks(spark, path, schema, CSV_OPTIONS).orderBy("_file", "_block", "_row")
+    columns = [c for c in placed.columns if c not in ("_file", "_block", "_row")]
     rows = placed.select(*columns, number.alias("doc_id"))
     rows.write.mode("errorifexists").parquet(table_path)
     return spark.read.parquet(table_path)
