@@ -169,13 +169,15 @@ pairs AS (
 slot_pairs AS (
   SELECT DISTINCT doc_id, item_id, asked, found
   FROM (SELECT doc_id, item_id, unnest(asked) AS asked, unnest(found) AS found FROM hits) WHERE substr(asked, 1, 1) = '<'),
+slot_values AS (
+  SELECT doc_id, item_id, asked, count(*) AS n, count(*) FILTER (WHERE asked <> found) AS changed FROM slot_pairs GROUP BY doc_id, item_id, asked),
 slots AS (
-  SELECT doc_id, item_id, count(DISTINCT asked) AS slots, count(*) AS n, count(*) FILTER (WHERE asked <> found) AS changed
-  FROM slot_pairs GROUP BY doc_id, item_id),
+  SELECT doc_id, item_id, count(*) AS slots, sum(n) AS n, count(*) FILTER (WHERE n = 1) AS steady, sum(changed) AS changed
+  FROM slot_values GROUP BY doc_id, item_id),
 found AS (
   SELECT p.doc_id, p.item_id, p.windows, p.coverage, CAST(coalesce(s.slots, 0) AS INTEGER) AS slots,
          CAST(coalesce(s.changed, 0) AS INTEGER) AS changed_slots
-  FROM pairs p LEFT JOIN slots s USING (doc_id, item_id) WHERE coalesce(s.slots, 0) >= 0.8 * coalesce(s.n, 0))"""
+  FROM pairs p LEFT JOIN slots s USING (doc_id, item_id) WHERE coalesce(s.steady, 0) >= 0.8 * coalesce(s.n, 0))"""
 
 
 @query("op3_benchmark_templates", f"WITH {TEMPLATES_CTE} SELECT * FROM found".replace("DOCS_TABLE", "documents"))

@@ -5,7 +5,7 @@ of them one slot), numbers a number slot, a unit after a number a unit slot; the
 without punctuation.  Windows of ``width`` template tokens of all benchmark items are hash-joined with those
 of all documents.  A document that holds at least ``min_coverage`` of an item's distinct windows is then
 compared slot by slot over the matched windows: the item's slot values must map to the document's values
-consistently, one value to one value.  So a question with new numbers and names is caught like a copy.
+consistently, one value to one value, but for a share of 1 - ``min_consistency`` of the values.  So a question with new numbers and names is caught like a copy.
 Where all matched windows together are not consistent (several variants in one document, an item that repeats
 a template), each occurrence is asked alone: the windows of one alignment (position in the document minus
 position in the item), and those with the gaps filled from the nearest alignments.
@@ -210,10 +210,17 @@ def _slots_of(hit: Column) -> Column:
 
 
 def _compared(rows: DataFrame, min_consistency: float) -> DataFrame:
-    """``slots``, ``changed_slots`` and ``steady`` from the distinct ``slot_pairs``."""
-    slots = F.size(F.array_distinct(F.transform("slot_pairs", lambda v: v["asked"])))
+    """``slots``, ``changed_slots`` and ``steady`` from the distinct ``slot_pairs``.
+
+    A slot with two values in the document is inconsistent, and all its values count against the pair.
+    """
+    asked = F.transform("slot_pairs", lambda v: v["asked"])
+    slots = F.size(F.array_distinct(asked))
     changed = F.size(F.filter("slot_pairs", lambda v: v["asked"] != v["found"]))
-    steady = slots >= min_consistency * F.size("slot_pairs")
+    # distinct pairs in the order of what was asked: a slot with one value has other neighbours
+    order = F.array_sort(asked)
+    single = F.size(F.filter(order, lambda a, i: ~a.eqNullSafe(F.get(order, i - 1)) & ~a.eqNullSafe(F.get(order, i + 1))))
+    steady = single >= min_consistency * F.size("slot_pairs")
     return rows.withColumns({"slots": slots, "changed_slots": changed, "steady": steady})
 
 
