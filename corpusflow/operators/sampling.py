@@ -248,7 +248,9 @@ def stratified_split(
     tests = proportional_quotas(sizes, total, n_test, classes).withColumnRenamed("quota", "_t")
     rest = tests.select("_class", (F.col("n") - F.col("_t")).alias("n"))
     valids = proportional_quotas(rest, total - n_test, n_valid, classes).select("_class", F.col("quota").alias("_v"))
-    quotas = materialise(tests.join(valids, "_class") if n_valid else tests.withColumn("_v", F.lit(0).cast("bigint")), "quotas")
+    quotas = tests.join(valids, "_class") if n_valid else tests.withColumn("_v", F.lit(0).cast("bigint"))
+    if classes > BROADCAST_ROWS:
+        quotas = materialise(quotas, "quotas")
     upto = [F.col("_t"), F.col("_t") + F.col("_v")]
     both = F.array(*[F.struct(F.lit(i).alias("_cut"), rank.alias("_rank")) for i, rank in enumerate(upto)])
     asked = quotas.select("_class", F.inline(both)).where("_rank > 0")
