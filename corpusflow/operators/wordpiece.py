@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from corpusflow.operators.vocab import CONTINUATION, SPECIAL_TOKENS, VOCAB_SIZE, vocabulary_from_tokens
 from corpusflow.session import cut_lineage
 
-#: Distinct words, or stretches of words, that one round works on: some 300 bytes each.
+#: Distinct words, or stretches of words, that one round works on: some 450 bytes of the driver's memory each.
 MAX_WORDS = 3_000_000
 #: Pairs that may be hot in one round.
 MAX_PAIRS = 200_000
