@@ -9,7 +9,7 @@ of some tree with probability ``recall``.  All pairs below the nodes are then co
 * nodes with the same texts are compared once;
 * a large node is cut by hash into blocks, and every pair of blocks is one bounded unit of work;
 * a pair that shares nodes of several trees is compared in the first of them alone;
-* a unit returns how many links each text has and a chain through each of its groups, never pairs.
+* a unit returns how many links each text has and the edges that connect what is not connected yet, never pairs.
 
 Results: one row per document with its class (documents connected by links) and its number of links.
 
@@ -123,8 +123,27 @@ def common_counts(runs: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     return common
 
 
+def _parts(linked: np.ndarray) -> np.ndarray:
+    """For each text the first text of its connected part."""
+    part = np.full(len(linked), -1)
+    for root in range(len(linked)):
+        if part[root] >= 0:
+            continue
+        part[root], reached = root, [root]
+        for a in reached:  # grows while it is read
+            new = np.flatnonzero(linked[a] & (part < 0))
+            part[new] = root
+            reached += new.tolist()
+    return part
+
+
 def linked_within(digests: list[bytes], copies: list[int], labels: np.ndarray, runs: list[np.ndarray], blocks: np.ndarray, tree: int, cross: bool, threshold: float):
-    """(links of each text, chains through its groups) among the pairs whose first common node is in ``tree``."""
+    """(links of each text, edges between its parts) among the pairs whose first common node is in ``tree``.
+
+    Links asked for elsewhere, in an earlier tree or inside one block, make the parts that are connected without
+    this unit; the edges only connect those parts.  A pair of blocks of one group of near copies gives one edge, and
+    a group that an earlier tree has connected gives none.
+    """
     n = len(digests)
     asked = ~np.eye(n, dtype=bool)
     if cross:
@@ -135,18 +154,16 @@ def linked_within(digests: list[bytes], copies: list[int], labels: np.ndarray, r
         return [0] * n, []
     size = np.asarray([len(r) for r in runs], float)
     common = common_counts(runs)
-    linked = asked & (common / (size[:, None] + size[None, :] - common) >= threshold)
-    edges, free = [], np.ones(n, bool)
-    for root in range(n):
-        if not free[root]:
-            continue
-        free[root], group = False, [root]
-        for a in group:  # grows while it is read
-            new = np.flatnonzero(linked[a] & free)
-            free[new] = False
-            group += new.tolist()
-        # a chain, not a star: no node gets many edges
-        edges += [(digests[a], digests[b]) for a, b in zip(group[:-1], group[1:], strict=True)]
+    near = common / (size[:, None] + size[None, :] - common) >= threshold
+    np.fill_diagonal(near, False)
+    linked = asked & near
+    edges = []
+    if linked.any():
+        known, joined = _parts(near & ~asked), _parts(near)
+        heads = np.flatnonzero(known == np.arange(n))  # one text of every known part
+        for root in np.unique(joined[heads]):
+            chain = heads[joined[heads] == root].tolist()  # a chain, not a star: no node gets many edges
+            edges += [(digests[a], digests[b]) for a, b in zip(chain[:-1], chain[1:], strict=True)]
     return (linked @ np.asarray(copies, np.int64)).tolist(), edges
 
 
@@ -155,8 +172,8 @@ def _compare(n: int, threshold: float):
         import pyarrow as pa
 
         def finish(unit, rows):
-            rows = list({r["digest"]: r for r in rows}.values())  # repeated rows bring a text twice
-            runs = [shingles(words_of(r["text"]), n) for r in rows]
+            rows = sorted({r["digest"]: r for r in rows}.values(), key=lambda r: r["digest"])  # repeated rows bring a text twice
+            runs = [r["runs"] for r in rows]
             labels = np.asarray([r["labels"] for r in rows], np.int64)
             links, edges = linked_within(
                 [r["digest"] for r in rows], [r["copies"] for r in rows], labels, runs, np.asarray([r["block"] for r in rows]), unit[0], unit[2] != unit[3], threshold
@@ -175,6 +192,7 @@ def _compare(n: int, threshold: float):
                         yield from finish(unit, rows)
                         rows = []
                     unit = now
+                    r["runs"] = shingles(words_of(r.pop("text")), n)
                     rows.append(r)
         if rows:
             yield from finish(unit, rows)

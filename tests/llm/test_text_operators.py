@@ -254,3 +254,20 @@ def test_no_links_at_all(spark):
     rows = [(1, "a b c d e f"), (2, "g h i j k l"), (3, None)]
     assert sorted((r["id"], r["class_id"], r["n_links"]) for r in jaccard_classes(frame(spark, rows)).collect()) == [(1, 1, 0), (2, 2, 0), (3, 3, 0)]
     assert keep_first_of_class(frame(spark, rows).where(F.col("doc_id") > 1)).count() == 2
+
+
+def test_large_group_gives_edges_in_proportion(spark, monkeypatch):
+    """One group of distinct near copies over many blocks: few more edges than texts, and every link counted."""
+    made = {}
+    real = jaccard_join.components
+
+    def counted(edges):
+        made["edges"] = edges.distinct().count()
+        return real(edges)
+
+    monkeypatch.setattr(jaccard_join, "components", counted)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join([*base[:3], f"own{i}", *base[4:]])) for i in range(3000)]
+    found = jaccard_classes(frame(spark, rows)).collect()
+    assert len(found) == 3000 and {(r["class_id"], r["n_links"]) for r in found} == {(0, 2999)}
+    assert made["edges"] < 3 * len(rows)
