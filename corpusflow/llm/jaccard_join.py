@@ -115,9 +115,10 @@ def common_counts(runs: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     order = np.argsort(column, kind="stable")
     text, column = text[order], column[order]
     common = np.zeros((len(runs), len(runs)), np.float64)
-    for begin in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+    total = int(column[-1]) + 1 if len(column) else 0
+    for begin in range(0, total, columns):
         at = slice(*np.searchsorted(column, (begin, begin + columns)))
-        part = np.zeros((len(runs), columns), np.float32)
+        part = np.zeros((len(runs), min(columns, total - begin)), np.float32)
         part[text[at], column[at] - begin] = 1
         common += part @ part.T
     return common
