@@ -10,8 +10,10 @@ half-precision unit vectors; the nodes of the last beam are scored exactly, in d
 
 * Rows without id and vectors that are null, empty, zero, or hold null or non-finite components take no
   part; nor do vectors of another length than the most common one.
+* Graph and search know distinct vectors alone; the smallest ids of each are kept beside and put in at the end, so
+  copies fill no lists.  Ties go to the smaller id.
 * Repeated rows (same id, same vector) are one row.  Rows that share an id but not the vector are separate
-  candidates; a query never returns rows of its own id.  Ties go to the smaller id.
+  candidates; a query never returns rows of its own id.
 * With fewer candidates than asked for, all are returned.  Empty tables, no rows.
 * Extra columns are not read, whatever their names.
 """
@@ -38,14 +40,15 @@ def _valid(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & finite & F.exists(vector, lambda x: x != 0)
 
 
-def nodes_of(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(node, id, vector): the rows that take part, stored; ``node`` names a row by id and vector."""
+def rows_of(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(node, id, vector): the rows that take part, stored; ``node`` names a vector, so equal vectors share it."""
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where(F.col("id").isNotNull())
     rows = rows.where(F.coalesce(_valid(F.col("vector")), F.lit(False)))
     common = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if common is not None:
         rows = rows.where(F.size("vector") == common["d"])
-    return materialise(rows.withColumn("node", F.xxhash64("id", "vector")).dropDuplicates(["node"]), "nodes")
+    plain = F.transform("vector", lambda x: x + F.lit(0.0))  # one zero, not two
+    return materialise(rows.withColumn("vector", plain).withColumn("node", F.xxhash64("vector")), "vectors")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[object, dict[str, list]]]:
@@ -311,17 +314,32 @@ def nearest_neighbours(
 
     ``is_query`` is a condition on the column ``id``.
     """
-    nodes = nodes_of(vectors, id_col, vector_col)
+    rows = rows_of(vectors, id_col, vector_col)
+    nodes = materialise(rows.groupBy("node").agg(F.first("vector").alias("vector")), "nodes")
+    # no query needs more ids of one vector than ``top`` and its own; the limit holds in every task before the shuffle
+    place = F.row_number().over(Window.partitionBy("node").orderBy("id"))
+    named = rows.select("node", "id").distinct()
+    least = named.withColumn("place", place).where(F.col("place") <= top + 1)
+    least = materialise(least.groupBy("node").agg(F.array_sort(F.collect_list("id")).alias("ids")), "least_ids")
+    asked = materialise(named.where(is_query), "asked")
+    sizes = asked.groupBy("node").agg(F.count("*").alias("n"))
     codes, graph = build_graph(nodes, **options)
-    asked = nodes.where(is_query).select(F.col("node").alias("query"))
-    beams = search_graph(codes, graph, codes.withColumnRenamed("node", "query").join(asked, "query"), beam=max(beam, 2 * top))
+    queries = codes.withColumnRenamed("node", "query").join(sizes.select(F.col("node").alias("query")), "query")
+    beams = search_graph(codes, graph, queries, beam=max(beam, 2 * top))
     pairs = beams.select("query", F.explode("ids").alias("node"))
-    left = nodes.select(F.col("node").alias("query"), F.col("id").alias("query_id"), F.col("vector").alias("a"))
-    both = pairs.join(nodes.select("node", "id", F.col("vector").alias("b")), "node").join(left, "query").where(F.col("id") != F.col("query_id"))
+    left = nodes.select(F.col("node").alias("query"), F.col("vector").alias("a"))
+    both = pairs.join(nodes.select("node", F.col("vector").alias("b")), "node").join(left, "query")
 
     def dot(x: str, y: str) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
 
-    scored = both.select("query", "query_id", "node", "id", (dot("a", "b") / (F.sqrt(dot("a", "a")) * F.sqrt(dot("b", "b")))).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id", "node"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "id", "score")
+    score = dot("a", "b") / (F.sqrt(dot("a", "a")) * F.sqrt(dot("b", "b")))
+    scored = both.select(F.col("query").alias("own"), "node", score.alias("score")).join(least, "node")
+    hits = F.transform("ids", lambda i: F.struct((-F.col("score")).alias("far"), i.alias("id")))
+    found = scored.select("own", F.explode(hits).alias("hit"))
+    lists = materialise(found.groupBy(F.col("own").alias("node")).agg(F.array_sort(F.collect_list("hit")).alias("hits")).join(sizes, "node"), "found")
+    answered = skew_join(asked, lists, ["node"], "n").select(
+        F.col("id").alias("query_id"), "node", F.slice(F.filter("hits", lambda h: h["id"] != F.col("id")), 1, top).alias("hits")
+    )
+    out = answered.select("query_id", F.posexplode("hits").alias("at", "hit"))
+    return out.select("query_id", (F.col("at") + 1).alias("rank"), F.col("hit.id").alias("id"), (-F.col("hit.far")).alias("score"))

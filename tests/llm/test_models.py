@@ -185,3 +185,17 @@ def test_pipeline_on_odd_rows(spark, sf_dir):
     for name, stage in corpus_pipeline.STAGES:
         none = corpus_pipeline.materialise(stage(spark, none, sf_dir), name)
     assert none.count() == 0
+
+
+def test_nearest_copies_and_ties(spark):
+    """Every third vector is the same: the smallest ids of the copies, and no lost neighbours of the others."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [1.0, 0.5, 0.0, -0.0] if i % 3 == 0 else rng.standard_normal(4).round(3).tolist()) for i in range(1500)]
+    found = nearest_neighbours(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("id") % 50 == 0).collect()
+    got = {}
+    for r in sorted(found, key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append(r["id"])
+    asked = brute_nearest(rows, 5, lambda i: i % 50 == 0)
+    assert got[0] == [3, 6, 9, 12, 15] and got[150] == [0, 3, 6, 9, 12]
+    assert set(got) == set(asked)
+    assert sum(len(set(got[q]) & {j for j, _ in asked[q]}) for q in asked) >= 0.95 * 5 * len(asked)
