@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.ml import Model, PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.ml.regression import LinearRegression
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from corpusflow.functions.arrays import argmax, clip_and_round
+from corpusflow.operators.margins import fit_squared_hinge
 
 SEED = 42
 
@@ -30,24 +31,20 @@ def fit_classifier(
     label: str = "label_id",
     max_iter: int | None = None,
     inverse_penalty: float = 1.0,
-    parallelism: int = 4,
 ) -> Model:
-    """``"lr"``: multinomial logistic regression.  ``"svm"``: one linear SVM per class.
+    """``"lr"``: multinomial logistic regression.  ``"svm"``: one linear classifier per class, squared hinge.
 
     The penalty is that of a summed loss with ``C = inverse_penalty``: Spark averages the loss, so
     the weight becomes ``1 / (C n)``.  ``train`` should be persisted; every iteration reads it.
     """
-    penalty = 1.0 / (inverse_penalty * max(train.count(), 1))
     if kind == "lr":
+        penalty = 1.0 / (inverse_penalty * max(train.count(), 1))
         return LogisticRegression(
             featuresCol=features, labelCol=label, maxIter=max_iter or 1000, family="multinomial",
             regParam=penalty, elasticNetParam=0.0, standardization=False,
         ).fit(train)
     if kind == "svm":
-        single = LinearSVC(maxIter=max_iter or 50, regParam=penalty, standardization=False)
-        return OneVsRest(
-            classifier=single, featuresCol=features, labelCol=label, parallelism=parallelism
-        ).fit(train)
+        return fit_squared_hinge(train, features, label, inverse_penalty, max_iter or 1000)
     raise ValueError("kind must be 'lr' or 'svm'")
 
 
