@@ -157,13 +157,13 @@ def _language_corpus(spark, sf):
 
 @query("lr_report")
 def lr_report(spark, sf):
-    run = classify.classify_corpus(_language_corpus(spark, sf), "lang", "lr", max_terms=N_TERMS, max_iter=50, stop_words=STOP_WORDS)
+    run = classify.classify_corpus(_language_corpus(spark, sf), "lang", "lr", max_terms=TOP_TERMS, stop_words=STOP_WORDS)
     return run.report
 
 
 @query("svm_report")
 def svm_report(spark, sf):
-    run = classify.classify_corpus(_language_corpus(spark, sf), "lang", "svm", max_terms=N_TERMS, max_iter=10, stop_words=STOP_WORDS)
+    run = classify.classify_corpus(_language_corpus(spark, sf), "lang", "svm", max_terms=TOP_TERMS, stop_words=STOP_WORDS)
     return run.report
 
 
