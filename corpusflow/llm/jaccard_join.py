@@ -1,9 +1,9 @@
-"""N-gram Jaccard join with a MinHash LSH forest and exact verification.
+"""N-gram Jaccard join: MinHash prefixes in several trees and exact verification.
 
 A text is the set of its runs of ``n`` words (lower case, cut at blanks).  Its MinHash signature holds
-``trees`` labels of ``max_depth`` values; a tree is the prefix trie of its labels, a trie node the texts that share
-a prefix.  The prefix is shortened, one value at a time, until a pair exactly at the threshold shares a node
-of some tree with probability ``recall``.  All pairs below the nodes are then compared exactly:
+``trees`` labels.  The depth of the prefix is one for all texts: shortened from ``max_depth``, one value at a time, until a pair
+exactly at the threshold shares a prefix in some tree with probability ``recall``.  Texts that share it in a tree are a node, found by
+the hash of the prefix; no trie is kept and no prefix is shortened further for the data.  All pairs of a node are then compared exactly:
 
 * texts with the same words are one text with a number of copies, before anything is compared;
 * nodes with the same texts are compared once;
