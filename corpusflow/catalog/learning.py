@@ -208,12 +208,12 @@ def examples(spark, sf):
     return materialise(co.concat_sources(parts), "examples", ("task",))
 
 
-_SMALL = multitask.TrainConfig(epochs=2, iterations_per_epoch=3, max_terms=100, stop_words=tuple(STOP_WORDS))
+TRAINING = multitask.TrainConfig(stop_words=tuple(STOP_WORDS))
 
 
 @query("task_results")
 def task_results(spark, sf):
-    results, _ = multitask.train_all_tasks(examples(spark, sf), scratch_path(spark, "models"), _SMALL)
+    results, _ = multitask.train_all_tasks(examples(spark, sf), scratch_path(spark, "models"), TRAINING)
     return results
 
 
@@ -222,7 +222,7 @@ def task_submissions(spark, sf):
     """Every task trained and its test rows scored; the diagnostic set uses the model of another task."""
     rows = examples(spark, sf)
     path = scratch_path(spark, "models")
-    multitask.train_all_tasks(rows, path, multitask.TrainConfig(1, 3, 100, 3, tuple(STOP_WORDS)))
+    multitask.train_all_tasks(rows, path, TRAINING)
     scored = multitask.predict_all_tasks(rows, path)
     return ta.submission_rows(scored, ta.task_dim(spark), ta.output_dim(spark))
 
@@ -233,7 +233,7 @@ def borrowed_model_scores(spark, sf):
     rows = examples(spark, sf).where("task in ('mnli', 'ax')")
     path = scratch_path(spark, "models")
     mnli = tuple(task for task in ta.TASKS if task[0] == "mnli")
-    multitask.train_all_tasks(rows, path, multitask.TrainConfig(1, 3, 100, 1, tuple(STOP_WORDS)), mnli)
+    multitask.train_all_tasks(rows, path, TRAINING, mnli)
     ax = tuple(output for output in ta.OUTPUTS if output[0] == "ax")
     scored = multitask.predict_all_tasks(rows, path, mnli, ax)
     return ta.submission_rows(scored, ta.task_dim(spark), ta.output_dim(spark))

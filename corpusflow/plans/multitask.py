@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
@@ -11,10 +12,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusflow.operators.corpus import concat_sources
-from corpusflow.operators.features import fit_tfidf, store_vectors
+from corpusflow.operators.descent import Fit, advance, load_fits, save_fits, sparse_rows
+from corpusflow.operators.features import MAX_TERMS, fit_tfidf
 from corpusflow.operators.history import run_results
-from corpusflow.operators.models import fit_classifier, fit_regressor
 from corpusflow.operators.tasks import OUTPUTS, TASKS, evaluate_classes, evaluate_scores
+from corpusflow.session import scratch_path
 from corpusflow.sources.stores import load_model, save_model
 
 HISTORY_SCHEMA = "task string, epoch int, train_loss double, val_loss double, metric_name string, val_metric double"
@@ -28,18 +30,11 @@ RESULT_SCHEMA = (
 class TrainConfig:
     epochs: int = 3
     iterations_per_epoch: int = 10
-    max_terms: int = 2_000
+    max_terms: int = MAX_TERMS
     parallel_tasks: int = 3
     stop_words: tuple[str, ...] | None = None
 
 
-@dataclass
-class TaskRun:
-    history: list[tuple] = field(default_factory=list)
-    variants: dict[str, float] = field(default_factory=dict)
-    error: str | None = None
-
-
 def _featurise(train: DataFrame, is_pair: bool, config: TrainConfig) -> PipelineModel:
     stops = None if config.stop_words is None else list(config.stop_words)
     first = fit_tfidf(train, config.max_terms, "text_a", "features_a" if is_pair else "features", stops)
@@ -57,69 +52,121 @@ def add_logits(df: DataFrame, model, is_regression: bool) -> DataFrame:
     return scored.withColumn("logits", logits)
 
 
-def train_task(examples: DataFrame, task: tuple, model_path: str, config: TrainConfig) -> TaskRun:
-    """One task: features on its training rows, one fit per epoch, the last model is saved.
-
-    An epoch continues for ``iterations_per_epoch`` optimiser steps.  The optimiser starts from
-    zero and is deterministic, so fitting epoch e anew passes through the state of epoch e - 1.
-    """
-    key, _, metric, is_pair, is_regression, _ = task
-    rows = examples.where(F.col("task") == key)
-    train = rows.where(F.col("split") == "train")
-    features = _featurise(train, is_pair, config)
+def _prepare(examples: DataFrame, task: tuple, base: str, config: TrainConfig) -> PipelineModel:
+    """Features of one task, learned on its training rows; the vectors of its labelled rows are stored."""
+    key, _, _, is_pair, is_regression, _ = task
+    rows = examples.where((F.col("task") == key) & F.col("label").isNotNull())
+    features = _featurise(rows.where(F.col("split") == "train"), is_pair, config)
     vectors = features.transform(rows.where(F.col("split").isin("train", "validation")))
-    vectors = store_vectors(vectors.select("task", "split", "variant", "label", "features"))
-    run = TaskRun()
-    fitting = vectors.where(F.col("split") == "train")
-    for epoch in range(1, config.epochs + 1):
-        steps = epoch * config.iterations_per_epoch
-        fit = fit_regressor if is_regression else fit_classifier
-        args = {} if is_regression else {"kind": "lr"}
-        model = fit(fitting, label="label", max_iter=steps, **args)
-        scored = add_logits(vectors, model, is_regression).select("task", "split", "variant", "logits", "label")
-        # a handful of numbers per split and variant
-        evaluate = evaluate_scores if is_regression else evaluate_classes
-        rows_out = evaluate(scored, ("split", "variant")).collect()
-        values = {(r["split"], r["variant"], r["metric"]): r["value"] for r in rows_out}
-        seen = sorted({r["variant"] for r in rows_out if r["split"] == "validation"})
-        if not seen:
-            raise ValueError(f"no validation rows for {key}")
-        first = seen[0]  # "matched" where there are variants
-        run.history.append(
-            (key, epoch, values.get(("train", "", "loss")), values[("validation", first, "loss")], metric,
-             values[("validation", first, metric)])
-        )
-    run.variants = {v: values.get(("validation", v, "accuracy")) for v in seen if v}
-    save_model(PipelineModel([features, model]), f"{model_path}/{key}")
-    return run
+    vectors = vectors.select("split", "variant", F.col("label").cast("double").alias("label"), "features")
+    vectors.hint("rebalance").write.parquet(f"{base}/task={key}")
+    return features
+
+
+def _new_fits(vectors: DataFrame, tasks: dict[str, tuple]) -> tuple[dict[str, Fit], dict[str, str]]:
+    """(fits at zero, errors) from one count of the labels of every task."""
+    whole = F.col("label") == F.floor("label")
+    training = F.col("split") == "train"
+    counts = vectors.groupBy("task").agg(
+        F.count_if(training).alias("train"), F.count_if(~training).alias("validation"), F.min("label").alias("low"),
+        F.max("label").alias("high"), F.count_if(~whole).alias("broken"), F.count_if(F.isnan("label")).alias("odd"),
+        F.max(F.coalesce(F.unwrap_udt("features")["size"], F.size(F.unwrap_udt("features")["values"]))).alias("columns"),
+    )
+    found, fits, errors = {r["task"]: r for r in counts.collect()}, {}, {}
+    for key, task in tasks.items():
+        r, is_regression = found.get(key), task[4]
+        if r is None or not r["train"]:
+            errors[key] = f"ValueError: no training rows for {key}"
+        elif not r["validation"]:
+            errors[key] = f"ValueError: no validation rows for {key}"
+        elif r["odd"] or not is_regression and (r["broken"] or r["low"] < 0):
+            errors[key] = f"ValueError: labels of {key} are not {'numbers' if is_regression else 'classes'}"
+        else:
+            outputs = 1 if is_regression else max(task[5], int(r["high"]) + 1)
+            fits[key] = Fit("squared" if is_regression else "softmax", outputs, r["columns"], r["train"])
+    return fits, errors
+
+
+def _evaluate(spark: SparkSession, vectors: DataFrame, fits: dict[str, Fit], measure: Callable | None) -> dict[str, dict]:
+    """{task: {(split, variant, metric): value}}: a handful of numbers per task; the rows of all tasks of a kind in one job."""
+    keys, parts = ("task", "split", "variant"), []
+    for kind, evaluate in (("softmax", evaluate_classes), ("squared", evaluate_scores)):
+        scored = [
+            add_logits(vectors.where(F.col("task") == key), fit.model(spark), kind == "squared").select(*keys, "logits", "label")
+            for key, fit in fits.items() if fit.kind == kind
+        ]
+        if scored:
+            rows = concat_sources(scored)
+            parts.append(evaluate(rows, keys))
+            if measure is not None:
+                parts.append(measure(rows, keys).select(*keys, "metric", F.col("value").cast("double").alias("value")))
+    values: dict[str, dict] = {key: {} for key in fits}
+    for r in concat_sources(parts).collect():
+        values[r["task"]][r["split"], r["variant"], r["metric"]] = r["value"]
+    return values
 
 
 def train_all_tasks(
-    examples: DataFrame, model_path: str, config: TrainConfig | None = None, tasks: tuple = TASKS
+    examples: DataFrame, model_path: str, config: TrainConfig | None = None, tasks: tuple = TASKS, measure: Callable | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Train every task; a failing task becomes a row with its error and the others go on.
+    """Train every task; a task that cannot be trained becomes a row with its error and the others go on.
 
-    Returns ``(results, history)``.  A few tasks run at the same time; each is a series of Spark jobs.
+    Returns ``(results, history)``.  Features are learned a few tasks at a time; then all tasks are fitted in the same
+    passes.  An epoch is ``iterations_per_epoch`` steps of every task: it reads the states that the epoch before
+    stored below ``model_path/epochs`` and stores its own.  Models of the last epoch are saved.
+
+    ``measure(rows, keys)`` adds metrics of the caller's own: from rows of ``keys``, ``logits`` and ``label`` it returns rows of
+    ``keys``, ``metric`` and ``value``.  A task may report one of them as its metric.
+
+    * Rows without label take no part.  Labels of a classification are 0, 1, ...; others are the task's error.
+    * A task without training or validation rows, or without any term, is an error row.
     """
     spark = examples.sparkSession
     config = config or TrainConfig()
+    base, errors, features = scratch_path(spark, "vectors"), {}, {}
 
-    def attempt(task: tuple) -> TaskRun:
+    def attempt(task: tuple):
         try:
-            return train_task(examples, task, model_path, config)
+            return _prepare(examples, task, base, config)
         except Exception as problem:  # noqa: BLE001 - reported as a row
-            return TaskRun(error=f"{type(problem).__name__}: {str(problem).splitlines()[0] if str(problem) else ''}")
+            return f"{type(problem).__name__}: {str(problem).splitlines()[0] if str(problem) else ''}"
 
     with ThreadPoolExecutor(max_workers=config.parallel_tasks) as pool:
-        runs = dict(zip([task[0] for task in tasks], pool.map(attempt, tasks)))
-    history = spark.createDataFrame([row for run in runs.values() for row in run.history], HISTORY_SCHEMA)
+        for task, made in zip(tasks, pool.map(attempt, tasks), strict=True):
+            (errors if isinstance(made, str) else features)[task[0]] = made
+    by_key = {task[0]: task for task in tasks if task[0] in features}
+    history, variants = [], {}
+    if by_key:
+        vectors = spark.read.option("basePath", base).parquet(*[f"{base}/task={key}" for key in by_key])
+        fits, wrong = _new_fits(vectors, by_key)
+        errors.update(wrong)
+        vectors = vectors.where(F.col("task").isin(list(fits)))
+        rows = sparse_rows(vectors.where(F.col("split") == "train"), "features", "label", F.col("task").alias("model"), label_type="double")
+        for epoch in range(1, config.epochs + 1) if fits else ():
+            if epoch > 1:
+                fits = load_fits(spark, f"{model_path}/epochs/{epoch - 1}")
+            advance(rows, fits, config.iterations_per_epoch)
+            save_fits(spark, fits, f"{model_path}/epochs/{epoch}")
+            for key, values in _evaluate(spark, vectors, fits, measure).items():
+                metric = by_key[key][2]
+                seen = sorted({variant for split, variant, _ in values if split == "validation"})
+                first = seen[0]  # "matched" where there are variants
+                history.append(
+                    (key, epoch, values.get(("train", "", "loss")), values.get(("validation", first, "loss")), metric,
+                     values.get(("validation", first, metric)))
+                )
+                variants[key] = {v: values.get(("validation", v, "accuracy")) for v in seen if v}
+        for key, fit in fits.items():
+            save_model(PipelineModel([features[key], fit.model(spark)]), f"{model_path}/{key}")
+    history = spark.createDataFrame(history, HISTORY_SCHEMA)
     status = spark.createDataFrame(
         [
-            (key, run.variants.get("matched"), run.variants.get("mismatched"), "failed" if run.error else "ok", run.error)
-            for key, run in runs.items()
+            (task[0], variants.get(task[0], {}).get("matched"), variants.get(task[0], {}).get("mismatched"),
+             "failed" if task[0] in errors else "ok", errors.get(task[0]))
+            for task in tasks
         ],
         "task string, val_acc_matched double, val_acc_mismatched double, status string, error string",
-    )
+    )
     results = status.join(run_results(history), "task", "left").select(
         *[part.split(" ")[0] for part in RESULT_SCHEMA.split(", ")]
     )

@@ -7,6 +7,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from corpusflow.catalog.learning import STOP_WORDS, examples
 from corpusflow.operators import dedup, features as fe, models as mo, tasks as ta
+from corpusflow.operators.descent import load_fits
 from corpusflow.plans import classify, corpus as pc, explore, multitask
 from corpusflow.session import checkpoint_root, materialise
 from corpusflow.sources import readers, stores, writers
@@ -113,6 +114,19 @@ def test_text_columns():
             ta.text_columns(columns, pair)
 
 
+def test_tasks_report_a_metric_of_the_callers(spark, sf_dir, tmp_path):
+    def measure(rows, keys):
+        return rows.groupBy(*keys).agg(F.avg(F.size("logits")).alias("value")).withColumn("metric", F.lit("width"))
+
+    rows = examples(spark, sf_dir)
+    broken = rows.where("task = 'rte'").withColumn("label", F.col("label") + 0.5)
+    config = multitask.TrainConfig(1, 1, 10, 2, tuple(STOP_WORDS))
+    wanted = (("mnli", "MNLI", "width", True, False, 3), ("stsb", "STS-B", "width", True, True, 1), ("rte", "RTE", "width", True, False, 2))
+    kept = rows.where("task IN ('mnli', 'stsb')").unionByName(broken)
+    results, _ = multitask.train_all_tasks(kept, str(tmp_path / "m"), config, wanted, measure)
+    assert {(r["task"], r["best_metric"], r["status"]) for r in results.collect()} == {("mnli", 3.0, "ok"), ("stsb", 1.0, "ok"), ("rte", None, "failed")}
+
+
 def test_tasks_train_predict_and_survive_a_failure(spark, sf_dir, tmp_path):
     rows = examples(spark, sf_dir)
     config = multitask.TrainConfig(epochs=2, iterations_per_epoch=2, max_terms=30, parallel_tasks=2, stop_words=tuple(STOP_WORDS))
@@ -123,6 +137,8 @@ def test_tasks_train_predict_and_survive_a_failure(spark, sf_dir, tmp_path):
     assert got["none"]["error"] and got["cola"]["saved_epoch"] == 2
     assert got["mnli"]["val_acc_matched"] is not None and got["mnli"]["val_acc_mismatched"] is not None
     assert history.count() == 6
+    states = {e: load_fits(spark, str(tmp_path / "m" / "epochs" / str(e))) for e in (1, 2)}
+    assert {(k, e, f.descent.steps) for e, fits in states.items() for k, f in fits.items()} == {(k, e, 2 * e) for k in ("cola", "stsb", "mnli") for e in (1, 2)}
     scored = multitask.predict_all_tasks(rows, str(tmp_path / "m"), ta.TASKS)
     files = ta.submission_rows(scored, ta.task_dim(spark), ta.output_dim(spark))
     outputs = {r["output_name"] for r in files.select("output_name").distinct().collect()}
