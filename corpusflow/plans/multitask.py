@@ -156,8 +156,8 @@ def train_all_tasks(
                      values.get(("validation", first, metric)))
                 )
                 variants[key] = {v: values.get(("validation", v, "accuracy")) for v in seen if v}
-        for key, fit in fits.items():
-            save_model(PipelineModel([features[key], fit.model(spark)]), f"{model_path}/{key}")
+        with ThreadPoolExecutor(max_workers=config.parallel_tasks) as pool:
+            list(pool.map(lambda key: save_model(PipelineModel([features[key], fits[key].model(spark)]), f"{model_path}/{key}"), fits))
     history = spark.createDataFrame(history, HISTORY_SCHEMA)
     status = spark.createDataFrame(
         [
