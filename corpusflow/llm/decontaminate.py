@@ -97,12 +97,36 @@ def template_tokens(text: Column) -> Column:
     return F.split(F.trim(F.lower(out)), " +")
 
 
+def with_run_hashes(rows: DataFrame, widths: list[int], name: str = "runs") -> DataFrame:
+    """``rows`` with ``{name}{w}``: for each width the hashes of all runs of ``w`` entries of the array ``codes``.
+
+    Runs of 2, 4, 8, ... entries come from two of half the length, other widths from those; so a run costs a few hashes
+    of two numbers.  The array is empty where ``codes`` is shorter than ``w``.
+    """
+
+    def joined(left: str, right: str, by: int) -> Column:
+        later = F.slice(right, by + 1, F.greatest(F.size(right) - by, F.lit(0)))
+        first = F.slice(left, 1, F.size(later))
+        return F.zip_with(first, later, lambda a, b: F.xxhash64(a, b))
+
+    own, spans, span = rows.columns, {1: "codes"}, 1
+    while 2 * span <= max(widths):
+        rows = compute_once(rows, f"_span{2 * span}", joined(spans[span], spans[span], span))
+        spans[2 * span], span = f"_span{2 * span}", 2 * span
+    for w in widths:
+        parts = [s for s in sorted(spans, reverse=True) if w & s]
+        at, last = parts[0], spans[parts[0]]
+        for i, part in enumerate(parts[1:]):
+            rows = compute_once(rows, f"_run{w}_{i}", joined(last, spans[part], at))
+            at, last = at + part, f"_run{w}_{i}"
+        rows = rows.withColumn(f"{name}{w}", F.col(last))
+    return rows.select(*own, *[f"{name}{w}" for w in widths])
+
+
 def _windows(rows: DataFrame, width: int, *keep: str) -> DataFrame:
     """(keep, pos, width, window) for each run of ``width`` tokens, from the array ``codes``."""
-    codes = F.col("codes")
-    starts = F.when(F.size(codes) >= width, F.sequence(F.lit(0), F.size(codes) - width))
-    hashes = F.transform(starts, lambda i: F.xxhash64(*[F.get(codes, i + j) for j in range(width)]))
-    return rows.select(*keep, F.posexplode(hashes).alias("pos", "window")).withColumn("width", F.lit(width))
+    hashed = with_run_hashes(rows.select(*dict.fromkeys([*keep, "codes"])), [width])
+    return hashed.select(*keep, F.posexplode(f"runs{width}").alias("pos", "window")).withColumn("width", F.lit(width))
 
 
 def _coded(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -121,23 +145,19 @@ def _literal_pairs(docs, benchmark, id_col, text_col, item_col, item_text_col, w
         rows = df.where(F.col(text).isNotNull()).select(row_key(ident, text).alias(name), literal_tokens(F.col(text)).alias("words"))
         return compute_once(rows, "codes", F.transform("words", lambda t: F.xxhash64(t))).drop("words")
 
-    def hashes(w: int) -> Column:
-        starts = F.sequence(F.lit(0), F.size("codes") - w)
-        own = F.transform(starts, lambda i: F.xxhash64(F.lit(w), *[F.get("codes", i + j) for j in range(w)]))
-        return F.when(F.size("codes") >= w, own).otherwise(F.array().cast("array<bigint>"))
-
     items = materialise(coded(benchmark, item_col, item_text_col, "item_key").where(F.size("codes") > 0).dropDuplicates(["item_key"]), "words")
     size = F.least(F.size("codes"), F.lit(width))
     widths = sorted(r[0] for r in items.select(size).distinct().collect())  # at most ``width`` values
     if not widths:
         return None
-    parts = [items.where(size == w).select("item_key", F.posexplode(hashes(w)).alias("q", "window")) for w in widths]
+    parts = [_windows(items.where(size == w), w, "item_key").select("item_key", F.col("pos").alias("q"), "window") for w in widths]
     mine = parts[0]
     for part in parts[1:]:
         mine = mine.unionByName(part)
     small = mine.count() <= broadcast_windows
-    runs = F.array_distinct(F.flatten(F.array(*[hashes(w) for w in widths])))
-    hits = coded(docs, id_col, text_col, "key").select("key", F.explode(runs).alias("window")).join(F.broadcast(mine) if small else mine, "window")
+    hashed = with_run_hashes(coded(docs, id_col, text_col, "key"), widths)
+    runs = F.array_distinct(F.concat(*[f"runs{w}" for w in widths]))
+    hits = hashed.select("key", F.explode(runs).alias("window")).join(F.broadcast(mine) if small else mine, "window")
     found = hits.groupBy("key", "item_key").agg(F.count_distinct("q").alias("windows"))
     asked = mine.groupBy("item_key").agg(F.count("*").alias("asked"))
     found = found.join(F.broadcast(asked) if small else asked, "item_key")
