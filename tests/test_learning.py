@@ -230,3 +230,11 @@ def test_word_averages_separate_languages(docs):
     report = word_average_report(docs.sparkSession, "/root/testdata/sf0.001").collect()
     hits = sum(r["recall"] * r["support"] for r in report)
     assert hits / sum(r["support"] for r in report) > 0.8
+
+
+def test_word_vectors_are_learned_in_many_tasks(spark):
+    rows = [(i, f"red blue green {'one two' if i % 2 else 'uno dos'} w{i % 7}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = fe.fit_word_average(df, size=4, chars_per_part=2000).stages[-1]
+    assert 1 < model.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert model.getVectors().count() == 14 and fe.fit_word_average(df, size=4).stages[-1].getNumPartitions() == 1
