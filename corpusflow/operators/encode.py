@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusflow.functions.arrays import pad_to
-from corpusflow.functions.tokens import uncased_words, words
+from corpusflow.functions.tokens import slices, uncased_words, words
 from corpusflow.operators.lookup import counted_join, lookup_join
 from corpusflow.operators.vocab import CONTINUATION, SPECIAL_TOKENS, special_ids
 from corpusflow.session import materialise
@@ -22,7 +22,10 @@ UNKNOWN = "[UNK]"
 # vocabularies up to this many tokens go to the executors as a broadcast dictionary
 BROADCAST_TOKENS = 500_000
 # distinct words a task remembers before it starts over
-_MEMORY_WORDS = 500_000
+_MEMORY_WORDS = 200_000
+# words that a task encodes, and ids that it decodes, at a time
+_SLICE_WORDS = 100_000
+_SLICE_IDS = 500_000
 # A continued token that starts like this is written without a space before it.
 _NO_SPACE_BEFORE = (".", "?", "!", ",", "n't", "'m", "'s", "'ve", "'re")
 
@@ -55,32 +58,37 @@ def word_pieces(word: str, ids: dict[str, int], unknown: int, max_chars: int = M
 def _arrow_encoder(ids, unknown: str, max_chars: int):
     """Arrow function ``array<string> -> array<int>``.
 
-    A batch is reduced to its distinct words with Arrow's dictionary encoding; Python touches each
-    distinct word once per task, everything per token is vectorised.
+    A slice of a batch is reduced to its distinct words with Arrow's dictionary encoding; Python touches each
+    distinct word once per task, until its memory of words is full.  Everything per token is vectorised.
     """
 
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = ids.value
         unknown_id = table[unknown]
-        memory: dict[str, list[int]] = {}
-        for batch in batches:
-            flat = batch.flatten()
-            coded = pc.dictionary_encode(flat)
+        memory: dict[str, bytes] = {}
+
+        def encoded(part: pa.Array) -> pa.Array:
+            coded = pc.dictionary_encode(part.flatten())
             if len(memory) > _MEMORY_WORDS:
                 memory.clear()
             pieces = []
             for word in coded.dictionary.to_pylist():
                 known = memory.get(word)
                 if known is None:
-                    known = memory[word] = word_pieces(word, table, unknown_id, max_chars)
+                    known = memory[word] = np.array(word_pieces(word, table, unknown_id, max_chars), np.int32).tobytes()
                 pieces.append(known)
-            per_word = pa.array(pieces, pa.list_(pa.int32())).take(coded.indices)
+            ends = np.cumsum([0, *map(len, pieces)]) // 4
+            per_word = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(pieces), np.int32)))
+            per_word = per_word.take(coded.indices)
             token_ends = np.concatenate([[0], np.cumsum(pc.list_value_length(per_word).to_numpy(zero_copy_only=False))])
-            word_counts = pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False)
+            word_counts = pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False)
             word_ends = np.concatenate([[0], np.cumsum(word_counts)])
-            offsets = pa.array(token_ends[word_ends], pa.int32())
-            yield pa.ListArray.from_arrays(offsets, per_word.flatten())
+            return pa.ListArray.from_arrays(pa.array(token_ends[word_ends], pa.int32()), per_word.flatten())
+
+        for batch in batches:
+            for part in slices(batch, _SLICE_WORDS):
+                yield encoded(part)
 
     return encode
 
@@ -264,9 +272,9 @@ def _arrow_decoder(tokens):
                 joined.append(token if token.startswith(_NO_SPACE_BEFORE) else " " + token)
         # the second half holds the form a token takes at the start of a text
         forms = pa.array(joined + list(plain), pa.string())
-        for batch in batches:
-            lengths = pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False)
-            found = pc.fill_null(batch.flatten(), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        def rendered(part: pa.Array) -> pa.Array:
+            lengths = pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False)
+            found = pc.fill_null(part.flatten(), -1).to_numpy(zero_copy_only=False).astype(np.int64)
             at = np.searchsorted(ids, found)
             # ids that the vocabulary does not have are left out before a text's first token is known
             held = ids[np.minimum(at, len(ids) - 1)] == found if len(ids) else np.zeros(len(found), bool)
@@ -276,7 +284,11 @@ def _arrow_decoder(tokens):
             index = at[held]
             index[offsets[:-1][lengths > 0]] += len(plain)
             parts = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), forms.take(pa.array(index, pa.int64())))
-            yield pc.binary_join(parts, "")
+            return pc.binary_join(parts, "")
+
+        for batch in batches:
+            for part in slices(batch, _SLICE_IDS):
+                yield rendered(part)
 
     return render
 

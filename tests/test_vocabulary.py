@@ -204,3 +204,17 @@ def test_a_small_vocabulary_keeps_the_alphabet(spark):
     words = spark.createDataFrame([("abcdef", 3), ("xyz", 2)], "word string, n bigint")
     tokens = {r["token"] for r in wp.train_wordpiece(words, vocab_size=9).collect()}
     assert set("abcdefxyz") <= tokens
+
+
+def test_batches_are_cut_by_size(spark, monkeypatch):
+    """Rows of a batch are worked on a bounded number of words at a time, whatever a batch holds."""
+    import pyarrow as pa
+
+    from corpusflow.functions.tokens import slices
+
+    words = pa.array([["a"] * n if n is not None else None for n in (3, 0, None, 4, 9, 2, 2, 2)])
+    cut = list(slices(words, 5))
+    assert [len(s) for s in cut] == [3, 1, 1, 2, 1] and pa.concat_arrays(cut).equals(words)
+    texts = pa.array(["éa", None, "", "abcdef", "b"])
+    assert [s.to_pylist() for s in slices(texts, 4)] == [["éa", None, ""], ["abcdef"], ["b"]]
+    assert not list(slices(texts.slice(0, 0), 4)) and [len(s) for s in slices(texts.slice(3), 7)] == [2]
