@@ -2,10 +2,10 @@
 
 Every paragraph (line) of every document is a set of words and word pairs, hashed to a sparse vector.  A
 logistic regression over the licence families and the class ``unknown`` is trained on notices of the
-families inside ordinary words, and on ordinary paragraphs; the latter are a bounded sample of the corpus
-(``sample_docs`` documents, lowest hashes, whole texts).  A family counts as predicted when its probability
-exceeds a calibrated bound: the one that at most the share ``false_rate`` of ordinary paragraphs held
-out from training exceeds.  A prediction is confirmed when at least ``min_share`` of the word pairs of one
+families inside ordinary words, and on the ordinary paragraphs of the whole corpus but a quarter, which is held out.
+Of many ordinary paragraphs, notices weigh more, so that the families keep their share of the loss.  A family counts
+as predicted when its probability exceeds a calibrated bound: the one that at most the share ``false_rate`` of the
+ordinary paragraphs held out exceeds.  A prediction is confirmed when at least ``min_share`` of the word pairs of one
 of the family's notices occur in the paragraph.
 
 * Null and empty texts have no paragraph.  Paragraphs of any length are read whole, long ones in windows.
@@ -67,6 +67,8 @@ NOTICES = {
 }
 UNKNOWN = "unknown"
 WINDOW = 80  # words read together; half of it is more than the longest notice
+ORDINARY = 6  # ordinary paragraphs to one notice in the loss, if there are so many
+CARRIERS = 200  # ordinary paragraphs whose words stand around the notices to learn from
 FAMILIES = [*sorted(NOTICES), UNKNOWN]
 _NO_WORD = r"[^\p{L}\p{M}\p{N}]+"
 
@@ -107,11 +109,34 @@ def template_share(pairs: Column, notices: list[str]) -> Column:
 
 
 def _featured(rows: DataFrame, width: int) -> DataFrame:
-    rows = rows.withColumn("pairs", F.array_distinct(word_pairs(F.col("words"))))
-    rows = rows.withColumn("terms", F.array_union("words", "pairs"))
+    rows = rows.withColumn("pairs", word_pairs(F.col("words")))
+    rows = rows.withColumn("terms", F.concat("words", "pairs"))  # repeats do not count
     return HashingTF(numFeatures=width, binary=True, inputCol="terms", outputCol="features").transform(rows).drop("terms")
 
 
+def _hits(pairs: Column) -> Column:
+    """The pairs that are in any notice: all that :func:`template_share` looks at."""
+    known = sorted({p for notices in NOTICES.values() for n in notices for p in pairs_of(n)})
+    return F.filter(pairs, lambda p: p.isin(known))
+
+
+def _is_ordinary(hits: Column) -> Column:
+    every = [n for notices in NOTICES.values() for n in notices]
+    return F.when(F.size(hits) == 0, True).otherwise(template_share(hits, every) < 0.5)
+
+
+def _exceeded_by(values: DataFrame, share: float) -> float | None:
+    """The quantile that ``share`` of a stored column of doubles exceeds, between two values in proportion."""
+    n = values.count()
+    if not n:
+        return None
+    place = (n - 1) * (1 - share)
+    low = int(place)
+    name = values.columns[0]
+    most = values.orderBy(F.desc(name)).limit(n - low).orderBy(name).limit(2).collect()
+    return most[0][0] if place == low else (low + 1 - place) * most[0][0] + (place - low) * most[1][0]
+
+
 def _notices_in_prose(ordinary: list[list[str]], copies: int, seed: int) -> list[tuple[float, list[str]]]:
     """Each notice alone and between ordinary words, with a word lost now and then."""
     rng = random.Random(seed)
@@ -127,40 +152,44 @@ def _notices_in_prose(ordinary: list[list[str]], copies: int, seed: int) -> list
 
 
 def scan_licences(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 1000, sample_paragraphs: int = 8000,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     false_rate: float = 0.001, min_share: float = 0.8, copies: int = 60, width: int = 1 << 16, seed: int = 5,
 ) -> DataFrame:
     """(id, paragraph, family, probability, template_share): the confirmed licence paragraphs."""
     spark = docs.sparkSession
     result = f"id {docs.schema[id_col].dataType.simpleString()}, paragraph int, family string, probability double, template_share double"
     draw = F.xxhash64(F.col(id_col).cast("string"), F.length(text_col), F.lit(seed))
-    drawn = docs.where(F.length(text_col) > 0).select(F.col(id_col), F.col(text_col), draw.alias("draw")).orderBy("draw").limit(sample_docs)
-    sample = paragraphs(drawn, id_col, text_col, F.col("draw")).orderBy(F.xxhash64("draw", "paragraph", "words"), "draw", "paragraph").limit(sample_paragraphs)
-    sample = sample.withColumn("pairs", word_pairs(F.col("words")))
-    every = [n for notices in NOTICES.values() for n in notices]
-    ordinary = materialise(sample.where(template_share(F.col("pairs"), every) < 0.5).select("draw", "paragraph", "words"), "ordinary")
-    fold = F.pmod(F.xxhash64("draw", "paragraph", F.lit(seed)), F.lit(4))
-    some = [r["words"] for r in ordinary.orderBy("draw", "paragraph", "words").limit(200).collect()]
-    if not some:
+    rows = _featured(paragraphs(docs, id_col, text_col, row_key(id_col, text_col).alias("key"), draw.alias("draw")), width)
+    rows = rows.select("id", "key", "draw", "paragraph", _hits(F.col("pairs")).alias("hits"), "features")
+    # every paragraph's numbers are made once: training, calibration and prediction read this table
+    rows = materialise(rows.withColumn("ordinary", _is_ordinary(F.col("hits"))), "paragraphs")
+    ordinary = rows.where("ordinary")
+    first = ordinary.select("draw", "paragraph").orderBy("draw", "paragraph").limit(CARRIERS).agg(F.max("draw")).first()[0]
+    if first is None:
         return spark.createDataFrame([], result)
-    notices = spark.createDataFrame(_notices_in_prose(some, copies, seed), "label double, words array<string>")
-    plain = ordinary.where(fold > 0).select(F.lit(float(FAMILIES.index(UNKNOWN))).alias("label"), "words")
-    training = materialise(_featured(notices.unionByName(plain), width).select("label", "features"), "training")
-    model = LogisticRegression(maxIter=60, regParam=1e-4, family="multinomial", probabilityCol="probabilities").fit(training)
+    carriers = paragraphs(docs.where(draw <= first), id_col, text_col, draw.alias("draw"))
+    carriers = carriers.where(_is_ordinary(_hits(word_pairs(F.col("words")))))
+    some = [r["words"] for r in carriers.orderBy("draw", "paragraph", "words").limit(CARRIERS).collect()]
+    fold = F.pmod(F.xxhash64("draw", "paragraph", F.lit(seed)), F.lit(4))
+    plain = ordinary.where(fold > 0).select(F.lit(float(FAMILIES.index(UNKNOWN))).alias("label"), F.lit(1.0).alias("weight"), "features")
+    made = _notices_in_prose(some, copies, seed)
+    weight = max(1.0, plain.count() / (ORDINARY * len(made)))
+    notices = _featured(spark.createDataFrame(made, "label double, words array<string>"), width)
+    training = notices.select("label", F.lit(weight).alias("weight"), "features").unionByName(plain)
+    model = LogisticRegression(maxIter=60, regParam=1e-4, family="multinomial", probabilityCol="probabilities", weightCol="weight").fit(training)
 
     def predicted(rows: DataFrame) -> DataFrame:
-        scored = model.transform(_featured(rows, width)).withColumn("p", F.slice(vector_to_array("probabilities"), 1, len(FAMILIES) - 1))
+        scored = model.transform(rows).withColumn("p", F.slice(vector_to_array("probabilities"), 1, len(FAMILIES) - 1))
         scored = scored.withColumn("probability", F.array_max("p"))
         names = F.array(*[F.lit(f) for f in FAMILIES[:-1]])
         return scored.withColumn("family", F.get(names, F.array_position("p", F.col("probability")).cast("int") - 1))
 
-    held = predicted(ordinary.where(fold == 0)).select("probability")
-    bound = held.agg(F.percentile("probability", 1 - false_rate)).first()[0]
+    bound = _exceeded_by(materialise(predicted(ordinary.where(fold == 0)).select("probability"), "held"), false_rate)
     bound = 0.5 if bound is None else bound  # too few paragraphs to hold any out
-    likely = predicted(paragraphs(docs, id_col, text_col, row_key(id_col, text_col).alias("key"))).where(F.col("probability") > bound)
+    likely = predicted(rows).where(F.col("probability") > bound)
     share = F.lit(None).cast("double")
     for family, own in NOTICES.items():
-        share = F.when(F.col("family") == family, template_share(F.col("pairs"), own)).otherwise(share)
+        share = F.when(F.col("family") == family, template_share(F.col("hits"), own)).otherwise(share)
     found = likely.withColumn("template_share", share).where(F.col("template_share") >= min_share)
     best = found.groupBy("id", "key", "paragraph").agg(F.max(F.struct("probability", "template_share", "family")).alias("best"))
     return best.select("id", "paragraph", "best.family", "best.probability", "best.template_share")

@@ -110,6 +110,33 @@ def test_licence_paragraphs(spark):
     assert scan_licences(docs.limit(0)).count() == 0
 
 
+def test_licence_model_sees_every_document(spark, monkeypatch):
+    """Ordinary paragraphs of all 1,500 documents reach training or calibration, each once."""
+    from pyspark.ml.classification import LogisticRegression
+
+    from corpusflow.llm import licences
+
+    seen = {}
+    fit, bound = LogisticRegression.fit, licences._exceeded_by
+    monkeypatch.setattr(LogisticRegression, "fit", lambda self, rows: (seen.update(plain=rows.where("label = 8").count()), fit(self, rows))[1])
+    monkeypatch.setattr(licences, "_exceeded_by", lambda values, share: (seen.update(held=values.count()), bound(values, share))[1])
+    rows = [(i, "\n".join(f"w{i} w{i * k % 97} w{k}" for k in range(8))) for i in range(1500)]
+    docs = spark.createDataFrame([*rows, (5000, "Released under the MIT License.")], "doc_id bigint, text string")
+    assert [(r["id"], r["family"]) for r in scan_licences(docs, copies=5).collect()] == [(5000, "mit")]
+    assert seen["plain"] + seen["held"] == 1500 * 8 and seen["held"] > 2000
+
+
+def test_licence_bound_is_the_quantile(spark):
+    from corpusflow.llm.licences import _exceeded_by
+
+    rng = random.Random(3)
+    values = [rng.random() for _ in range(1501)]
+    df = spark.createDataFrame([(v,) for v in values], "p double")
+    for share in (0.001, 0.1, 0.0004, 0.5):
+        assert abs(_exceeded_by(df, share) - np.quantile(values, 1 - share)) < 1e-12
+    assert _exceeded_by(df.limit(0), 0.1) is None and _exceeded_by(df.where(f"p = {max(values)!r}"), 0.001) == max(values)
+
+
 def test_licence_query_equals_templates(spark, sf_dir):
     found = {(r["doc_id"], r["paragraph"]) for r in QUERIES["op5_licence_paragraphs"](spark, sf_dir).collect()}
     notices = [set(pairs_of(n)) for group in NOTICES.values() for n in group]
