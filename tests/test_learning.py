@@ -238,3 +238,22 @@ def test_word_vectors_are_learned_in_many_tasks(spark):
     model = fe.fit_word_average(df, size=4, chars_per_part=2000).stages[-1]
     assert 1 < model.getNumPartitions() <= spark.sparkContext.defaultParallelism
     assert model.getVectors().count() == 14 and fe.fit_word_average(df, size=4).stages[-1].getNumPartitions() == 1
+
+
+def test_weights_move_only_repeated_ids(spark):
+    """Equal to the weights by joins, with ids that repeat or are null; rows of other ids are not shuffled."""
+    rows = [(i, f"alpha beta{i % 3} gamma gamma w{i}") for i in range(30)]
+    rows += [(3, "beta0 delta"), (3, "alpha"), (None, "gamma eta"), (None, "eta"), (50, None), (51, ""), (52, "the x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+
+    def weights(found):
+        return {(r["doc_id"], r["term"]): r["weight"] for r in found.collect()}
+
+    for n in (1, 4, 100):
+        mine, joined = (weights(f(df, n, "text", "doc_id", ["the"])) for f in (fe.tfidf_rows, fe._tfidf_by_join))
+        assert mine.keys() == joined.keys() and all(abs(mine[k] - joined[k]) < 1e-9 for k in mine)
+    assert fe.tfidf_rows(df.limit(0)).count() == 0 and fe.tfidf_rows(df.where("doc_id = 51")).columns == ["doc_id", "term", "weight"]
+    alone = fe.tfidf_rows(df.where("doc_id between 4 and 40"), 100)
+    plan = alone._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan.split("Union")[1].split("Project")[0] and plan.count("Window [") <= 1
+    assert alone.count() == 26 * 4
