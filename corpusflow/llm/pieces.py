@@ -17,18 +17,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
-from typing import TYPE_CHECKING
 
 import numpy as np
-from pyspark.sql import DataFrame
-from pyspark.sql.types import BinaryType, DataType, StringType, StructField, StructType
-
-if TYPE_CHECKING:
-    import pyarrow as pa
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 MARK = "▁"
 TABLE_CHUNKS = 300_000
 SLICE_ROWS = 100
+GROUP = 64  # chunks that the library segments as one text
 
 
 def load_model(path: str) -> bytes:
@@ -66,20 +63,23 @@ class ChunkTable:
         self.known: dict[str, bytes] = {}
 
     def _segment(self, chunks: list[str]) -> None:
-        """Add chunks to the table.  Those with one marker go through the library as one text: each has one
-        piece that starts with the marker, its first, so the ids come apart again there."""
-        plain = [c for c in chunks if not c.startswith(MARK * 2) and len(c) > 1]
-        # the library puts the first marker back
-        ids = np.asarray(self.sp.encode("".join(plain)[1:]) if plain else [], np.int64)
+        """Add chunks to the table.  Those with one marker go through the library some GROUP at a time as one text (its work
+        on a text grows faster than the text): each has one piece that starts with the marker, its first, so the ids
+        come apart again there."""
+        plain = [c for c in chunks if len(c) > 1 and c[1] != MARK]
+        found: list[int] = []
+        for at in range(0, len(plain), GROUP):
+            found += self.sp.encode("".join(plain[at : at + GROUP])[1:])  # the library puts the first marker back
+        ids = np.asarray(found, np.int64)
         data, width = ids.astype(self.kind).tobytes(), np.dtype(self.kind).itemsize
         ends = [*(np.flatnonzero(self.starts[ids]) * width).tolist(), len(data)]
-        for chunk, begin, end in zip(plain, ends[:-1], ends[1:], strict=True):
-            self.known[chunk] = data[begin:end]
-        for chunk in chunks:
-            if chunk.startswith(MARK * 2):
-                self.known[chunk] = np.asarray(self.sp.encode(chunk[1:]), self.kind).tobytes()
-            elif chunk == MARK:  # one piece in a text, but nothing when encoded alone
-                self.known[chunk] = np.asarray([self.sp.piece_to_id(MARK)], self.kind).tobytes()
+        if len(ends) != len(plain) + 1:
+            raise ValueError("the ids do not come apart at the chunks")
+        self.known.update(zip(plain, map(data.__getitem__, map(slice, ends[:-1], ends[1:])), strict=True))
+        for chunk in (c for c in chunks if len(c) == 1 or c[1] == MARK):
+            # a marker alone is one piece in a text, but nothing when encoded alone
+            ids = [self.sp.piece_to_id(MARK)] if chunk == MARK else self.sp.encode(chunk[1:])
+            self.known[chunk] = np.asarray(ids, self.kind).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.cut.findall(MARK + text.replace(" ", MARK)) if text else [] for text in texts]
@@ -90,22 +90,21 @@ class ChunkTable:
         return [b"".join(map(self.known.__getitem__, chunks)) for chunks in cut]
 
 
-def _with_column(df: DataFrame, name: str, kind: DataType, source: str, start: Callable[[], Callable[[list], Iterable]]) -> DataFrame:
-    """``df`` with a column made from ``source`` in slices of SLICE_ROWS rows, which bounds a task's memory."""
-    kept = [c for c in df.columns if c != name]
-    schema = StructType([*[df.schema[c] for c in kept], StructField(name, kind)])
+def _with_column(df: DataFrame, name: str, kind: str, source: str, start: Callable[[], Callable[[list], Iterable]]) -> DataFrame:
+    """``df`` with a column made from ``source`` in slices of SLICE_ROWS rows, which bounds a task's memory.
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow as pa
+    Only ``source`` goes to the Python workers and only the new column comes back.
+    """
 
-        make, arrow_kind = start(), pa.binary() if isinstance(kind, BinaryType) else pa.string()
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
-                new = pa.array(make(part.column(source).to_pylist()), arrow_kind)
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], new], [*kept, name])
+    def add(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        make, arrow_kind = start(), pa.binary() if kind == "binary" else pa.string()
+        for part in parts:
+            for at in range(0, max(len(part), 1), SLICE_ROWS):
+                yield pa.array(make(part.slice(at, SLICE_ROWS).to_pylist()), arrow_kind)
 
-    return df.mapInArrow(add, schema)
+    kept = [F.col(f"`{c}`") for c in df.columns if c != name]
+    made = F.arrow_udf(add, kind).asNondeterministic()  # made once, whatever is done with the column
+    return df.select(*kept, made(F.col(f"`{source}`")).alias(name))
 
 
 def encode_texts(
@@ -119,7 +118,7 @@ def encode_texts(
         last = np.asarray([table.sp.eos_id()], table.kind).tobytes() if end else b""
         return lambda texts: [first + ids + last for ids in table.encode([t or "" for t in texts])]
 
-    return _with_column(docs, ids_col, BinaryType(), text_col, start)
+    return _with_column(docs, ids_col, "binary", text_col, start)
 
 
 def decode_ids(rows: DataFrame, model: bytes, ids_col: str = "ids", text_col: str = "decoded", width: int = 4) -> DataFrame:
@@ -129,4 +128,4 @@ def decode_ids(rows: DataFrame, model: bytes, ids_col: str = "ids", text_col: st
         sp = _processor(model)
         return lambda all_ids: [None if x is None else sp.decode(np.frombuffer(x, f"<u{width}").tolist()) for x in all_ids]
 
-    return _with_column(rows, text_col, StringType(), ids_col, start)
+    return _with_column(rows, text_col, "string", ids_col, start)

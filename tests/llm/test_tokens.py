@@ -45,6 +45,24 @@ def test_chunks_equal_whole_texts(library, monkeypatch):
     assert [numbers(x) for x in found] == [library.encode(t) for t in texts]
 
 
+def test_chunks_reach_the_library_in_short_texts(library):
+    """Its work on a text grows faster than the text."""
+    table, lengths = pieces.ChunkTable(piece_model(), 4), []
+
+    class Counted:
+        def __getattr__(self, name):
+            return getattr(library, name)
+
+        def encode(self, text):
+            lengths.append(len(text))
+            return library.encode(text)
+
+    table.sp = Counted()
+    texts = [" ".join(f"w{i}x{k}" for k in range(200)) for i in range(100)]
+    assert [numbers(x) for x in table.encode(texts)] == [library.encode(t) for t in texts]
+    assert max(lengths) < 2_000
+
+
 def test_odd_rows(odd, library):
     model = piece_model()
     both = pieces.decode_ids(pieces.encode_texts(odd, model, begin=True, end=True), model)
