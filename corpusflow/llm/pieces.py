@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from corpusflow.session import bound_batches
+
 MARK = "▁"
 TABLE_CHUNKS = 300_000
 SLICE_ROWS = 100
@@ -102,6 +104,7 @@ def _with_column(df: DataFrame, name: str, kind: str, source: str, start: Callab
             for at in range(0, max(len(part), 1), SLICE_ROWS):
                 yield pa.array(make(part.slice(at, SLICE_ROWS).to_pylist()), arrow_kind)
 
+    bound_batches(df.sparkSession)
     kept = [F.col(f"`{c}`") for c in df.columns if c != name]
     made = F.arrow_udf(add, kind).asNondeterministic()  # made once, whatever is done with the column
     return df.select(*kept, made(F.col(f"`{source}`")).alias(name))

@@ -24,17 +24,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from typing import TYPE_CHECKING
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from corpusflow.session import materialise
-
-if TYPE_CHECKING:
-    import pyarrow as pa
+from corpusflow.session import bound_batches, materialise
 
 OUT = ["toxic_ll", "ordinary_ll", "favours_toxic", "favours_ordinary"]
 
@@ -123,29 +119,25 @@ def fit(docs: DataFrame, sample: DataFrame, text_col: str, discount: float, marg
     return Model(known["w"].to_numpy(np.int64), p, level, margin)
 
 
-def measured(rows: DataFrame, model: Model, codes_col: str = "codes") -> DataFrame:
-    """``rows`` with the measures of the model in place of the word codes."""
-    kept = [c for c in rows.columns if c != codes_col]
-    carried = rows.sparkSession.sparkContext.broadcast(vars(model))  # plain arrays: workers need not have this package
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow as pa
+def measures(spark: SparkSession, codes: Column, model: Model) -> Column:
+    """The struct of the measures of a column of word codes.  Nothing but the codes goes to the Python workers."""
+    bound_batches(spark)
+    carried = spark.sparkContext.broadcast(vars(model))  # plain arrays: workers need not have this package
 
+    def measure(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Model(**carried.value)
-        for batch in batches:
-            codes = batch.column(codes_col)
-            flat, ends = codes.values.to_numpy(zero_copy_only=False), codes.offsets.to_numpy()
+        for part in parts:
+            flat, ends = part.values.to_numpy(zero_copy_only=False), part.offsets.to_numpy()
             found = [own.measures(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            columns = [pa.array([f[i] for f in found], pa.float64()) for i in range(4)]
-            counts = pa.array(np.diff(ends), pa.int64())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *columns, counts], [*kept, *OUT, "n_words"])
+            yield pa.StructArray.from_arrays([pa.array([f[i] for f in found], pa.float64()) for i in range(len(OUT))], OUT)
 
-    schema = StructType([*[rows.schema[c] for c in kept], *[StructField(c, DoubleType()) for c in OUT], StructField("n_words", LongType())])
-    return rows.mapInArrow(measure, schema)
+    kind = ", ".join(f"{c} double" for c in OUT)
+    # else the rows of a filter on a score would be measured for the filter, and again for the result
+    return F.arrow_udf(measure, kind).asNondeterministic()(codes)
 
 
-def features() -> list[Column]:
-    return [F.col("toxic_ll") - F.col("ordinary_ll"), F.col("favours_toxic"), F.col("favours_ordinary")]
+def features(found: Column) -> list[Column]:
+    return [found["toxic_ll"] - found["ordinary_ll"], found["favours_toxic"], found["favours_ordinary"]]
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, odds: float, ridge: float = 1.0) -> np.ndarray:
@@ -170,17 +162,23 @@ def score_toxicity(
 ) -> DataFrame:
     """``docs`` with held_out, score (0 to 1), predicted and the mean log-likelihoods toxic_ll and ordinary_ll."""
     names = ["held_out", "score", "predicted", "toxic_ll", "ordinary_ll"]
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in names])
-    out = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in names]
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
     drawn = labelled_sample(docs, labels, id_col, text_col, label_col, sample_docs, sample_chars)
     model = drawn and fit(docs, drawn[0].where("fold > 0"), text_col, discount, margin)
     if not model:
         zero = [F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(0.0).alias("toxic_ll"), F.lit(0.0).alias("ordinary_ll")]
-        return docs.select(row.alias("row"), held_out(id_col).alias("held_out")).select(*out, "held_out", *zero)
-    seen = measured(drawn[0].where("fold = 0").select("toxic", "codes"), model)
-    tried = seen.select("toxic", *[f.alias(f"x{i}") for i, f in enumerate(features())]).toPandas()
+        return docs.select(*kept, held_out(id_col).alias("held_out"), *zero)
+    seen = drawn[0].where("fold = 0").select("toxic", measures(docs.sparkSession, F.col("codes"), model).alias("found"))
+    tried = seen.select("toxic", *[f.alias(f"x{i}") for i, f in enumerate(features(F.col("found")))]).toPandas()
     weights = calibrate(tried[["x0", "x1", "x2"]].to_numpy(float), tried["toxic"].to_numpy(float), drawn[1])
-    rows = docs.select(row.alias("row"), held_out(id_col).alias("held_out"), word_codes(F.col(text_col)).alias("codes"))
-    z = sum((f * float(w) for f, w in zip(features(), weights, strict=False)), F.lit(float(weights[3])))
-    scored = measured(rows, model).withColumn("score", 1 / (1 + F.exp(-z)))
-    return scored.select(*out, "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "toxic_ll", "ordinary_ll")
+    free = "found"
+    while free in {c.lower() for c in docs.columns}:
+        free += "_"
+    rows = docs.select(*kept, held_out(id_col).alias("held_out"), measures(docs.sparkSession, word_codes(F.col(text_col)), model).alias(free))
+    found = F.col(free)
+    z = sum((f * float(w) for f, w in zip(features(found), weights, strict=False)), F.lit(float(weights[3])))
+    score = 1 / (1 + F.exp(-z))
+    return rows.select(
+        *kept, "held_out", score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), found["toxic_ll"].alias("toxic_ll"),
+        found["ordinary_ll"].alias("ordinary_ll"),
+    )

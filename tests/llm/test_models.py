@@ -1,6 +1,7 @@
 """Toxicity, licences, nearest neighbours and the pipeline: held-out accuracy, brute force, odd rows."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -51,6 +52,16 @@ def test_toxicity_on_the_held_out_fold(spoken):
     assert by_id[700]["score"] == by_id[701]["score"]
 
 
+def test_toxicity_texts_stay_in_the_jvm(spoken):
+    """Only word codes go to the Python workers, once, also when the scores are filtered."""
+    docs, labels = spoken
+    scored = score_toxicity(docs.withColumn("found", F.lit(1)), labels)
+    assert scored.columns[:4] == ["doc_id", "text", "codes", "found"]
+    plan = scored.where("predicted = 0").select("text", "score")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and len(re.findall(r"ArrowEvalPython \[", plan)) <= 1
+    assert scored.where("predicted = 1").count() == score_toxicity(docs, labels).where("predicted = 1").count() > 0
+
+
 def test_toxicity_learns_nothing_from_the_held_out_fold(spoken):
     docs, labels = spoken
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0

@@ -63,6 +63,18 @@ def test_chunks_reach_the_library_in_short_texts(library):
     assert max(lengths) < 2_000
 
 
+def test_batches_of_texts_are_bounded(spark, odd):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    kept = spark.conf.get(name)
+    try:
+        for given, bound in (("67108864b", "8m"), ("64m", "8m"), ("512k", "512k"), ("1000", "1000")):
+            spark.conf.set(name, given)
+            pieces.encode_texts(odd, piece_model())
+            assert spark.conf.get(name) == bound
+    finally:
+        spark.conf.set(name, kept)
+
+
 def test_odd_rows(odd, library):
     model = piece_model()
     both = pieces.decode_ids(pieces.encode_texts(odd, model, begin=True, end=True), model)
