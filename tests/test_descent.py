@@ -6,7 +6,8 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from corpusflow.operators import models as mo
-from corpusflow.operators.descent import Fit, advance, load_fits, save_fits, sparse_rows
+from corpusflow.operators import descent
+from corpusflow.operators.descent import Fit, advance, blocks_of, load_fits, packed, save_fits, sparse_rows
 from corpusflow.session import materialise
 
 COLUMNS = 9
@@ -99,3 +100,18 @@ def test_rows_without_entries_and_no_steps(spark):
     assert abs(fits["m"].model(spark).intercept - 2.0) < 1e-6
     with pytest.raises(ValueError):
         advance(sparse(rows), {"m": Fit("softmax", 100, 1_000_000, 2)}, 1)
+
+
+def test_blocks_hold_every_row(spark, monkeypatch):
+    """A row without entries, one longer than a block, and models mixed in one batch; numbers travel as bytes."""
+    monkeypatch.setattr(descent, "ENTRIES", 5)
+    given = [("ab"[i % 2], float(i), list(range(n)), [i + 0.5 * k for k in range(n)]) for i, n in enumerate([0, 3, 2, 9, 0, 1, 4, 4, 0])]
+    rows = spark.createDataFrame(given, "model string, label double, indices array<int>, values array<double>").coalesce(1)
+    blocks = packed(rows)
+    assert {kind for name, kind in blocks.dtypes if name != "model"} == {"binary"}
+    found = []
+    for model, label, place, at, x in blocks_of(blocks.toArrow().to_batches()):
+        assert len(at) <= 5 or len(label) == 1
+        found += [(model, y, at[place == i].tolist(), x[place == i].tolist()) for i, y in enumerate(label)]
+    assert sorted(found) == sorted(given)
+    assert packed(rows.limit(0)).count() == 0
