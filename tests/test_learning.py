@@ -257,3 +257,17 @@ def test_weights_move_only_repeated_ids(spark):
     plan = alone._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan.split("Union")[1].split("Project")[0] and plan.count("Window [") <= 1
     assert alone.count() == 26 * 4
+
+
+def test_examples_of_the_tasks_asked_for(spark, tmp_path):
+    """The tables of other tasks are not written; the rows of a task are the same either way."""
+    docs = [(i, f"text {i} " * (1 + i % 4), "en" if i % 2 else "fr", 9) for i in range(40)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    said = [(i // 4, i % 4, "user", f"turn {i} " * (1 + 40 * (i % 3))) for i in range(60)]
+    spark.createDataFrame(said, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    every = examples(spark, str(tmp_path))
+    for asked in (("mnli", "ax"), ("cola", "stsb")):
+        some = examples(spark, str(tmp_path), asked)
+        assert {r["task"] for r in some.select("task").distinct().collect()} == set(asked)
+        same = every.where(F.col("task").isin(list(asked))).select(*some.columns)
+        assert some.count() == same.count() > 0 and some.exceptAll(same).count() == 0
