@@ -4,8 +4,8 @@ The graph starts from small blocks: vectors on the same side of a few random pla
 several times over with other planes.  Each round of NN-descent then joins every node's neighbours (its own
 and a bounded number of those that have it as neighbour) with their vectors, compares neighbours of the
 same node, at least one of them new, and keeps the best of every node, until few lists change.  A query
-walks the graph with a beam: the nearest nodes not yet visited are joined with their adjacency, the nodes
-found are scored, and the beam is full when none of it is left to visit.  Graph and beam work on
+walks the graph with a beam: in every step the nodes reached are joined with their vectors and adjacency and scored, and
+those among the nearest of all so far lead on; the walk ends when none of them leads to a node not scored yet.  Graph and beam work on
 half-precision unit vectors; the nodes of the last beam are scored exactly, in double precision.
 
 * Rows without id and vectors that are null, empty, zero, or hold null or non-finite components take no
@@ -27,12 +27,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusflow.llm.common import skew_join
-from corpusflow.session import materialise
+from corpusflow.session import bound_batches, materialise
 
 if TYPE_CHECKING:
     import pyarrow as pa
 
 LIST = "node bigint, ids array<bigint>, sims array<float>"
+GRAPH = "node bigint, code binary, ids array<bigint>, sims array<float>, fresh array<boolean>"
 
 
 def _valid(vector: Column) -> Column:
@@ -144,7 +145,7 @@ def _merge(k: int):
         import pyarrow as pa
 
         for batch in batches:
-            rows = batch.to_pydict()
+            rows = batch.drop_columns("code").to_pydict()
             out = []
             for node, old, found, sims in zip(rows["node"], rows["old"], rows["ids"], rows["sims"], strict=True):
                 best = best_of([i for x in found for i in x], [s for x in sims for s in x], k)
@@ -152,8 +153,8 @@ def _merge(k: int):
                 out.append((node, [i for _, i in best], [s for s, _ in best], [i not in known for _, i in best]))
             node, ids, sims, fresh = zip(*out, strict=True) if out else ([], [], [], [])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(node, pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(sims, pa.list_(pa.float32())), pa.array(fresh, pa.list_(pa.bool_()))],
-                ["node", "ids", "sims", "fresh"],
+                [pa.array(node, pa.int64()), batch.column("code"), pa.array(ids, pa.list_(pa.int64())), pa.array(sims, pa.list_(pa.float32())), pa.array(fresh, pa.list_(pa.bool_()))],
+                ["node", "code", "ids", "sims", "fresh"],
             )
 
     return merge
@@ -186,7 +187,7 @@ def _join_lists(k: int):
 def build_graph(
     nodes: DataFrame, k: int = 20, block: int = 256, starts: int = 8, rounds: int = 6, settled: float = 0.02, seed: int = 11
 ) -> tuple[DataFrame, DataFrame]:
-    """(codes, graph): (node, code) and (node, ids, sims), the ``k`` nearest found of every node, nearest first.
+    """(codes, graph): (node, code) and (node, code, ids, sims), the ``k`` nearest found of every node, nearest first.
 
     Ends when less than the share ``settled`` of all list entries is new in a round, or after ``rounds``.
     """
@@ -194,7 +195,7 @@ def build_graph(
     total = codes.count()
     first = codes.first()
     if first is None:
-        return codes, codes.sparkSession.createDataFrame([], LIST)
+        return codes, codes.sparkSession.createDataFrame([], GRAPH).drop("fresh")
     dims = len(first["code"]) // 2
     rng = np.random.default_rng(seed)
     bits = max(0, int(np.log2(max(1, total / block))))
@@ -206,12 +207,11 @@ def build_graph(
     part = F.pmod(F.xxhash64("node", "start"), F.ceil(F.col("n") / block))
     blocks = sized.select(F.xxhash64("start", "cell", part).alias("block"), "node", "code").repartition("block").sortWithinPartitions("block")
     lists = blocks.mapInArrow(_block_lists(k), LIST)
-    kinds = "node bigint, ids array<bigint>, sims array<float>, fresh array<boolean>"
     gathered = lists.groupBy("node").agg(F.collect_list("ids").alias("ids"), F.collect_list("sims").alias("sims"))
-    gathered = codes.select("node").join(gathered, "node", "left").withColumn("old", F.lit(None).cast("array<bigint>"))
+    gathered = codes.join(gathered, "node", "left").withColumn("old", F.lit(None).cast("array<bigint>"))
     empty = F.array().cast("array<array<bigint>>"), F.array().cast("array<array<float>>")
-    gathered = gathered.select("node", "old", F.coalesce("ids", empty[0]).alias("ids"), F.coalesce("sims", empty[1]).alias("sims"))
-    graph = materialise(gathered.mapInArrow(_merge(k), kinds), "graph")
+    gathered = gathered.select("node", "code", "old", F.coalesce("ids", empty[0]).alias("ids"), F.coalesce("sims", empty[1]).alias("sims"))
+    graph = materialise(gathered.mapInArrow(_merge(k), GRAPH), "graph")
     for _ in range(rounds):
         new = graph.agg(F.sum(F.size(F.filter("fresh", lambda f: f)))).first()[0] or 0
         if new <= settled * total * k:
@@ -222,84 +222,83 @@ def build_graph(
         back = back.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= k).drop("place")
         members = out.unionByName(back).groupBy("centre", "node").agg(F.max("fresh").alias("fresh"))
         worst = F.when(F.size("sims") < k, -2.0).otherwise(F.element_at("sims", -1)).cast("float").alias("worst")
-        known = codes.join(graph.select("node", worst), "node")
-        local = members.join(known, "node").repartition("centre").sortWithinPartitions("centre")
+        local = members.join(graph.select("node", "code", worst), "node").repartition("centre").sortWithinPartitions("centre")
         better = local.mapInArrow(_join_lists(k), LIST).groupBy("node").agg(F.collect_list("ids").alias("ids"), F.collect_list("sims").alias("sims"))
-        merged = graph.select("node", F.col("ids").alias("old"), F.col("sims").alias("old_sims")).join(better, "node", "left")
+        merged = graph.select("node", "code", F.col("ids").alias("old"), F.col("sims").alias("old_sims")).join(better, "node", "left")
         merged = merged.select(
-            "node", "old",
+            "node", "code", "old",
             F.concat(F.array("old"), F.coalesce("ids", empty[0])).alias("ids"), F.concat(F.array("old_sims"), F.coalesce("sims", empty[1])).alias("sims"),
         )
-        graph = materialise(merged.mapInArrow(_merge(k), kinds), "graph")
+        graph = materialise(merged.mapInArrow(_merge(k), GRAPH), "graph")
     return codes, graph.drop("fresh")
 
 
-STATE = "query bigint, code binary, ids array<bigint>, sims array<float>, open array<bigint>, seen array<bigint>"
+STATE = "query bigint, code binary, ids array<bigint>, sims array<float>, seen array<bigint>, open array<bigint>"
 
 
-def _visit(beam: int, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Score the nodes a query has reached and choose the next to visit."""
+def _ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The nodes that a node leads to, as bytes."""
+    import pyarrow as pa
+
+    for batch in batches:
+        ways = [way.values.to_numpy().astype("<i8").tobytes() for way in batch.column("next")]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("code"), pa.array(ways, pa.binary())], ["node", "code", "way"])
+
+
+def _visit(beam: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Score the nodes a query has reached and walk on from those that come into its beam."""
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow as pa
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                rows = batch.slice(at, 200).to_pydict()
-                out = []
-                for query, code, ids, sims, visited, seen, found, found_codes in zip(
-                    *(rows[c] for c in ("query", "code", "ids", "sims", "visited", "seen", "found", "codes")), strict=True
-                ):
-                    known = set(seen)
-                    new = [i for i, n in enumerate(found or ()) if n not in known]
-                    if new:
-                        scores = _matrix([found_codes[i] for i in new]) @ _matrix([code])[0]
-                        ids, sims = ids + [found[i] for i in new], sims + scores.tolist()
-                    best = best_of(ids, sims, beam)
-                    done = set(visited)
-                    todo = [i for _, i in best if i not in done][:width]
-                    out.append((query, code, [i for _, i in best], [s for s, _ in best], todo, sorted(known | {found[i] for i in new}), sorted(done | set(todo))))
-                columns = list(zip(*out, strict=True))
-                longs = pa.list_(pa.int64())
-                kinds = [pa.int64(), pa.binary(), longs, pa.list_(pa.float32()), longs, longs, longs]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["query", "code", "ids", "sims", "open", "seen", "visited"]
-                )
+            out = []
+            for query, code, *lists, found in zip(*(batch.column(c) for c in ("query", "code", "ids", "sims", "seen", "found")), strict=True):
+                ids, sims, seen = (x.values.to_numpy() for x in lists)
+                around = np.zeros(0, np.int64)
+                if found.is_valid:
+                    node, codes, ways = (found.values.field(c) for c in ("node", "c", "way"))
+                    held, scores = len(ids), _matrix(codes.to_pylist()) @ _matrix([code.as_py()])[0]
+                    ids, sims = np.concatenate([ids, node.to_numpy()]), np.concatenate([sims, scores])
+                    best = np.lexsort((ids, -sims))[:beam]
+                    seen = np.union1d(seen, node.to_numpy())
+                    come = ways.take(pa.array(best[best >= held] - held)).to_pylist()
+                    around = np.setdiff1d(np.frombuffer(b"".join(come), "<i8"), seen)
+                    ids, sims = ids[best], sims[best]
+                out.append((query.as_py(), code.as_py(), ids, sims, seen, around))
+            longs = pa.list_(pa.int64())
+            kinds = [pa.int64(), pa.binary(), longs, pa.list_(pa.float32()), longs, longs]
+            columns = zip(*out, strict=True) if out else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["query", "code", "ids", "sims", "seen", "open"])
 
     return visit
 
 
-def search_graph(codes: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = 64, width: int = 16, entries: int = 32) -> DataFrame:
+def search_graph(codes: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = 64, entries: int = 32) -> DataFrame:
     """(query, ids): for each of ``queries`` (query, code) the nodes of its last beam.
 
-    A query that is a node of the graph starts at itself, any other at ``entries`` fixed nodes.
+    A query that is a node of the graph starts at itself, any other at ``entries`` fixed nodes.  Each step brings the
+    nodes to score together with the nodes they lead to, so that a step is one join.
     """
     k = graph.select(F.max(F.size("ids"))).first()[0] or 1
     back = graph.select(F.explode("ids").alias("node"), F.col("node").alias("other"))
     nearest = Window.partitionBy("node").orderBy(F.xxhash64("other"))
     back = back.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= k).groupBy("node").agg(F.collect_list("other").alias("back"))
-    roads = graph.select("node", "ids").join(back, "node", "left")
-    roads = materialise(roads.select("node", F.array_union("ids", F.coalesce("back", F.array().cast("array<bigint>"))).alias("next")), "roads")
+    roads = graph.join(back, "node", "left")
+    roads = roads.select("node", "code", F.array_union("ids", F.coalesce("back", F.array().cast("array<bigint>"))).alias("next"))
+    roads = materialise(roads.mapInArrow(_ways, "node bigint, code binary, way binary"), "roads")
     fixed = [r["node"] for r in codes.orderBy(F.xxhash64("node")).limit(entries).select("node").collect()]
     inside = codes.select(F.col("node").alias("query"), F.lit(True).alias("inside"))
     none = F.array().cast("array<bigint>")
     start = F.when(F.col("inside"), F.array("query")).otherwise(F.array(*[F.lit(n) for n in fixed]).cast("array<bigint>"))
     state = queries.join(inside, "query", "left").select(
-        "query", "code", none.alias("ids"), F.array().cast("array<float>").alias("sims"), none.alias("visited"), none.alias("seen"), start.alias("open")
+        "query", "code", none.alias("ids"), F.array().cast("array<float>").alias("sims"), none.alias("seen"), start.alias("open")
     )
-    ended, first = None, True
+    ended = None
     while True:
-        at = state.select("query", F.explode("open").alias("node"))
-        if first:  # the first nodes are scored themselves
-            reached, first = at, False
-        else:
-            around = at.join(roads, "node").groupBy("query").agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("next"))
-            unseen = F.array_except("next", "seen")  # only nodes not scored before are joined with their vectors
-            reached = around.join(state.select("query", "seen"), "query").select("query", F.explode(unseen).alias("node"))
-        found = reached.join(codes.withColumnRenamed("code", "c"), "node").groupBy("query").agg(F.collect_list(F.struct("node", "c")).alias("found"))
-        found = found.select("query", F.col("found.node").alias("found"), F.col("found.c").alias("codes"))
-        moved = state.drop("open").join(found, "query", "left").mapInArrow(_visit(beam, width), STATE + ", visited array<bigint>")
-        state = materialise(moved, "beams")
+        reached = state.select("query", F.explode("open").alias("node"))
+        found = reached.join(roads.withColumnRenamed("code", "c"), "node").groupBy("query").agg(F.collect_list(F.struct("node", "c", "way")).alias("found"))
+        state = materialise(state.drop("open").join(found, "query", "left").mapInArrow(_visit(beam), STATE), "beams")
         over = state.where(F.size("open") == 0).select("query", "ids")
         ended = over if ended is None else ended.unionByName(over)
         state = state.where(F.size("open") > 0)
@@ -314,6 +313,7 @@ def nearest_neighbours(
 
     ``is_query`` is a condition on the column ``id``.
     """
+    bound_batches(vectors.sparkSession)  # rows of a step hold hundreds of vectors
     rows = rows_of(vectors, id_col, vector_col)
     nodes = materialise(rows.groupBy("node").agg(F.first("vector").alias("vector")), "nodes")
     # no query needs more ids of one vector than ``top`` and its own; the limit holds in every task before the shuffle

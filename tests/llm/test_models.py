@@ -200,6 +200,23 @@ def test_nearest_recall(spark, sf_dir):
             assert score == pytest.approx(a @ b / np.sqrt((a @ a) * (b @ b)), abs=1e-12)
 
 
+def test_nearest_needs_few_jobs(spark):
+    """What the driver keeps grows with the jobs: a step of the search is one join, however wide the beam."""
+    rng = np.random.default_rng(2)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((1200, 8)))]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    spark.sparkContext.setJobGroup("nearest", "nearest")
+    try:
+        found = nearest_neighbours(df, F.col("id") % 50 == 0).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("nearest"))
+    asked = brute_nearest(rows, 5, lambda i: i % 50 == 0)
+    got = {(r["query_id"], r["id"]) for r in found}
+    assert sum((q, j) in got for q in asked for j, _ in asked[q]) >= 0.95 * 5 * len(asked)
+    assert jobs < 150, jobs
+
+
 def test_pipeline_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     whole, columns = docs, docs.columns
