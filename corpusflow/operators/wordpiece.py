@@ -23,6 +23,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, functions as F
 
 from corpusflow.operators.vocab import CONTINUATION, SPECIAL_TOKENS, VOCAB_SIZE, vocabulary_from_tokens
@@ -53,6 +54,42 @@ def pair_counts(split: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
+def collected(rows: DataFrame) -> pa.Table:
+    """All rows on the driver, sent as compressed blocks: a row of plain Arrow takes several times the bytes."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sink = pa.BufferOutputStream()
+            pq.write_table(pa.Table.from_batches([batch]), sink, compression="zstd")
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block"])
+
+    blocks = rows.mapInArrow(pack, "block binary").toArrow().column("block")
+    parts = [pq.read_table(pa.BufferReader(block.as_buffer())) for block in blocks]
+    return pa.concat_tables(parts) if parts else rows.limit(0).toArrow()
+
+
+def most_frequent(pairs: DataFrame, max_pairs: int) -> tuple[list[dict], int]:
+    """(pairs, floor): the most frequent pairs, most frequent first, and the count that all others are at or below.
+
+    At most ``max_pairs``, all of a count or none; but the largest count's first ``max_pairs`` and one always.
+    ``pairs`` is read several times.  How many pairs have each count decides, so no task sorts all of them.
+    """
+    sizes = sorted(((row["n"], row["pairs"]) for row in pairs.groupBy("n").agg(F.count(F.lit(1)).alias("pairs")).collect()), reverse=True)
+    held, floor = 0, 0
+    for n, size in sizes:
+        if held + size > max_pairs:
+            floor = n
+            break
+        held += size
+    if sizes and not held:
+        floor = sizes[0][0] - 1
+        hot = pairs.where(F.col("n") > floor).orderBy("a", "b").limit(max_pairs + 1)
+        hot = cut_lineage(hot)  # else every task sends its first ones to the driver
+    else:
+        hot = pairs.where(F.col("n") > floor)
+    return sorted(collected(hot).to_pylist(), key=lambda row: (-row["n"], row["a"], row["b"])), floor
+
+
 def _codes(words: pa.Array, inside: int) -> np.ndarray:
     """The characters of all words as numbers, those inside a word raised by ``inside``."""
     codes = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), "<u4").astype(np.int64)
@@ -295,11 +332,10 @@ def train_wordpiece(
         split = cut_lineage(split.repartition(spark.sparkContext.defaultParallelism))
     while len(tokens) < vocab_size:
         if complete:
-            floor, merger = 0, Merger.of_words(words.toArrow())
+            floor, merger = 0, Merger.of_words(collected(words))
         else:
             # all pairs of one count are hot or none; the first count always is
-            best = pair_counts(split).orderBy(F.desc("n"), "a", "b").limit(max_pairs + 1).collect()
-            floor = best[-1]["n"] if len(best) > max_pairs else 0
+            best, floor = most_frequent(cut_lineage(pair_counts(split)), max_pairs)
             while best:
                 floor = min(floor, best[0]["n"] - 1)
                 hot = [row for row in best if row["n"] > floor]
@@ -309,7 +345,7 @@ def train_wordpiece(
                 floor = hot[len(hot) // 4]["n"]
             if not best:
                 break
-            merger = Merger.of_pieces(table.toArrow())
+            merger = Merger.of_pieces(collected(table))
         merges = merge_rounds_end(merger, tokens, known, vocab_size, max(floor, min_pair_count - 1), complete)
         if not merges or complete:
             break

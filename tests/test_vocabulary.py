@@ -76,6 +76,32 @@ def test_training_on_many_words(spark, sf_dir):
     assert every[:450] == expected and set(by_word) <= set(every)
 
 
+def test_training_sends_few_bytes(spark, monkeypatch):
+    """Words and stretches reach the driver compressed, and the most frequent pairs alone."""
+    counts = spark.range(20_000).select(F.substring(F.md5(F.col("id").cast("string")), 1, 6).alias("word")).groupBy("word").agg(F.count("*").alias("n")).cache()
+    plain, frame, sent = counts.toArrow(), type(counts), []
+    assert sorted(wp.collected(counts).to_pylist(), key=str) == sorted(plain.to_pylist(), key=str)
+    assert wp.collected(counts.limit(0)).num_rows == 0
+    whole, listed = frame.toArrow, frame.collect
+    monkeypatch.setattr(frame, "toArrow", lambda self: (sent.append(table := whole(self)), table)[1])
+    monkeypatch.setattr(frame, "collect", lambda self: (sent.append(rows := listed(self)), rows)[1])
+    for options in ({}, {"max_words": 5_000, "max_pairs": 40}):
+        sent.clear()
+        wp.train_wordpiece(counts, 45, **options)
+        assert sum(x.nbytes for x in sent if not isinstance(x, list)) < 0.5 * plain.nbytes
+        rows = [x for x in sent if isinstance(x, list)]
+        assert not any("a" in x[0].asDict() for x in rows if x)
+
+
+def test_the_most_frequent_pairs(spark):
+    """All pairs of a count or none; of the first count as many as are asked for and one."""
+    pairs = spark.createDataFrame([("a", "b", 5), ("c", "b", 5), ("b", "b", 5), ("d", "e", 3), ("d", "f", 3), ("e", "e", 1)], "a string, b string, n bigint")
+    for most, names, floor in ((1, "ab", 4), (2, "abc", 4), (3, "abc", 3), (4, "abc", 3), (5, "abcdd", 1), (6, "abcdde", 0), (9, "abcdde", 0)):
+        found, bound = wp.most_frequent(pairs, most)
+        assert ("".join(row["a"] for row in found), bound) == (names, floor)
+    assert wp.most_frequent(pairs.limit(0), 3) == ([], 0)
+
+
 def test_training_leaves_rare_pairs(counts):
     tokens = [r["token"] for r in wp.train_wordpiece(counts, 10_000, min_pair_count=3).collect()]
     assert "the" in tokens and "theatre" not in tokens
