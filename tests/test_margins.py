@@ -35,3 +35,35 @@ def test_gradient_is_near_zero(spark, tmp_path, dense):
     stores.save_model(model, str(tmp_path / "svm"))
     with pytest.raises(ValueError):
         fit_squared_hinge(rows.where(F.col("label_id") > 9))
+
+
+def test_gradient_norms_from_the_rows(spark):
+    """Every row counts once, whatever its other columns; rows without entries too."""
+    from corpusflow.catalog.checked import _gradient_norms
+
+    rng = np.random.default_rng(5)
+    x, label = rng.standard_normal((200, 9)) * (rng.random((200, 9)) < 0.3), rng.integers(0, 3, 200)
+    x[:5] = 0.0
+    made = [(int(c), [int(j) for j in np.flatnonzero(r)], [float(v) for v in r[r != 0]]) for r, c in zip(x, label, strict=True)]
+    rows = spark.createDataFrame(made, "label int, indices array<int>, values array<double>").repartition(4)
+    weights, bias = rng.standard_normal((3, 9)), rng.standard_normal(3)
+
+    def pulls(margins, label):
+        shares = np.exp(margins)
+        return shares / shares.sum(axis=1, keepdims=True) - (label[:, None] == np.arange(3))
+
+    found = _gradient_norms(rows, weights, bias, pulls)
+    asked = [pulls(scale * (x @ weights.T + bias), label).T @ x + scale * weights for scale in (1, 0)]
+    assert np.allclose(found, [np.linalg.norm(a, axis=1) for a in asked])
+
+
+def test_vectors_from_stored_counts(spark):
+    """The same vectors as the pipeline's, though the texts are cut into terms for counts only once."""
+    from corpusflow.operators import features as fe
+
+    docs = spark.createDataFrame([(1, "the red cat, the cat"), (2, "a dog"), (2, "a dog and a red cat"), (3, ""), (None, "cat")], "doc_id int, text string")
+    for stops in ([], ["the", "a"], None):
+        asked = fe.add_tfidf(docs, fe.fit_tfidf(docs, 6, stop_words=stops)).drop("text")
+        found = fe.tfidf_vectors(docs, 6, stop_words=stops)
+        assert found.columns == ["doc_id", "features"]
+        assert sorted(map(str, found.collect())) == sorted(map(str, asked.collect()))
