@@ -1,14 +1,15 @@
 """Licence scan: a trained paragraph classifier, confirmed by comparison with templates.
 
-Every paragraph (line) of every document is a set of words and word pairs, hashed to a sparse vector.  A
-logistic regression over the licence families and the class ``unknown`` is trained on notices of the
-families inside ordinary words, and on the ordinary paragraphs of the whole corpus but a quarter, which is held out.
+Every paragraph (line) of every document is a set of words and word pairs, hashed to a sparse vector.  Two logistic
+regressions over these n-grams are nested: one tells licences from the class ``unknown``, one the families of licences
+apart; a family's probability is the product.  They learn from notices of the families inside ordinary words, the first
+also from the ordinary paragraphs of the whole corpus but a quarter, which is held out.
 Of many ordinary paragraphs, notices weigh more, so that the families keep their share of the loss.  A family counts
 as predicted when its probability exceeds a calibrated bound: the one that at most the share ``false_rate`` of the
 ordinary paragraphs held out exceeds.  A prediction is confirmed when at least ``min_share`` of the word pairs of one
 of the family's notices occur in the paragraph.
 
-* Null and empty texts have no paragraph.  Paragraphs of any length are read whole, long ones in windows.
+* Null and empty texts have no paragraph.  Paragraphs of any length are read whole, long ones in windows that overlap.
 * A document may have many licences; each paragraph has at most one family, the most likely one.
 * Repeated rows (same id, same text) give one result; a null id stays null.  Extra columns are not read.  An empty table
   gives no rows: with nothing ordinary to learn from, nothing is predicted.
@@ -18,14 +19,20 @@ from __future__ import annotations
 
 import random
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from corpusflow.llm.common import row_key
-from corpusflow.session import materialise
+from corpusflow.session import bound_batches, materialise
 
 # Public notices by family.
 NOTICES = {
@@ -68,6 +75,7 @@ NOTICES = {
 UNKNOWN = "unknown"
 WINDOW = 80  # words read together; half of it is more than the longest notice
 ORDINARY = 6  # ordinary paragraphs to one notice in the loss, if there are so many
+SLICE = 50_000  # words that a Python worker numbers at a time, or one paragraph: their numbers stay in its caches
 CARRIERS = 200  # ordinary paragraphs whose words stand around the notices to learn from
 FAMILIES = [*sorted(NOTICES), UNKNOWN]
 _NO_WORD = r"[^\p{L}\p{M}\p{N}]+"
@@ -114,12 +122,121 @@ def _featured(rows: DataFrame, width: int) -> DataFrame:
     return HashingTF(numFeatures=width, binary=True, inputCol="terms", outputCol="features").transform(rows).drop("terms")
 
 
+def _known_pairs() -> list[str]:
+    return sorted({p for notices in NOTICES.values() for n in notices for p in pairs_of(n)})
+
+
 def _hits(pairs: Column) -> Column:
     """The pairs that are in any notice: all that :func:`template_share` looks at."""
-    known = sorted({p for notices in NOTICES.values() for n in notices for p in pairs_of(n)})
+    known = _known_pairs()
     return F.filter(pairs, lambda p: p.isin(known))
 
 
+def term_ids(terms: pa.Array, width: int) -> np.ndarray:
+    """The index that ``HashingTF`` gives each string: Murmur3 of its bytes with seed 42, modulo ``width``."""
+    _, ends, data = terms.cast(pa.string()).buffers()
+    ends = np.frombuffer(ends, np.int32, len(terms) + 1, 4 * terms.offset).astype(np.int64)
+    at, size = ends[:-1], np.diff(ends)
+    bytes_ = np.append(np.frombuffer(data or b"", np.uint8), np.zeros(4, np.uint8)).astype(np.uint32)
+
+    def mixed(k: np.ndarray) -> np.ndarray:
+        k = k * np.uint32(0xCC9E2D51)
+        return ((k << np.uint32(15)) | (k >> np.uint32(17))) * np.uint32(0x1B873593)
+
+    h = np.full(len(size), 42, np.uint32)
+    whole, rows, block = size // 4, np.arange(len(size)), 0
+    while (rows := rows[whole[rows] > block]).size:
+        o = at[rows] + 4 * block
+        k = bytes_[o] | bytes_[o + 1] << np.uint32(8) | bytes_[o + 2] << np.uint32(16) | bytes_[o + 3] << np.uint32(24)
+        x = h[rows] ^ mixed(k)
+        h[rows] = ((x << np.uint32(13)) | (x >> np.uint32(19))) * np.uint32(5) + np.uint32(0xE6546B64)
+        block += 1
+    o, left = at + 4 * whole, size % 4
+    tail = sum((np.where(left > i, bytes_[o + i], np.uint32(0)) << np.uint32(8 * i) for i in range(3)), np.zeros(len(size), np.uint32))
+    h ^= np.where(left > 0, mixed(tail), np.uint32(0))
+    h ^= size.astype(np.uint32)
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return (h ^ (h >> np.uint32(16))).view(np.int32).astype(np.int64) % width
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each range, one range after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+def _windows_of(words: pa.Array, known: pa.Array, width: int) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """Of each window of each list of words: its list, its hits, its vector."""
+    coded = words.flatten().dictionary_encode()
+    names, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+    length = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    real = pc.not_equal(names, "").to_numpy(zero_copy_only=False)[codes]  # a split leaves an empty word at either end
+    owner = np.repeat(np.arange(len(length)), length)[real]
+    codes, length = codes[real], np.bincount(owner, minlength=len(length))
+    first = np.cumsum(length) - length
+    here = np.flatnonzero(owner[1:] == owner[:-1])  # words with a neighbour in the same list
+    pairs = pc.binary_join_element_wise(names.take(pa.array(codes[here])), names.take(pa.array(codes[here + 1])), " ")
+    pair_id, is_hit = np.zeros(len(codes), np.int64), np.zeros(len(codes), bool)
+    pair_id[here] = term_ids(pairs, width)
+    is_hit[here] = pc.is_in(pairs, value_set=known).to_numpy(zero_copy_only=False)
+    pair_at = np.zeros(len(codes), np.int64)
+    pair_at[here] = np.arange(len(here))
+
+    step = WINDOW // 2
+    n = np.where(length > 0, np.maximum(length - step - 1, 0) // step + 1, 0)
+    of = np.repeat(np.arange(len(n)), n)
+    nth = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    size = np.minimum(length[of] - nth * step, WINDOW)
+    start = first[of] + nth * step
+    word_at, in_pairs = _ranges(start, size), _ranges(start, size - 1)
+    window, pair_window = np.repeat(np.arange(len(of)), size), np.repeat(np.arange(len(of)), size - 1)
+    terms = np.concatenate([window * width + term_ids(names, width)[codes][word_at], pair_window * width + pair_id[in_pairs]])
+    terms.sort()
+    terms = terms[np.append(True, terms[1:] != terms[:-1])[: len(terms)]]  # repeats do not count
+    offsets = pa.array(np.append(0, np.cumsum(np.bincount(terms // width, minlength=len(of)))).astype(np.int32))
+    vectors = pa.StructArray.from_arrays(
+        [
+            pa.array(np.zeros(len(of), np.int8)), pa.array(np.full(len(of), width, np.int32)),
+            pa.ListArray.from_arrays(offsets, pa.array((terms % width).astype(np.int32))),
+            pa.ListArray.from_arrays(offsets, pa.array(np.ones(len(terms)))),
+        ],
+        ["type", "size", "indices", "values"],
+    )
+    found = is_hit[in_pairs]
+    ends = np.append(0, np.cumsum(np.bincount(pair_window[found], minlength=len(of)))).astype(np.int32)
+    hits = pa.ListArray.from_arrays(pa.array(ends), pairs.take(pa.array(pair_at[in_pairs[found]])))
+    return of, hits, vectors
+
+
+def window_rows(docs: DataFrame, id_col: str, text_col: str, width: int, *keep: Column) -> DataFrame:
+    """The windows of :func:`paragraphs` as (id, kept columns, paragraph, hits, features).
+
+    Words and pairs are hashed once, not once a window, to the columns of ``HashingTF``.
+    """
+    own = docs.select(F.col(id_col).alias("id"), *keep, F.col(text_col).alias("text"))  # once a document, not once a line
+    lines = own.select(*own.columns[:-1], F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
+    lines = lines.withColumn("words", F.split(F.lower("line"), _NO_WORD)).drop("line")
+    known, most = _known_pairs(), SLICE
+    new = [StructField("hits", ArrayType(StringType())), StructField("features", VectorUDT())]
+    schema = StructType([*lines.drop("words").schema.fields, *new])
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        among = pa.array(known)
+        for batch in batches:
+            words, rest = batch.column(batch.num_columns - 1), batch.select(range(batch.num_columns - 1))
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            at = 0
+            while at < len(ends):
+                upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+                of, hits, vectors = _windows_of(words.slice(at, upto - at), among, width)
+                columns = rest.slice(at, upto - at).take(pa.array(of)).columns
+                yield pa.RecordBatch.from_arrays([*columns, hits, vectors], names=schema.names)
+                at = upto
+
+    bound_batches(docs.sparkSession)
+    return lines.mapInArrow(numbered, schema)
+
+
 def _is_ordinary(hits: Column) -> Column:
     every = [n for notices in NOTICES.values() for n in notices]
     return F.when(F.size(hits) == 0, True).otherwise(template_share(hits, every) < 0.5)
@@ -159,8 +276,7 @@ def scan_licences(
     spark = docs.sparkSession
     result = f"id {docs.schema[id_col].dataType.simpleString()}, paragraph int, family string, probability double, template_share double"
     draw = F.xxhash64(F.col(id_col).cast("string"), F.length(text_col), F.lit(seed))
-    rows = _featured(paragraphs(docs, id_col, text_col, row_key(id_col, text_col).alias("key"), draw.alias("draw")), width)
-    rows = rows.select("id", "key", "draw", "paragraph", _hits(F.col("pairs")).alias("hits"), "features")
+    rows = window_rows(docs, id_col, text_col, width, row_key(id_col, text_col).alias("key"), draw.alias("draw"))
     # every paragraph's numbers are made once: training, calibration and prediction read this table
     rows = materialise(rows.withColumn("ordinary", _is_ordinary(F.col("hits"))), "paragraphs")
     ordinary = rows.where("ordinary")
@@ -175,18 +291,23 @@ def scan_licences(
     made = _notices_in_prose(some, copies, seed)
     weight = max(1.0, plain.count() / (ORDINARY * len(made)))
     notices = _featured(spark.createDataFrame(made, "label double, words array<string>"), width)
-    training = notices.select("label", F.lit(weight).alias("weight"), "features").unionByName(plain)
-    model = LogisticRegression(maxIter=60, regParam=1e-4, family="multinomial", probabilityCol="probabilities", weightCol="weight").fit(training)
-
-    def predicted(rows: DataFrame) -> DataFrame:
-        scored = model.transform(rows).withColumn("p", F.slice(vector_to_array("probabilities"), 1, len(FAMILIES) - 1))
+    notices = notices.select("label", F.lit(weight).alias("weight"), "features").coalesce(1)  # a fixed number of rows
+    training = notices.unionByName(plain).withColumn("licence", (F.col("label") < FAMILIES.index(UNKNOWN)).cast("double"))
+    fixed = dict(maxIter=60, regParam=1e-4, weightCol="weight")
+    of_families = LogisticRegression(family="multinomial", rawPredictionCol="raw_family", probabilityCol="p_family", predictionCol="nth_family", **fixed).fit(notices)
+    of_licence = LogisticRegression(family="binomial", labelCol="licence", probabilityCol="p_licence", **fixed).fit(training)
+
+    def predicted(rows: DataFrame, least: float = 0.0) -> DataFrame:
+        """Each paragraph's most likely family; no family is likelier than that there is a licence at all."""
+        scored = of_licence.transform(rows).withColumn("p", vector_to_array("p_licence")[1]).where(F.col("p") >= least)
+        scored = of_families.transform(scored).withColumn("p", F.transform(vector_to_array("p_family"), lambda f: f * F.col("p")))
         scored = scored.withColumn("probability", F.array_max("p"))
         names = F.array(*[F.lit(f) for f in FAMILIES[:-1]])
         return scored.withColumn("family", F.get(names, F.array_position("p", F.col("probability")).cast("int") - 1))
 
     bound = _exceeded_by(materialise(predicted(ordinary.where(fold == 0)).select("probability"), "held"), false_rate)
     bound = 0.5 if bound is None else bound  # too few paragraphs to hold any out
-    likely = predicted(rows).where(F.col("probability") > bound)
+    likely = predicted(rows, bound).where(F.col("probability") > bound)
     share = F.lit(None).cast("double")
     for family, own in NOTICES.items():
         share = F.when(F.col("family") == family, template_share(F.col("hits"), own)).otherwise(share)

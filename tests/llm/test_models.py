@@ -137,6 +137,33 @@ def test_licence_model_sees_every_document(spark, monkeypatch):
     assert seen["plain"] + seen["held"] == 1500 * 8 and seen["held"] > 2000
 
 
+def test_licence_windows_are_numbered_like_hashing_tf(spark):
+    """The same windows, hits and vectors as in column functions; Python numbers words, the JVM no strings of pairs."""
+    from corpusflow.llm import licences
+
+    text = "One\n\nthe MIT License, released under the MIT license " + "x y " * 30 + "\n" + " ".join(f"w{i}é中" for i in range(121)) + "\n" + " ".join(f"v{i % 50}" for i in range(81))
+    rows = [(1, text), (1, text), (2, None), (3, ""), (None, "İstanbul ΣΑΣ naïve ٣٤ 𝒳"), (4, " - \n;"), (5, "a_b")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    key = F.col("doc_id").cast("string").alias("key")
+    plain = licences._featured(licences.paragraphs(docs, "doc_id", "text", key), 1 << 16)
+    plain = plain.select("id", "key", "paragraph", licences._hits(F.col("pairs")).alias("hits"), "features")
+    found = licences.window_rows(docs, "doc_id", "text", 1 << 16, key)
+    assert found.columns == plain.columns
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, plain.collect())) and found.count() == 16
+    assert "zip_with" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_licence_regression_of_all_paragraphs_has_two_classes(spark, monkeypatch):
+    """A pass over every ordinary paragraph carries one weight a column, not one a column and family."""
+    from pyspark.ml.classification import LogisticRegression
+
+    sizes, fit = [], LogisticRegression.fit
+    monkeypatch.setattr(LogisticRegression, "fit", lambda self, rows: (model := fit(self, rows), sizes.append((rows.where("label = 8").count() > 0, model.numClasses)))[0])
+    docs = spark.createDataFrame([*[(i, f"w{i} w{i % 7}\nv{i}") for i in range(200)], (500, "Released under the MIT License.")], "doc_id bigint, text string")
+    assert [(r["id"], r["family"]) for r in scan_licences(docs, copies=5).collect()] == [(500, "mit")]
+    assert sorted(sizes) == [(False, 8), (True, 2)]
+
+
 def test_licence_bound_is_the_quantile(spark):
     from corpusflow.llm.licences import _exceeded_by
 
