@@ -271,3 +271,47 @@ def test_examples_of_the_tasks_asked_for(spark, tmp_path):
         assert {r["task"] for r in some.select("task").distinct().collect()} == set(asked)
         same = every.where(F.col("task").isin(list(asked))).select(*some.columns)
         assert some.count() == same.count() > 0 and some.exceptAll(same).count() == 0
+
+
+def _task_rows(spark, texts, task="cola", split=("train", "train", "validation", "test")):
+    rows = [(task, split[i % len(split)], "", i, t, None, float(i // 4 % 2)) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "task string, split string, variant string, idx bigint, text_a string, text_b string, label double")
+
+
+def test_null_texts_are_trained_and_scored_as_empty_ones(spark, tmp_path):
+    """They made every task fail, and a failed task has no row among the submissions."""
+    config, cola = multitask.TrainConfig(1, 1, 10, 1, ("the",)), ta.TASKS[:1]
+    found = []
+    for name, none in (("null", None), ("empty", "")):
+        rows = _task_rows(spark, [none if i % 7 == 3 else f"red w{i % 3} blue" for i in range(40)])
+        results, _ = multitask.train_all_tasks(rows, str(tmp_path / name), config, cola)
+        scored = multitask.predict_all_tasks(rows, str(tmp_path / name), cola, ta.OUTPUTS[:1])
+        found.append((results.collect(), sorted(map(repr, scored.collect()))))
+    assert found[0] == found[1] and found[0][0][0]["status"] == "ok" and len(found[0][1]) == 10
+
+
+def test_a_failed_run_is_no_result(spark, tmp_path, monkeypatch):
+    """Only what is wrong with a task's rows becomes its error row; anything else is raised."""
+    config, rows = multitask.TrainConfig(1, 1, 10, 1, ("the",)), _task_rows(spark, [f"red w{i % 3}" for i in range(40)])
+    results, _ = multitask.train_all_tasks(rows.withColumn("text_a", F.lit("the")), str(tmp_path / "a"), config, ta.TASKS[:1])
+    assert [(r["status"], r["error"]) for r in results.collect()] == [("failed", "ValueError: no terms left to build features from")]
+
+    def full(*_):
+        raise OSError("No space left on device")
+
+    monkeypatch.setattr(multitask, "_prepare", full)
+    with pytest.raises(OSError):
+        multitask.train_all_tasks(rows, str(tmp_path / "b"), config, ta.TASKS[:1])
+
+
+def test_test_rows_without_a_model_are_an_error(spark, monkeypatch):
+    from corpusflow.catalog import learning
+
+    monkeypatch.setattr(learning, "TRAINING", multitask.TrainConfig(1, 1, 10, 1, ("the",)))
+    cola, output = ta.TASKS[:1], ta.OUTPUTS[:1]
+    rows = _task_rows(spark, [f"red w{i % 3}" for i in range(40)])
+    assert learning._scored(spark, rows, cola, output).count() == 10
+    unlearned = rows.where("split <> 'validation'")
+    with pytest.raises(ValueError, match="CoLA .*no validation rows"):
+        learning._scored(spark, unlearned, cola, output)
+    assert learning._scored(spark, unlearned.where("split = 'train'"), cola, output).count() == 0
