@@ -26,12 +26,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, StringType, StructField, StructType
 
 from corpusflow.llm.common import row_key
+from corpusflow.operators.ones import OnesRegression, code_type, codes_array, codes_of, row_sums
 from corpusflow.session import bound_batches, materialise
 
 # Public notices by family.
@@ -165,8 +165,8 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
 
-def _windows_of(words: pa.Array, known: pa.Array, width: int) -> tuple[np.ndarray, pa.Array, pa.Array]:
-    """Of each window of each list of words: its list, its hits, its vector."""
+def _windows_of(words: pa.Array, known: pa.Array, width: int) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """Of each window of each list of words: its list and its hits; the ends of each window's columns, and these, in order."""
     coded = words.flatten().dictionary_encode()
     names, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
     length = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -193,31 +193,37 @@ def _windows_of(words: pa.Array, known: pa.Array, width: int) -> tuple[np.ndarra
     terms = np.concatenate([window * width + term_ids(names, width)[codes][word_at], pair_window * width + pair_id[in_pairs]])
     terms.sort()
     terms = terms[np.append(True, terms[1:] != terms[:-1])[: len(terms)]]  # repeats do not count
-    offsets = pa.array(np.append(0, np.cumsum(np.bincount(terms // width, minlength=len(of)))).astype(np.int32))
-    vectors = pa.StructArray.from_arrays(
+    term_ends = np.append(0, np.cumsum(np.bincount(terms // width, minlength=len(of))))
+    found = is_hit[in_pairs]
+    ends = np.append(0, np.cumsum(np.bincount(pair_window[found], minlength=len(of)))).astype(np.int32)
+    hits = pa.ListArray.from_arrays(pa.array(ends), pairs.take(pa.array(pair_at[in_pairs[found]])))
+    return of, hits, term_ends, terms % width
+
+
+def _vectors(ends: np.ndarray, columns: np.ndarray, width: int) -> pa.Array:
+    """Rows of columns as ML vectors of ones."""
+    offsets, n = pa.array(ends.astype(np.int32)), len(ends) - 1
+    return pa.StructArray.from_arrays(
         [
-            pa.array(np.zeros(len(of), np.int8)), pa.array(np.full(len(of), width, np.int32)),
-            pa.ListArray.from_arrays(offsets, pa.array((terms % width).astype(np.int32))),
-            pa.ListArray.from_arrays(offsets, pa.array(np.ones(len(terms)))),
+            pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, width, np.int32)),
+            pa.ListArray.from_arrays(offsets, pa.array(columns.astype(np.int32))),
+            pa.ListArray.from_arrays(offsets, pa.array(np.ones(len(columns)))),
         ],
         ["type", "size", "indices", "values"],
     )
-    found = is_hit[in_pairs]
-    ends = np.append(0, np.cumsum(np.bincount(pair_window[found], minlength=len(of)))).astype(np.int32)
-    hits = pa.ListArray.from_arrays(pa.array(ends), pairs.take(pa.array(pair_at[in_pairs[found]])))
-    return of, hits, vectors
 
 
-def window_rows(docs: DataFrame, id_col: str, text_col: str, width: int, *keep: Column) -> DataFrame:
-    """The windows of :func:`paragraphs` as (id, kept columns, paragraph, hits, features).
+def window_rows(docs: DataFrame, id_col: str, text_col: str, width: int, *keep: Column, as_codes: bool = False) -> DataFrame:
+    """The windows of :func:`paragraphs` as (id, kept columns, paragraph, hits, features), or ``codes``, two bytes an entry, as the last.
 
     Words and pairs are hashed once, not once a window, to the columns of ``HashingTF``.
     """
     own = docs.select(F.col(id_col).alias("id"), *keep, F.col(text_col).alias("text"))  # once a document, not once a line
     lines = own.select(*own.columns[:-1], F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
     lines = lines.withColumn("words", F.split(F.lower("line"), _NO_WORD)).drop("line")
-    known, most = _known_pairs(), SLICE
-    new = [StructField("hits", ArrayType(StringType())), StructField("features", VectorUDT())]
+    known, most, stored = _known_pairs(), SLICE, codes_array if as_codes else _vectors
+    last = StructField("codes", BinaryType()) if as_codes else StructField("features", VectorUDT())
+    new = [StructField("hits", ArrayType(StringType())), last]
     schema = StructType([*lines.drop("words").schema.fields, *new])
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,9 +234,9 @@ def window_rows(docs: DataFrame, id_col: str, text_col: str, width: int, *keep:
             at = 0
             while at < len(ends):
                 upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
-                of, hits, vectors = _windows_of(words.slice(at, upto - at), among, width)
+                of, hits, *terms = _windows_of(words.slice(at, upto - at), among, width)
                 columns = rest.slice(at, upto - at).take(pa.array(of)).columns
-                yield pa.RecordBatch.from_arrays([*columns, hits, vectors], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*columns, hits, stored(*terms, width)], names=schema.names)
                 at = upto
 
     bound_batches(docs.sparkSession)
@@ -268,6 +274,39 @@ def _notices_in_prose(ordinary: list[list[str]], copies: int, seed: int) -> list
     return out
 
 
+def predicted(
+    rows: DataFrame, of_licence: tuple[np.ndarray, float], of_families: tuple[np.ndarray, np.ndarray], width: int, bound: float | None = None
+) -> DataFrame:
+    """Each window's most likely family, in place of its ``codes``; no family is likelier than that there is a licence at all.
+
+    With a ``bound``, the windows whose probability is above it.  The models are (weights, intercept), of families by row.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast((of_licence, of_families))
+    names = [c for c in rows.columns if c != "codes"]
+    new = [StructField("probability", DoubleType()), StructField("family", StringType())]
+    schema = StructType([*[rows.schema[c] for c in names], *new])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (own, base), (families, bases) = shared.value
+        for batch in batches:
+            sizes, codes = codes_of(batch.column(len(names)), width)
+            with np.errstate(over="ignore"):
+                p = 1.0 - 1.0 / (1.0 + np.exp(row_sums(sizes, own.take(codes)) + base))
+            asked = np.ones(len(p), bool) if bound is None else p > bound
+            codes, sizes = codes[np.repeat(asked, sizes)], sizes[asked]
+            margins = np.stack([row_sums(sizes, w.take(codes)) for w in families], axis=1) + bases
+            shares = np.exp(margins - margins.max(axis=1, keepdims=True))
+            shares = shares / shares.sum(axis=1, keepdims=True) * p[asked, None]
+            best = shares.argmax(axis=1)
+            probability = shares[np.arange(len(best)), best]
+            kept = np.ones(len(best), bool) if bound is None else probability > bound
+            columns = [batch.column(c).take(pa.array(np.flatnonzero(asked)[kept])) for c in names]
+            family = pa.array([FAMILIES[i] for i in best[kept].tolist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(probability[kept]), family], names=schema.names)
+
+    return rows.select(*names, "codes").mapInArrow(run, schema)
+
+
 def scan_licences(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     false_rate: float = 0.001, min_share: float = 0.8, copies: int = 60, width: int = 1 << 16, seed: int = 5,
@@ -276,9 +315,10 @@ def scan_licences(
     spark = docs.sparkSession
     result = f"id {docs.schema[id_col].dataType.simpleString()}, paragraph int, family string, probability double, template_share double"
     draw = F.xxhash64(F.col(id_col).cast("string"), F.length(text_col), F.lit(seed))
-    rows = window_rows(docs, id_col, text_col, width, row_key(id_col, text_col).alias("key"), draw.alias("draw"))
+    rows = window_rows(docs, id_col, text_col, width, row_key(id_col, text_col).alias("key"), draw.alias("draw"), as_codes=True)
+    fold = F.pmod(F.xxhash64("draw", "paragraph", F.lit(seed)), F.lit(4)).cast("byte")
     # every paragraph's numbers are made once: training, calibration and prediction read this table
-    rows = materialise(rows.withColumn("ordinary", _is_ordinary(F.col("hits"))), "paragraphs")
+    rows = materialise(rows.withColumns({"ordinary": _is_ordinary(F.col("hits")), "fold": fold}), "paragraphs")
     ordinary = rows.where("ordinary")
     first = ordinary.select("draw", "paragraph").orderBy("draw", "paragraph").limit(CARRIERS).agg(F.max("draw")).first()[0]
     if first is None:
@@ -286,28 +326,25 @@ def scan_licences(
     carriers = paragraphs(docs.where(draw <= first), id_col, text_col, draw.alias("draw"))
     carriers = carriers.where(_is_ordinary(_hits(word_pairs(F.col("words")))))
     some = [r["words"] for r in carriers.orderBy("draw", "paragraph", "words").limit(CARRIERS).collect()]
-    fold = F.pmod(F.xxhash64("draw", "paragraph", F.lit(seed)), F.lit(4))
-    plain = ordinary.where(fold > 0).select(F.lit(float(FAMILIES.index(UNKNOWN))).alias("label"), F.lit(1.0).alias("weight"), "features")
+    plain = ordinary.where("fold > 0")
     made = _notices_in_prose(some, copies, seed)
     weight = max(1.0, plain.count() / (ORDINARY * len(made)))
     notices = _featured(spark.createDataFrame(made, "label double, words array<string>"), width)
     notices = notices.select("label", F.lit(weight).alias("weight"), "features").coalesce(1)  # a fixed number of rows
-    training = notices.unionByName(plain).withColumn("licence", (F.col("label") < FAMILIES.index(UNKNOWN)).cast("double"))
+    shown = [(r["label"], weight, 1.0, bytearray(r["features"].indices.astype(code_type(width)).tobytes())) for r in notices.collect()]
+    shown = spark.createDataFrame(shown, "label double, weight double, licence double, codes binary").coalesce(1)
+    unknown = F.lit(float(FAMILIES.index(UNKNOWN))).alias("label")
+    training = shown.unionByName(plain.select(unknown, F.lit(1.0).alias("weight"), F.lit(0.0).alias("licence"), "codes"))
     fixed = dict(maxIter=60, regParam=1e-4, weightCol="weight")
-    of_families = LogisticRegression(family="multinomial", rawPredictionCol="raw_family", probabilityCol="p_family", predictionCol="nth_family", **fixed).fit(notices)
-    of_licence = LogisticRegression(family="binomial", labelCol="licence", probabilityCol="p_licence", **fixed).fit(training)
-
-    def predicted(rows: DataFrame, least: float = 0.0) -> DataFrame:
-        """Each paragraph's most likely family; no family is likelier than that there is a licence at all."""
-        scored = of_licence.transform(rows).withColumn("p", vector_to_array("p_licence")[1]).where(F.col("p") >= least)
-        scored = of_families.transform(scored).withColumn("p", F.transform(vector_to_array("p_family"), lambda f: f * F.col("p")))
-        scored = scored.withColumn("probability", F.array_max("p"))
-        names = F.array(*[F.lit(f) for f in FAMILIES[:-1]])
-        return scored.withColumn("family", F.get(names, F.array_position("p", F.col("probability")).cast("int") - 1))
-
-    bound = _exceeded_by(materialise(predicted(ordinary.where(fold == 0)).select("probability"), "held"), false_rate)
+    of_families = LogisticRegression(family="multinomial", **fixed).fit(notices)
+    of_licence = OnesRegression(family="binomial", labelCol="licence", featuresCol="codes", **fixed).of(width).fit(training)
+    of_families = of_families.coefficientMatrix.toArray(), of_families.interceptVector.toArray()
+    of_licence = of_licence.coefficients.toArray(), of_licence.intercept
+
+    held = predicted(ordinary.where("fold = 0").select("codes"), of_licence, of_families, width).select("probability")
+    bound = _exceeded_by(materialise(held, "held"), false_rate)
     bound = 0.5 if bound is None else bound  # too few paragraphs to hold any out
-    likely = predicted(rows, bound).where(F.col("probability") > bound)
+    likely = predicted(rows.select("id", "key", "paragraph", "hits", "codes"), of_licence, of_families, width, bound)
     share = F.lit(None).cast("double")
     for family, own in NOTICES.items():
         share = F.when(F.col("family") == family, template_share(F.col("hits"), own)).otherwise(share)

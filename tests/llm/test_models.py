@@ -164,6 +164,42 @@ def test_licence_regression_of_all_paragraphs_has_two_classes(spark, monkeypatch
     assert sorted(sizes) == [(False, 8), (True, 2)]
 
 
+def test_regression_of_ones_is_that_of_the_library(spark):
+    """The same weights from two bytes an entry; sums of many tasks are added up before they reach the driver."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.linalg import Vectors
+
+    from corpusflow.operators import ones
+
+    rng = np.random.default_rng(1)
+    for width, parts in ((300, 3), (70_000, 40)):
+        rows = []
+        for i in range(600):
+            columns = np.unique(np.append(rng.integers(0, 40, rng.integers(0, 9)), [width - 1 - i % 3] * (i % 8 == 0)).astype(int))
+            code = bytearray(columns.astype(ones.code_type(width)).tobytes())
+            rows.append((float(i % 8 == 0) if i % 11 else 1.0, 2.5 if i % 8 == 0 else 1.0, code, Vectors.sparse(width, columns.tolist(), [1.0] * len(columns))))
+        df = spark.createDataFrame(rows, ["label", "weight", "codes", "features"]).repartition(parts).persist()
+        fixed = dict(family="binomial", maxIter=12, regParam=1e-4, weightCol="weight")
+        theirs = LogisticRegression(**fixed).fit(df)
+        mine = ones.OnesRegression(featuresCol="codes", **fixed).of(width).fit(df)
+        assert np.abs(mine.coefficients.toArray() - theirs.coefficients.toArray()).max() < 1e-7 and abs(mine.intercept - theirs.intercept) < 1e-7
+    one = ones.OnesRegression(featuresCol="codes", **fixed).of(width).fit(df.withColumn("label", F.lit(1.0)))
+    assert one.intercept == np.inf and not one.coefficients.toArray().any()
+
+
+def test_licence_paragraphs_are_stored_and_scored_as_codes(spark, monkeypatch):
+    """No vector of doubles is stored, and no vector function of the JVM scores a paragraph."""
+    from corpusflow.llm import licences
+
+    stored, write = [], licences.materialise
+    monkeypatch.setattr(licences, "materialise", lambda df, name="t": (stored.append(dict(df.dtypes)), write(df, name))[1])
+    docs = spark.createDataFrame([*[(i, f"w{i} w{i % 7}\nv{i}") for i in range(200)], (500, "Released under the MIT License.")], "doc_id bigint, text string")
+    found = scan_licences(docs, copies=5)
+    assert [(r["id"], r["family"]) for r in found.collect()] == [(500, "mit")]
+    assert stored[0]["codes"] == "binary" and "features" not in stored[0] and stored[1] == {"probability": "double"}
+    assert "UDF(" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_licence_bound_is_the_quantile(spark):
     from corpusflow.llm.licences import _exceeded_by
 
