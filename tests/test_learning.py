@@ -315,3 +315,34 @@ def test_test_rows_without_a_model_are_an_error(spark, monkeypatch):
     with pytest.raises(ValueError, match="CoLA .*no validation rows"):
         learning._scored(spark, unlearned, cola, output)
     assert learning._scored(spark, unlearned.where("split = 'train'"), cola, output).count() == 0
+
+
+def test_a_run_stores_texts_and_numbers_once(spark, tmp_path, monkeypatch):
+    """One table of texts for all single tasks and one of pairs; of a task's rows only blocks of bytes, scored like its model."""
+    from corpusflow.catalog import learning
+    from corpusflow.operators.descent import logits_of
+
+    tables, write = [], learning.materialise
+    monkeypatch.setattr(learning, "materialise", lambda df, name="t", by=(): (tables.append((name, sorted(df.columns))), write(df, name, by))[1])
+    docs = [(i, f"text w{i % 3} " * (1 + i % 4), "en" if i % 2 else "fr", 9) for i in range(60)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    said = [(i // 4, i % 4, "user", f"turn w{i % 5} " * (1 + 40 * (i % 3))) for i in range(80)]
+    spark.createDataFrame(said, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    rows = examples(spark, str(tmp_path))
+    assert tables == [("texts", ["idx", "label", "sentence", "split"]), ("pairs", ["idx", "length", "sentence1", "sentence2", "split"])]
+
+    asked, seen, scored = tuple(t for t in ta.TASKS if t[0] in ("sst2", "stsb", "mnli")), [], multitask.logits_of
+    monkeypatch.setattr(multitask, "logits_of", lambda blocks, fits, keep: (seen.append((blocks, dict(fits))), scored(blocks, fits, keep))[1])
+    multitask.train_all_tasks(rows, str(tmp_path / "m"), multitask.TrainConfig(1, 2, 10, 2, ("the",)), asked)
+    assert {k for _, fits in seen for k in fits} == {"sst2", "stsb", "mnli"}
+    for blocks, fits in seen:
+        assert {c: kind for c, kind in blocks.dtypes if kind == "binary"}.keys() == {"label", "sizes", "indices", "values"}
+        mine = logits_of(blocks, fits, ("split", "variant"))
+        for key in fits:
+            labelled = rows.where((F.col("task") == key) & F.col("split").isin("train", "validation") & F.col("label").isNotNull())
+            theirs = multitask.add_logits(labelled, stores.load_model(spark, str(tmp_path / "m" / key)), key == "stsb")
+            found = [
+                sorted((r["split"], r["variant"], r["label"], *[round(x, 9) + 0.0 for x in r["logits"]]) for r in table.collect())
+                for table in (mine.where(F.col("model") == key), theirs)
+            ]
+            assert found[0] == found[1] and found[0]
